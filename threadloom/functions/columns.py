@@ -101,6 +101,11 @@ def scalar(df: DataFrame, *aggs: Column) -> Column:
     return df.agg(F.struct(*aggs).alias("s")).scalar()
 
 
+def with_facts(df: DataFrame, source: DataFrame, *aggs: Column, name: str = "__f") -> DataFrame:
+    """Attach a one-row aggregate once as a struct column, so long expressions share one subquery."""
+    return df.select("*", scalar(source, *aggs).alias(name))
+
+
 def rolling_mean(daily: DataFrame, day: str, value: str, name: str, span: Column | None = None) -> DataFrame:
     """Mean over the last max(3, span // 50) existing rows of a daily table."""
     if span is None:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import asset_label, impact_sum, ranked_top, ratio, rolling_mean, scalar, song_label, top_n
-from ..functions.quantiles import exact_percentiles, with_percentiles
+from ..functions.columns import asset_label, impact_sum, ranked_top, ratio, rolling_mean, scalar, song_label, top_n, with_facts
+from ..functions.quantiles import with_percentiles
+from ..session import durable
 
 # fixed values: weekday names, Monday first
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
@@ -118,44 +119,45 @@ def daily_sentiment(comments: DataFrame) -> DataFrame:
 
 def sentiment_distribution(comments: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width histogram of the scores with count, missing share, mean and median."""
-    s = F.col("sentiment")
-    facts = scalar(
-        comments, F.count("*").alias("n"), F.count(s).alias("valid"), F.avg(s).alias("mean"), F.min(s).alias("lo"), F.max(s).alias("hi")
-    )
-    width = (facts["hi"] - facts["lo"]) / bins
-    slot = F.least(F.floor(F.try_divide(s - facts["lo"], width)), F.lit(bins - 1))
-    hist = comments.filter(s.isNotNull()).groupBy(F.coalesce(slot, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("count"))
+    s, f = F.col("sentiment"), F.col("__f")
+    facts = [F.count("*").alias("n"), F.count(s).alias("valid"), F.avg(s).alias("mean"), F.min(s).alias("lo"), F.max(s).alias("hi")]
+    width = (f["hi"] - f["lo"]) / bins
+    slot = F.coalesce(F.least(F.floor(F.try_divide(s - f["lo"], width)), F.lit(bins - 1)), F.lit(0)).cast("long")
+    rows = with_facts(comments.filter(s.isNotNull()).select("sentiment"), comments, *facts)
+    hist = rows.groupBy(slot.alias("bin")).agg(F.count("*").alias("count"), F.first("__f").alias("__f"))
     out = hist.select(
         "bin", "count",
-        (facts["lo"] + F.col("bin") * width).alias("bin_start"),
-        facts["n"].alias("n_total"),
-        (facts["n"] - facts["valid"]).alias("n_missing"),
-        F.try_divide((facts["n"] - facts["valid"]) * 100.0, facts["n"]).alias("missing_pct"),
-        facts["mean"].alias("mean"),
+        (f["lo"] + F.col("bin") * width).alias("bin_start"),
+        f["n"].alias("n_total"),
+        (f["n"] - f["valid"]).alias("n_missing"),
+        F.try_divide((f["n"] - f["valid"]) * 100.0, f["n"]).alias("missing_pct"),
+        f["mean"].alias("mean"),
     )
     return with_percentiles(out, comments, [], {"median": (s, 0.5)})
 
 
 def right_closed_histogram(df: DataFrame, value: str, bins: int = 30, lo: float | None = None, hi: float | None = None, cap: int = 100) -> DataFrame:
     """Right-closed equal-width bins of positive values; the lowest edge itself falls out."""
-    v = F.col(value)
-    facts = scalar(
-        df, F.count("*").alias("n"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("pos"),
+    v, f = F.col("v"), F.col("__f")
+    values = df.select(F.col(value).alias("v"))
+    facts = [
+        F.count("*").alias("n"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("pos"),
         F.min(F.when(v > 0, v)).alias("min"), F.max(F.when(v > 0, v)).alias("max"),
-    )
-    a = F.greatest(F.lit(1), facts["min"]).cast("double") if lo is None else F.lit(float(lo))
-    z = facts["max"].cast("double") if hi is None else F.lit(float(hi))
+    ]
+    a = F.greatest(F.lit(1), f["min"]).cast("double") if lo is None else F.lit(float(lo))
+    z = f["max"].cast("double") if hi is None else F.lit(float(hi))
     width = (z - a) / bins
     slot = F.least(F.ceil(F.try_divide(v - a, width)), F.lit(bins)).cast("long")
-    hist = df.filter((v > a) & (v <= z)).groupBy(slot.alias("bin")).agg(F.count("*").alias("count"))
+    rows = with_facts(values.filter(v > 0), values, *facts).filter((v > a) & (v <= z))
+    hist = rows.groupBy(slot.alias("bin")).agg(F.count("*").alias("count"), F.first("__f").alias("__f"))
     return hist.select(
         "bin",
         (a + (F.col("bin") - 1) * width).alias("left"),
         (a + F.col("bin") * width).alias("right"),
         "count",
         (F.col("count") > cap).alias("over_cap"),
-        (facts["zero"] * 100.0 / facts["n"]).alias("zero_pct"),
-        (facts["pos"] * 100.0 / facts["n"]).alias("nonzero_pct"),
+        (f["zero"] * 100.0 / f["n"]).alias("zero_pct"),
+        (f["pos"] * 100.0 / f["n"]).alias("nonzero_pct"),
     )
 
 
@@ -309,20 +311,17 @@ def top_reels(reels: DataFrame, by: str = "likes", n: int = 20) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks per distinct value from a distributed count per value.
+    """Average rank of each distinct value, from a distributed count per value.
 
-    Values are spread over equal-rank slices by sketch cuts, so no single task
-    sorts the whole column.
+    The distinct values are numbered by a range sort, so no single task orders
+    the whole column; the running count is added up per partition first.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("__c"))
-    cuts = scalar(df, F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("q"))
-    sliced = counts.withColumn("__s", F.size(F.filter(F.array_distinct(cuts["q"]), lambda q: q <= F.col(value))))
-    before = sliced.groupBy("__s").agg(F.sum("__c").alias("__n")).withColumn(
-        "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("__s", "__off")
+    counts = durable(df.groupBy(value).agg(F.count("*").alias("__c")).repartitionByRange(value).withColumn("__s", F.spark_partition_id()))
+    earlier = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.groupBy("__s").agg(F.sum("__c").alias("__n")).select("__s", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
     inside = Window.partitionBy("__s").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("__c").over(inside) + F.col("__off")
-    return sliced.join(before, "__s").select(value, (end - (F.col("__c") - 1) / 2).alias(name))
+    return counts.join(before, "__s").select(value, (end - (F.col("__c") - 1) / 2).alias(name))
 
 
 def correlate(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -20,10 +20,10 @@ pv AS (SELECT v.video_id, count(c.comment_id) AS n FROM videos v LEFT JOIN comme
 pc AS (SELECT c.comment_id, count(r.reply_id) AS n FROM comments c LEFT JOIN replies r USING (comment_id) GROUP BY 1)
 SELECT (SELECT count(*) FROM pv) AS total_videos, CAST((SELECT sum(n) FROM pv) AS BIGINT) AS total_comments,
  (SELECT count(*) FROM pv WHERE n>0) AS videos_with_comments, (SELECT count(*) FROM pv WHERE n=0) AS videos_without_comments,
- (SELECT avg(n) FROM pv) AS comments_per_video_mean, (SELECT stddev_samp(n) FROM pv) AS comments_per_video_std,
+ (SELECT round(avg(n),6) FROM pv) AS comments_per_video_mean, (SELECT round(stddev_samp(n),6) FROM pv) AS comments_per_video_std,
  (SELECT min(n) FROM pv) AS comments_per_video_min, (SELECT max(n) FROM pv) AS comments_per_video_max,
  (SELECT quantile_cont(n,0.5) FROM pv) AS comments_per_video_median, CAST((SELECT sum(n) FROM pc) AS BIGINT) AS total_replies,
- (SELECT avg(n) FROM pc) AS replies_per_comment_mean, (SELECT quantile_cont(n,0.5) FROM pc) AS replies_per_comment_median""")
+ (SELECT round(avg(n),6) FROM pc) AS replies_per_comment_mean, (SELECT quantile_cont(n,0.5) FROM pc) AS replies_per_comment_median""")
 def _(t):
     return scope.corpus_counts(*threads(t))
 

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", app: str = "threadloom") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores).replace("*", "8"))
         .config("spark.sql.adaptive.enabled", "true")
