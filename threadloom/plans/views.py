@@ -47,7 +47,8 @@ TAGS = """reel_hashtags AS (
   FROM lineitem JOIN part ON l_partkey=p_partkey))"""
 
 CAPTIONS = """captions AS (
- SELECT doc_id AS reel_pk, source AS song_id, source||'-'||lang AS asset_id, lang AS variant_label, text AS caption_text, n_chars AS play_count FROM documents)"""
+ SELECT doc_id AS reel_pk, source AS song_id, source||'-'||lang AS asset_id, lang AS variant_label, text AS caption_text, n_chars AS play_count,
+  CAST(n_chars AS DOUBLE) AS impact_metric, TIMESTAMP '2024-01-01' + to_days(CAST(n_chars%180 AS INTEGER)) AS taken_at, 'c'||(n_chars%97) AS creator_pseudo FROM documents)"""
 
 DOC_COMMENTS = """doc_comments AS (
  SELECT source AS video_id, doc_id AS comment_id, text, lang AS language, 'comment' AS kind FROM documents)"""
@@ -59,3 +60,17 @@ PAGE_REPLIES = r"""page_replies AS (
 TURNS = """turns AS (
  SELECT 'conv'||conv_id AS video_id, conv_id, turn, role, conv_id||'-'||turn AS item_id, substr(role,1,1)||(length(text)%40) AS author_channel_id, text,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS date, CAST(length(text) AS BIGINT) AS likes FROM conversations)"""
+
+
+ANNOTATIONS = """annotations AS (
+ SELECT doc_id AS reel_pk, 'context' AS dimension, CASE WHEN quality=1 THEN 'nature' ELSE 'home' END AS category, 'vision' AS source, (doc_id%101)/100 AS confidence FROM labels
+ UNION ALL SELECT doc_id, 'format', 'dance', 'vision', 0.9 FROM labels WHERE toxic=1
+ UNION ALL SELECT doc_id, 'context', 'city', 'manual', 1.0 FROM labels WHERE quality=0)"""
+
+VISION_STATE = """vision_state AS (SELECT doc_id AS reel_pk, CASE WHEN toxic=1 THEN 'blocked' WHEN quality=0 THEN 'failed' ELSE 'done' END AS status FROM labels)"""
+
+CRAWLS = """seen AS (SELECT strftime(date_trunc('week',ts),'%Y%m%d')||'T000000Z' AS crawl_id, user_id AS reel_pk, event_type AS asset_id, max(ts) AS seen_at, count(*) AS play_count, substr(event_type,1,1) AS song_id FROM events GROUP BY ALL),
+runs AS (SELECT strftime(date_trunc('week',ts),'%Y%m%d')||'T000000Z' AS crawl_id, min(ts) AS started_at, 'refresh' AS mode, 'done' AS status FROM events GROUP BY 1)"""
+
+ACOUSTICS = """acoustics AS (SELECT printf('a%06d', vec_id) AS asset_id, 's'||label AS song_id, round(120+200*embedding[1]::DOUBLE,3) AS tempo, round(2000+4000*embedding[2]::DOUBLE,3) AS spectral_centroid,
+ round(0.5+embedding[3]::DOUBLE,4) AS loudness, round(0.5+embedding[4]::DOUBLE,4) AS rms, round(0.5+embedding[5]::DOUBLE,4) AS flatness, CAST(floor(abs(embedding[6]::DOUBLE)*40) AS INTEGER) AS pc, embedding[1]>0 AS major FROM embeddings)"""

@@ -111,6 +111,48 @@ def caption_reels(documents: DataFrame) -> DataFrame:
         F.col("lang").alias("variant_label"),
         F.col("text").alias("caption_text"),
         F.col("n_chars").alias("play_count"),
+        F.col("n_chars").cast("double").alias("impact_metric"),
+        F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 180).cast("int"))).alias("taken_at"),
+        F.concat(F.lit("c"), F.col("n_chars") % 97).alias("creator_pseudo"),
+    )
+
+
+def annotations(labels: DataFrame) -> DataFrame:
+    """labels as stored tags: quality as context of two sources, toxic as a format."""
+    tag = F.array(
+        F.struct(F.lit("context").alias("dimension"), F.when(F.col("quality") == 1, "nature").otherwise("home").alias("category"), F.lit("vision").alias("source"), ((F.col("doc_id") % 101) / 100).alias("confidence")),
+        F.struct(F.lit("format").alias("dimension"), F.when(F.col("toxic") == 1, "dance").alias("category"), F.lit("vision").alias("source"), F.lit(0.9).alias("confidence")),
+        F.struct(F.lit("context").alias("dimension"), F.when(F.col("quality") == 0, "city").alias("category"), F.lit("manual").alias("source"), F.lit(1.0).alias("confidence")),
+    )
+    return labels.select(F.col("doc_id").alias("reel_pk"), F.explode(tag).alias("t")).select("reel_pk", "t.*").filter(F.col("category").isNotNull())
+
+
+def vision_state(labels: DataFrame) -> DataFrame:
+    """labels as tagging states: toxic reels are blocked, poor ones failed."""
+    status = F.when(F.col("toxic") == 1, "blocked").when(F.col("quality") == 0, "failed").otherwise("done")
+    return labels.select(F.col("doc_id").alias("reel_pk"), status.alias("status"))
+
+
+def crawl_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """events as (runs, seen): ISO week is the crawl, user the reel, event type the asset."""
+    crawl = F.concat(F.date_format(F.date_trunc("WEEK", "ts"), "yyyyMMdd"), F.lit("T000000Z"))
+    seen = events.groupBy(crawl.alias("crawl_id"), F.col("user_id").alias("reel_pk"), F.col("event_type").alias("asset_id")).agg(
+        F.max("ts").cast("timestamp").alias("seen_at"), F.count("*").alias("play_count")
+    ).withColumn("song_id", F.substring("asset_id", 1, 1))
+    runs = events.groupBy(crawl.alias("crawl_id")).agg(F.min("ts").cast("timestamp").alias("started_at")).select(
+        "crawl_id", "started_at", F.lit("refresh").alias("mode"), F.lit("done").alias("status")
+    )
+    return runs, seen
+
+
+def acoustics(embeddings: DataFrame) -> DataFrame:
+    """embeddings as acoustic features: label is the song, vector elements the measures."""
+    e = [F.col("embedding")[i].cast("double") for i in range(6)]
+    return embeddings.select(
+        F.format_string("a%06d", "vec_id").alias("asset_id"), F.concat(F.lit("s"), "label").alias("song_id"),
+        F.round(120 + 200 * e[0], 3).alias("tempo"), F.round(2000 + 4000 * e[1], 3).alias("spectral_centroid"),
+        F.round(0.5 + e[2], 4).alias("loudness"), F.round(0.5 + e[3], 4).alias("rms"), F.round(0.5 + e[4], 4).alias("flatness"),
+        F.floor(F.abs(e[5]) * 40).cast("int").alias("pc"), (e[0] > 0).alias("major"),
     )
 
 
