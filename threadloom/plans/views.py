@@ -73,4 +73,11 @@ CRAWLS = """seen AS (SELECT strftime(date_trunc('week',ts),'%Y%m%d')||'T000000Z'
 runs AS (SELECT strftime(date_trunc('week',ts),'%Y%m%d')||'T000000Z' AS crawl_id, min(ts) AS started_at, 'refresh' AS mode, 'done' AS status FROM events GROUP BY 1)"""
 
 ACOUSTICS = """acoustics AS (SELECT printf('a%06d', vec_id) AS asset_id, 's'||label AS song_id, round(120+200*embedding[1]::DOUBLE,3) AS tempo, round(2000+4000*embedding[2]::DOUBLE,3) AS spectral_centroid,
- round(0.5+embedding[3]::DOUBLE,4) AS loudness, round(0.5+embedding[4]::DOUBLE,4) AS rms, round(0.5+embedding[5]::DOUBLE,4) AS flatness, CAST(floor(abs(embedding[6]::DOUBLE)*40) AS INTEGER) AS pc, embedding[1]>0 AS major FROM embeddings)"""
+ round(embedding[3]::DOUBLE*10,4) AS loudness_lufs, round(0.5+embedding[4]::DOUBLE,4) AS spectral_flatness, CAST(floor(abs(embedding[6]::DOUBLE)*40) AS INTEGER)%12 AS pc, CASE WHEN embedding[1]>0 THEN 'Major' ELSE 'Minor' END AS q,
+ ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][CAST(floor(abs(embedding[6]::DOUBLE)*40) AS INTEGER)%12+1]||CASE WHEN embedding[1]>0 THEN ' Major' ELSE ' Minor' END AS est_key FROM embeddings)"""
+
+ALIGNMENTS = """aligned AS (SELECT event_id AS reel_pk, printf('a%03d', CAST(json_extract_string(props,'$.k') AS INTEGER)) AS asset_id, CASE WHEN value>=1 THEN value END AS used_segment_start, value+15 AS used_segment_end,
+ CASE WHEN event_type<>'view' THEN value/100 END AS align_confidence, CASE WHEN event_type='view' THEN (value>50)::INTEGER ELSE 0 END AS has_overlay FROM events)"""
+
+EDITS = """edits AS (SELECT reel_pk, cut_times, soft_times, strftime(o_orderdate,'%Y-%m')||'/'||substr(o_orderpriority,1,1) AS asset_id, o_totalprice/1000 AS duration, o_orderstatus FROM
+ (SELECT l_orderkey AS reel_pk, list_sort(list(l_quantity/4)) AS cut_times, list_sort(coalesce(list(l_quantity/4) FILTER (l_returnflag='R'),[])) AS soft_times FROM lineitem GROUP BY 1) JOIN orders ON o_orderkey=reel_pk)"""

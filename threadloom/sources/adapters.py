@@ -145,15 +145,37 @@ def crawl_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs, seen
 
 
+KEYS = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+
+
 def acoustics(embeddings: DataFrame) -> DataFrame:
     """embeddings as acoustic features: label is the song, vector elements the measures."""
     e = [F.col("embedding")[i].cast("double") for i in range(6)]
+    key = F.concat(F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.floor(F.abs(e[5]) * 40) % 12 + 1).cast("int")), F.when(e[0] > 0, " Major").otherwise(" Minor"))
     return embeddings.select(
         F.format_string("a%06d", "vec_id").alias("asset_id"), F.concat(F.lit("s"), "label").alias("song_id"),
         F.round(120 + 200 * e[0], 3).alias("tempo"), F.round(2000 + 4000 * e[1], 3).alias("spectral_centroid"),
-        F.round(0.5 + e[2], 4).alias("loudness"), F.round(0.5 + e[3], 4).alias("rms"), F.round(0.5 + e[4], 4).alias("flatness"),
-        F.floor(F.abs(e[5]) * 40).cast("int").alias("pc"), (e[0] > 0).alias("major"),
+        F.round(e[2] * 10, 4).alias("loudness_lufs"), F.round(0.5 + e[3], 4).alias("spectral_flatness"), key.alias("est_key"),
+    )
+
+
+def alignments(events: DataFrame) -> DataFrame:
+    """events as used audio spans: the JSON key is the asset, the value the start."""
+    v = F.col("value")
+    return events.select(
+        F.col("event_id").alias("reel_pk"), F.format_string("a%03d", F.get_json_object("props", "$.k").cast("int")).alias("asset_id"),
+        F.when(v >= 1, v).alias("used_segment_start"), (v + 15).alias("used_segment_end"), F.when(F.col("event_type") != "view", v / 100).alias("align_confidence"),
+        F.when(F.col("event_type") == "view", (v > 50).cast("int")).otherwise(0).alias("has_overlay"),
+    )
+
+
+def edits(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """lineitem quantities as the few cut times of their order; priority and month are the asset."""
+    cuts = lineitem.groupBy(F.col("l_orderkey").alias("reel_pk")).agg(
+        F.array_sort(F.collect_list(F.col("l_quantity") / 4)).alias("cut_times"), F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_quantity") / 4))).alias("soft_times")
     )
+    asset = F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("/"), F.substring("o_orderpriority", 1, 1))
+    return cuts.join(orders.select(F.col("o_orderkey").alias("reel_pk"), asset.alias("asset_id"), (F.col("o_totalprice") / 1000).alias("duration"), "o_orderstatus"), "reel_pk").withColumn("cut_times_aligned", F.col("cut_times"))
 
 
 def doc_comments(documents: DataFrame) -> DataFrame:
