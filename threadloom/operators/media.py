@@ -347,7 +347,7 @@ def cluster_edits(edits: DataFrame, aligned: DataFrame, eps: float = 0.5, min_sa
     border = arcs.join(cp, "p", "left_anti").join(placed.select(F.col("p").alias("q"), "label"), "q").groupBy("p").agg(F.min("label").alias("label"))
     final = points.join(placed.unionByName(border), "p", "left").select("asset_id", F.col("cuts").alias("cut_times_aligned"), F.coalesce("label", F.lit(-1)).alias("edit_cluster"))
     clustered = use.filter("ok").join(final, ["asset_id", "cut_times_aligned"]).select("reel_pk", "asset_id", "edit_cluster")
-    return clustered.unionByName(use.filter("NOT ok").select("reel_pk", "asset_id", F.lit(None).cast("int").alias("edit_cluster")))
+    return durable(clustered.unionByName(use.filter("NOT ok").select("reel_pk", "asset_id", F.lit(None).cast("int").alias("edit_cluster"))))
 
 
 def grouping_totals(clusters: DataFrame) -> DataFrame:
