@@ -144,10 +144,13 @@ def drop_rejected(videos: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def trigrams(c: Column | str) -> Column:
-    """Character trigrams of the lower-cased letters of a text, words padded by blanks."""
-    clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " ")), F.lit(" "))
-    n = F.length(clean)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(clean, i, 3))).otherwise(F.array().cast("array<string>"))
+    """Character trigrams of the lower-cased words of a text, each word padded by a blank.
+
+    Working word by word keeps the cost linear in the text length.
+    """
+    words = F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, 3))))
 
 
 def language_profiles(labelled: DataFrame, size: int = 300) -> DataFrame:

@@ -43,7 +43,7 @@ def through_json(t):
     return text.select("video_id", F.from_json("j", d.ENTRY).alias("e")).select("video_id", "e.*")
 
 
-@query("flat_comments", f"""WITH {CONV} SELECT video_id, comment_id, pos, author_channel_id, text, strftime(date,{TS}) AS date, likes, CASE WHEN role<>'system' THEN (likes%7)/10 END AS sentiment FROM cc""")
+@query("flat_comments", f"""WITH {CONV} SELECT video_id, comment_id, row_number() OVER (PARTITION BY video_id ORDER BY pos)-1 AS pos, author_channel_id, text, strftime(date,{TS}) AS date, likes, CASE WHEN role<>'system' THEN (likes%7)/10 END AS sentiment FROM cc""")
 def _(t):
     return d.comments(through_json(t)).select("video_id", "comment_id", "pos", "author_channel_id", "text", "date", "likes", "sentiment")
 
@@ -364,8 +364,9 @@ def _(t):
     return quality.drop_rejected(t.documents.select(vid), t.labels.select(vid, (F.col("quality") == 1).alias("keep")))
 
 
-GRAMS = r"""t AS (SELECT doc_id, lang, ' '||trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'))||' ' AS c FROM documents), g AS (SELECT doc_id, lang, substr(c, i::BIGINT, 3) AS trigram FROM t, LATERAL (SELECT unnest(range(1, length(c)-1)) AS i)),
-gc AS (SELECT doc_id, lang, trigram, count(*) AS n FROM g GROUP BY ALL), pf AS (SELECT lang AS language, trigram, 301-row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, trigram) AS weight FROM gc GROUP BY 1,2 QUALIFY weight>0)"""
+GRAMS = r"""w AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x<>'')) AS w FROM documents), wc AS (SELECT doc_id, lang, ' '||w||' ' AS w, count(*) AS k FROM w GROUP BY ALL),
+g AS (SELECT doc_id, lang, k, unnest(list_transform(range(1, length(w)-1), lambda i: substr(w, i, 3))) AS trigram FROM wc),
+gc AS (SELECT doc_id, lang, trigram, sum(k) AS n FROM g GROUP BY doc_id, lang, trigram), pf AS (SELECT lang AS language, trigram, 301-row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, trigram) AS weight FROM gc GROUP BY 1,2 QUALIFY weight>0)"""
 
 
 @query("language_profiles", f"WITH {GRAMS} SELECT language, trigram, weight FROM pf")

@@ -58,9 +58,8 @@ def _sentiment(c: str):
 def comments(nested: DataFrame) -> DataFrame:
     """Comment rows with position; bad dates and 'N/A' sentiments are null."""
     rows = nested.select("video_id", F.posexplode("comments").alias("pos", "c")).select("video_id", "pos", "c.*")
-    return rows.drop("replies", "youtube_comment_id", "date").select(
-        "*", rows["youtube_comment_id"].alias("comment_id"), parse_timestamp(rows["date"]).alias("date"), _sentiment("vader_sentiment").alias("sentiment")
-    )
+    out = rows.drop("replies").withColumnRenamed("youtube_comment_id", "comment_id")
+    return out.withColumn("date", parse_timestamp("date")).withColumn("sentiment", _sentiment("vader_sentiment"))
 
 
 def replies(nested: DataFrame) -> DataFrame:
@@ -69,7 +68,8 @@ def replies(nested: DataFrame) -> DataFrame:
     rows = c.select("video_id", "comment_pos", F.col("c.youtube_comment_id").alias("comment_id"), F.posexplode("c.replies").alias("pos", "r")).select(
         "video_id", "comment_id", "comment_pos", "pos", "r.*"
     )
-    return rows.drop("date").select("*", F.col("youtube_reply_id").alias("reply_id"), parse_timestamp(rows["date"]).alias("date"), _sentiment("vader_sentiment").alias("sentiment")).drop("youtube_reply_id")
+    out = rows.withColumnRenamed("youtube_reply_id", "reply_id")
+    return out.withColumn("date", parse_timestamp("date")).withColumn("sentiment", _sentiment("vader_sentiment"))
 
 
 def messages(comment_rows: DataFrame, reply_rows: DataFrame) -> DataFrame:

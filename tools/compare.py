@@ -3,6 +3,7 @@
 import argparse
 import math
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -44,6 +45,7 @@ def main():
     ]
     bad = 0
     for n in chosen:
+        print(f"  {n} ...", file=sys.stderr, flush=True)
         try:
             t = time.time()
             df = QUERIES[n](spark, a.sf)
@@ -53,10 +55,13 @@ def main():
                 print(f"rows {n}: {len(got)} rows {spent:.1f}s")
                 continue
             t = time.time()
+            stop = threading.Timer(30, con.interrupt)
+            stop.start()
             cur = con.execute(ORACLE[n])
             cols = [d[0] for d in cur.description]
             order = sorted(range(len(cols)), key=lambda i: cols[i])
             want = [tuple(r[i] for i in order) for r in cur.fetchall()]
+            stop.cancel()
             ospent = time.time() - t
             problem = None
             if sorted(df.columns) != sorted(cols):
