@@ -54,3 +54,14 @@ def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: i
         .groupBy("a", "b").agg(F.count("*").alias("weight"))
         .filter(F.col("weight") >= min_weight)
     )
+
+
+def short_list_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b, weight) for groups that are short by nature, such as the tags of one caption.
+
+    One shuffle brings a list together; its pairs are formed in the row and
+    counted with map-side combining.
+    """
+    lists = members.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("l"))
+    firsts = lists.select("l", F.posexplode("l").alias("i", "a"))
+    return firsts.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))

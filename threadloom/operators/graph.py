@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import asset_label, clean_tag, filled, nfc, ranked_top, scalar, song_label, top_n, top_per_group
 from ..functions.components import betweenness, connected_components, eigenvector_centrality, label_propagation, modularity
 from ..functions.numbering import number_rows
-from ..functions.pairs import shared_group_counts
+from ..functions.pairs import shared_group_counts, short_list_pairs
 from ..functions.quantiles import exact_percentiles
 from ..session import durable
 from .scope import right_closed_histogram
@@ -290,7 +290,7 @@ def filter_edges(edges: DataFrame, min_weight: int, relation: str) -> DataFrame:
 def tag_cooccurrence(tags: DataFrame, min_weight: int = 1) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of hashtags used together in a reel."""
     distinct = tags.filter(filled("hashtag")).select("reel_pk", "hashtag").distinct()
-    pairs = shared_group_counts(distinct, "reel_pk", "hashtag")
+    pairs = short_list_pairs(distinct, "reel_pk", "hashtag")
     edges = filter_edges(
         pairs.select(F.concat(F.lit("hashtag:"), "a").alias("source"), F.concat(F.lit("hashtag:"), "b").alias("target"), "weight"),
         min_weight, "cooccurs_in_reel",
@@ -361,7 +361,7 @@ def tag_network(clean: DataFrame, min_tag_count: int = 5, min_edge_count: int =
     n = scalar(clean, F.countDistinct("reel_pk").alias("n"))["n"]
     counts = clean.groupBy("hashtag").agg(F.count("*").alias("count")).filter(F.col("count") >= min_tag_count)
     kept = clean.join(counts.select("hashtag"), "hashtag", "left_semi")
-    pairs = shared_group_counts(kept, "reel_pk", "hashtag").filter(F.col("weight") >= min_edge_count)
+    pairs = short_list_pairs(kept, "reel_pk", "hashtag").filter(F.col("weight") >= min_edge_count)
     both = pairs.join(counts.select(F.col("hashtag").alias("a"), F.col("count").alias("ca")), "a").join(
         counts.select(F.col("hashtag").alias("b"), F.col("count").alias("cb")), "b"
     )
@@ -424,7 +424,7 @@ def simple_cooccurrence(tags: DataFrame, n: int | None = 25, min_count: int = 5)
     """Tag pairs by count with the counts of both tags."""
     distinct = tags.filter(filled("hashtag")).select("reel_pk", F.lower("hashtag").alias("hashtag")).distinct()
     counts = distinct.groupBy("hashtag").agg(F.count("*").alias("c"))
-    pairs = shared_group_counts(distinct, "reel_pk", "hashtag").filter(F.col("weight") >= min_count)
+    pairs = short_list_pairs(distinct, "reel_pk", "hashtag").filter(F.col("weight") >= min_count)
     out = pairs.join(counts.select(F.col("hashtag").alias("a"), F.col("c").alias("count_a")), "a").join(
         counts.select(F.col("hashtag").alias("b"), F.col("c").alias("count_b")), "b"
     ).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("weight").alias("shared"), "count_a", "count_b")

@@ -10,6 +10,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# tables with much work per row, and their unique keys
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+SMALL_INPUT = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small text table over the cores; one file with one row group would be one task.
+
+    A large input already has a split per block and is left alone.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL_INPUT else df
+
+
 class Tables:
     """Lazy parquet tables of one scale-factor directory."""
 
@@ -17,7 +31,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def presentable(df: DataFrame) -> DataFrame:

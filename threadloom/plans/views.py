@@ -79,5 +79,5 @@ ACOUSTICS = """acoustics AS (SELECT printf('a%06d', vec_id) AS asset_id, 's'||la
 ALIGNMENTS = """aligned AS (SELECT event_id AS reel_pk, printf('a%03d', CAST(json_extract_string(props,'$.k') AS INTEGER)) AS asset_id, CASE WHEN value>=1 THEN value END AS used_segment_start, value+15 AS used_segment_end,
  CASE WHEN event_type<>'view' THEN value/100 END AS align_confidence, CASE WHEN event_type='view' THEN (value>50)::INTEGER ELSE 0 END AS has_overlay FROM events)"""
 
-EDITS = """edits AS (SELECT reel_pk, cut_times, soft_times, strftime(o_orderdate,'%Y-%m')||'/'||substr(o_orderpriority,1,1) AS asset_id, o_totalprice/1000 AS duration, o_orderstatus FROM
+EDITS = """edits AS (SELECT reel_pk, cut_times, soft_times, 'c'||o_custkey AS asset_id, o_totalprice/1000 AS duration, o_orderstatus FROM
  (SELECT l_orderkey AS reel_pk, list_sort(list(l_quantity/4)) AS cut_times, list_sort(coalesce(list(l_quantity/4) FILTER (l_returnflag='R'),[])) AS soft_times FROM lineitem GROUP BY 1) JOIN orders ON o_orderkey=reel_pk)"""

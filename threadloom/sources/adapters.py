@@ -170,11 +170,11 @@ def alignments(events: DataFrame) -> DataFrame:
 
 
 def edits(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """lineitem quantities as the few cut times of their order; priority and month are the asset."""
+    """lineitem quantities as the few cut times of their order; the customer is the asset."""
     cuts = lineitem.groupBy(F.col("l_orderkey").alias("reel_pk")).agg(
         F.array_sort(F.collect_list(F.col("l_quantity") / 4)).alias("cut_times"), F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_quantity") / 4))).alias("soft_times")
     )
-    asset = F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("/"), F.substring("o_orderpriority", 1, 1))
+    asset = F.concat(F.lit("c"), "o_custkey")
     return cuts.join(orders.select(F.col("o_orderkey").alias("reel_pk"), asset.alias("asset_id"), (F.col("o_totalprice") / 1000).alias("duration"), "o_orderstatus"), "reel_pk").withColumn("cut_times_aligned", F.col("cut_times"))
 
 
