@@ -395,18 +395,16 @@ def tag_clusters(nodes: DataFrame, edges: DataFrame, max_edges: int = 400, label
 def semantic_clusters(tags: DataFrame, rules: DataFrame, other: str = "Other") -> DataFrame:
     """Label of each distinct tag from ordered rules (ord, kind, term, label).
 
-    Priority and contains rules match substrings, exact rules whole tags. The
-    rule table is a hand-written term list; the plan broadcasts it only below
-    Spark's size limit.
+    Priority and contains rules match substrings, exact rules whole tags; the
+    lowest ord wins. Rules are a hand-written list, so they become one column
+    expression and need no join.
     """
-    names = tags.select("hashtag").distinct()
-    exact = rules.filter("kind = 'exact'").select(F.col("term").alias("hashtag"), "ord", "label")
-    part = rules.filter("kind <> 'exact'").select("term", "ord", "label")
-    hits = names.join(exact, "hashtag").select("hashtag", "ord", "label").unionByName(
-        names.join(part, F.contains("hashtag", "term")).select("hashtag", "ord", "label")
-    )
-    best = hits.groupBy("hashtag").agg(F.min_by("label", "ord").alias("label"))
-    return names.join(best, "hashtag", "left").select("hashtag", F.coalesce("label", F.lit(other)).alias("semantic_cluster"))
+    tag = F.col("hashtag")
+    steps = [
+        F.when(tag == r.term if r.kind == "exact" else tag.contains(r.term), F.lit(r.label))
+        for r in rules.orderBy("ord").collect()
+    ]
+    return tags.select("hashtag").distinct().withColumn("semantic_cluster", F.coalesce(*steps, F.lit(other)))
 
 
 def semantic_summary(nodes: DataFrame, rules: DataFrame, top: int = 12) -> DataFrame:
