@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _BLOCK = 2000
+_SHORT = 500
 
 
 def _ordered(left: str, right: str) -> Column:
@@ -27,7 +28,8 @@ def group_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
 def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: int = 1, max_group: int | None = None) -> DataFrame:
     """(a, b, weight) for pairs sharing at least ``min_weight`` groups; ``members`` is distinct.
 
-    ``max_group`` leaves out larger groups when that is the wanted meaning.
+    ``max_group`` leaves out larger groups when that is the wanted meaning; a
+    small bound makes every group a short list.
     Without it and with ``min_weight`` > 1, each item sets aside its
     ``min_weight - 1`` largest groups: a qualifying pair still meets in one of
     the remaining groups of both, so those small groups give all candidates
@@ -41,6 +43,8 @@ def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: i
     if min_weight > 1:
         often = m.groupBy(item).count().filter(F.col("count") >= min_weight).select(item)
         m = m.join(often, item, "left_semi")
+    if max_group is not None and max_group <= _SHORT:
+        return short_list_pairs(m, group, item).filter(F.col("weight") >= min_weight)
     if min_weight == 1 or max_group is not None:
         return group_pairs(m, group, item).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
     sized = m.join(m.groupBy(group).agg(F.count("*").alias("__n")), group)

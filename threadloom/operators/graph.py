@@ -71,13 +71,17 @@ def _as_edges(pairs: DataFrame) -> DataFrame:
 
 
 def _eligible(edges: DataFrame, roles, exclude_uploader, max_participants, min_videos, top) -> tuple[DataFrame, DataFrame]:
-    """Participation rows that pass the filters, and ranked channels (channel_id, videos, rank)."""
+    """Participation rows that pass the filters, and ranked channels (channel_id, videos, rank).
+
+    The rows are read several times, so they are written durably once.
+    """
     part = participants(edges, roles)
     if exclude_uploader and "uploader" in roles:
         part = part.join(participants(edges, ["uploader"]), ["video_id", "channel_id"], "left_anti")
     if max_participants is not None:
         small = part.groupBy("video_id").count().filter(F.col("count") <= max_participants).select("video_id")
         part = part.join(small, "video_id", "left_semi")
+    part = durable(part)
     busy = part.groupBy("channel_id").agg(F.count("*").alias("videos")).filter(F.col("videos") >= min_videos)
     keep = durable(ranked_top(busy, top, F.desc("videos"), F.asc("channel_id")))
     return part.join(keep.select("channel_id"), "channel_id", "left_semi"), keep
@@ -358,6 +362,7 @@ def clean_tags(tags: DataFrame, stop: Sequence[str] = STOP_TAGS, noise_prefixes:
 
 def tag_network(clean: DataFrame, min_tag_count: int = 5, min_edge_count: int = 3) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with share of reels, Jaccard and PMI (log2)."""
+    clean = durable(clean)  # read four times below
     n = scalar(clean, F.countDistinct("reel_pk").alias("n"))["n"]
     counts = clean.groupBy("hashtag").agg(F.count("*").alias("count")).filter(F.col("count") >= min_tag_count)
     kept = clean.join(counts.select("hashtag"), "hashtag", "left_semi")
