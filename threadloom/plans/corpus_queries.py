@@ -238,9 +238,9 @@ def _(t):
     return rt.detail_rows(r, "salt").select("reel_pk", "taken_at", "like_count", "caption_text")
 
 
-@query("caption_hashtags", r"SELECT DISTINCT doc_id AS reel_pk, unnest(list_transform(regexp_extract_all(text, '#([\p{L}\p{M}\p{N}_]+)', 1), lambda x: lower(x))) AS hashtag FROM documents")
+@query("caption_hashtags", r"SELECT DISTINCT page_id AS reel_pk, unnest(list_transform(regexp_extract_all(url||' '||html, '#([\p{L}\p{M}\p{N}_]+)', 1), lambda x: lower(x))) AS hashtag FROM pages")
 def _(t):
-    return rt.caption_tags(t.documents.select(F.col("doc_id").alias("reel_pk"), F.col("text").alias("caption_text")))
+    return rt.caption_tags(t.pages.select(F.col("page_id").alias("reel_pk"), F.concat_ws(" ", "url", "html").alias("caption_text")))
 
 
 @query("work_queue", f"WITH {VISION_STATE} SELECT doc_id AS reel_pk FROM documents WHERE doc_id NOT IN (SELECT reel_pk FROM vision_state WHERE status NOT IN ('pending','failed')) ORDER BY 1 LIMIT 300")
