@@ -219,7 +219,7 @@ AUDIO = f"au AS (SELECT *, {_hits(MUSIC)} AS mh, {_hits(VISUAL)} AS vh FROM capt
 @query("audio_filter_scores", f"""WITH {CAPTIONS}, {AUDIO} SELECT reel_pk, array_to_string(mh,'|') AS music_hits, array_to_string(vh,'|') AS visual_world_hits, len(mh) AS music_discourse_score, len(vh) AS visual_world_score,
  len(mh)>0 AS has_music_discourse, len(vh)>0 AS has_visual_world, len(vh)>0 AND len(mh)=0 AS audio_filter_use, len(vh)-len(mh) AS audio_filter_index FROM au""")
 def _(t):
-    return talk.audio_filter_scores(a.caption_reels(t.documents), MUSIC, VISUAL, tags=None).drop("song_id", "asset_id", "variant_label", "caption_text", "play_count")
+    return talk.audio_filter_scores(a.caption_reels(t.documents), MUSIC, VISUAL, tags=None).drop("song_id", "asset_id", "variant_label", "caption_text", "play_count", "impact_metric", "taken_at", "creator_pseudo")
 
 
 for _g in ("song_id", "asset_id"):
