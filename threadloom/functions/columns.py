@@ -17,6 +17,16 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def exact(c: Column | str) -> Column:
+    """A double as a decimal, so that sums do not depend on the order of the rows."""
+    return col(c).cast("decimal(28,10)")
+
+
+def exact_mean(c: Column | str) -> Column:
+    """Mean of doubles from an exact sum."""
+    return F.sum(exact(c)).cast("double") / F.count(c)
+
+
 def filled(c: Column | str) -> Column:
     """True for a non-empty string."""
     return col(c).isNotNull() & (col(c) != "")
@@ -113,12 +123,12 @@ def rolling_mean(daily: DataFrame, day: str, value: str, name: str, span: Column
     width = daily.agg(F.greatest(F.lit(3), F.floor(span / 50)).alias("w")).scalar()
     order = Window.orderBy(day)
     history = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = daily.withColumn("__i", F.row_number().over(order)).withColumn("__sum", F.sum(value).over(history))
+    numbered = daily.withColumn("__i", F.row_number().over(order)).withColumn("__sum", F.sum(exact(value)).over(history))
     n = F.least(width, F.col("__i"))
     # the frame width is data-dependent, so subtract the running sum of the row before the frame
     earlier = numbered.select((F.col("__i") + width).alias("__i"), F.col("__sum").alias("__old"))
     return (
         numbered.join(earlier, "__i", "left")
-        .withColumn(name, (F.col("__sum") - F.coalesce(F.col("__old"), F.lit(0))) / n)
+        .withColumn(name, (F.col("__sum") - F.coalesce(F.col("__old"), F.lit(0))).cast("double") / n)
         .drop("__i", "__sum", "__old")
     )

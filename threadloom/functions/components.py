@@ -44,11 +44,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def eigenvector_centrality(edges: DataFrame, tol: float = 1e-6, max_rounds: int = 1000) -> DataFrame:
-    """(node, eigenvector) by power iteration on A + I, unweighted, unit length."""
+    """(node, eigenvector, converged) by power iteration on A + I, unweighted, unit length.
+
+    ``converged`` is false in every row where ``max_rounds`` ended the iteration.
+    """
     arcs = durable(both_ways(edges).select("src", "dst").filter("src <> dst").distinct())
     nodes = arcs.select(F.col("src").alias("node")).distinct()
     n = nodes.count()
     x = durable(nodes.withColumn("x", F.lit(1.0 / max(n, 1))))
+    converged = n == 0
     for _ in range(max_rounds if n else 0):
         pulled = arcs.join(x, arcs["src"] == x["node"]).groupBy("dst").agg(F.sum("x").alias("p"))
         raw = x.join(pulled, x["node"] == pulled["dst"], "left").select("node", F.col("x").alias("old"), (F.col("x") + F.coalesce("p", F.lit(0.0))).alias("y"))
@@ -57,21 +61,13 @@ def eigenvector_centrality(edges: DataFrame, tol: float = 1e-6, max_rounds: int
         moved = x.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
         x = x.drop("old")
         if moved < n * tol:
+            converged = True
             break
-    return x.withColumnRenamed("x", "eigenvector")
-
-
-def betweenness_sources(n: int) -> int:
-    """How many sources to use for n nodes (exact up to 500)."""
-    # fixed values: source counts by graph size
-    for limit, k in ((1000, n), (5000, 100), (10000, 50), (30000, 25)):
-        if n < limit:
-            return k
-    return 10
+    return x.select("node", F.col("x").alias("eigenvector"), F.lit(converged).alias("converged"))
 
 
 def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
-    """(node, betweenness), normalised, from all or ``k`` hash-chosen sources.
+    """(node, betweenness, k, n), normalised: exact from all ``n`` nodes unless ``k`` hash-chosen sources are asked for.
 
     All sources advance one level per round; the frames hold (source, node,
     path count) and are written durably, then dependencies flow back.
@@ -79,8 +75,7 @@ def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
     arcs = durable(both_ways(edges).select("src", "dst").filter("src <> dst").distinct())
     nodes = durable(arcs.select(F.col("src").alias("node")).distinct())
     n = nodes.count()
-    if k is None:
-        k = n if n <= 500 else betweenness_sources(n)
+    k = n if k is None else min(k, n)
     sources = nodes if k >= n else nodes.orderBy(F.xxhash64("node"), "node").limit(k)
     level = durable(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "node")
@@ -109,21 +104,24 @@ def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
         part = flow.filter("s <> node").select("node", "d")
         total = part if total is None else total.unionByName(part)
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / k if 0 < k < n else 1.0)
+    said = [F.lit(k).cast("long").alias("k"), F.lit(n).cast("long").alias("n")]
     if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
+        return nodes.select("node", F.lit(0.0).alias("betweenness"), *said)
     summed = total.groupBy("node").agg((F.sum("d") * scale).alias("betweenness"))
-    return nodes.join(summed, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    return nodes.join(summed, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), *said)
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): every round each node takes the heaviest label around it.
+def label_propagation(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(node, community, converged): every round each node takes the heaviest label around it, until none moves.
 
     A node's own label counts with its mean edge weight, ties go to the
-    smallest label, so the result does not depend on partitioning.
+    smallest label, so the result does not depend on partitioning. Labels that
+    still swap after ``max_rounds`` are told by ``converged`` false in every row.
     """
+    converged = False
     arcs = durable(both_ways(edges))
     labels = durable(arcs.groupBy(F.col("src").alias("node")).agg(F.avg("weight").alias("own")).withColumn("community", F.col("node")))
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         votes = (
             arcs.join(labels.select("node", "community"), arcs["dst"] == F.col("node"))
             .select(F.col("src").alias("node"), "community", "weight")
@@ -135,15 +133,16 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         moved = new.filter("community <> next").count()
         labels = new.select("node", "own", F.col("next").alias("community"))
         if moved == 0:
+            converged = True
             break
-    return labels.select("node", "community")
+    return labels.select("node", "community", F.lit(converged).alias("converged"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """Per community: nodes, weight inside, weight touching, modularity share; total in every row."""
     w = F.col("weight") if "weight" in edges.columns else F.lit(1)
     e = edges.select("src", "dst", w.cast("double").alias("weight"))
-    c = communities
+    c = communities.select("node", "community")
     tagged = e.join(c.select(F.col("node").alias("src"), F.col("community").alias("ca")), "src").join(
         c.select(F.col("node").alias("dst"), F.col("community").alias("cb")), "dst"
     )

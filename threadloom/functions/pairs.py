@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _BLOCK = 2000
-_SHORT = 500
 
 
 def _ordered(left: str, right: str) -> Column:
@@ -28,25 +27,21 @@ def group_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
 def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: int = 1, max_group: int | None = None) -> DataFrame:
     """(a, b, weight) for pairs sharing at least ``min_weight`` groups; ``members`` is distinct.
 
-    ``max_group`` leaves out larger groups when that is the wanted meaning; a
-    small bound makes every group a short list.
-    Without it and with ``min_weight`` > 1, each item sets aside its
-    ``min_weight - 1`` largest groups: a qualifying pair still meets in one of
-    the remaining groups of both, so those small groups give all candidates
-    and the large ones are only used to count. Exact, and no pairs are formed
-    inside the largest groups.
+    Exact prefix filter: every item orders its groups from the smallest to the
+    largest and sets aside its ``min_weight - 1`` largest ones. A qualifying
+    pair still meets in a group both have kept, so only those groups give
+    candidates, and sets of groups are compared for candidates only. With a
+    threshold of 1 every pair that meets is part of the result; ``max_group``
+    leaves out larger groups where a caller means that.
     """
     m = members.select(group, item)
     if max_group is not None:
         small = m.groupBy(group).count().filter(F.col("count") <= max_group).select(group)
         m = m.join(small, group, "left_semi")
-    if min_weight > 1:
-        often = m.groupBy(item).count().filter(F.col("count") >= min_weight).select(item)
-        m = m.join(often, item, "left_semi")
-    if max_group is not None and max_group <= _SHORT:
-        return short_list_pairs(m, group, item).filter(F.col("weight") >= min_weight)
-    if min_weight == 1 or max_group is not None:
-        return group_pairs(m, group, item).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    if min_weight == 1:
+        return group_pairs(m, group, item).groupBy("a", "b").agg(F.count("*").alias("weight"))
+    often = m.groupBy(item).count().filter(F.col("count") >= min_weight).select(item)
+    m = m.join(often, item, "left_semi")
     sized = m.join(m.groupBy(group).agg(F.count("*").alias("__n")), group)
     largest_first = Window.partitionBy(item).orderBy(F.desc("__n"), group)
     probe = sized.withColumn("__r", F.row_number().over(largest_first)).filter(F.col("__r") >= min_weight).select(group, item)

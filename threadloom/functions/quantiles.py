@@ -1,9 +1,11 @@
 """Exact grouped percentiles that never gather a whole group.
 
 ``percentile``/``median`` keep every distinct value of a group in one
-aggregation buffer. Here a mergeable sketch brackets each wanted rank, the rows
-outside the brackets collapse into single counted rows before the shuffle, and
-only the thin slice inside a bracket is ranked exactly.
+aggregation buffer. Here values fall into cells of a fixed, order-preserving
+grid (65,536 to each power of two). Cells are counted with a map-side combine,
+so only (group, cell) counts are shuffled; they show in which cell each wanted
+rank lies, and only a cell that holds different values is looked into again,
+through counts by value.
 """
 
 from __future__ import annotations
@@ -12,14 +14,25 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_ACCURACY = 2000
-_MARGIN = 2.0 / _ACCURACY
+_CELLS = 65536
+
+
+def grid_cell(x: Column) -> Column:
+    """Number of the grid cell of a double; it never falls where x rises.
+
+    A logarithm that is off by one at a power of two gives the same number.
+    """
+    a = F.abs(x)
+    power = F.floor(F.log2(a))
+    inside = F.floor((a / F.pow(F.lit(2.0), power) - 1) * _CELLS)
+    size = F.when(a < 1e-300, F.lit(0)).when(a > 1e300, F.lit(2200 * _CELLS)).otherwise((power + 1100) * _CELLS + inside).cast("long")
+    return F.when(a == 0, F.lit(0)).when(x < 0, -1 - size).otherwise(size + 1).cast("long")
 
 
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float]]
 ) -> DataFrame:
-    """One row per key with linear-interpolated percentiles.
+    """One row per key with linear-interpolated percentiles; without keys at most one row.
 
     ``wanted`` maps an output name to ``(value column, fraction)``. Nulls are
     ignored; keys may be null; a key without values is absent from the result.
@@ -36,56 +49,47 @@ def exact_percentiles(
         df.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], F.explode(measures).alias("e"))
         .select(*ids, "e.m", "e.p", "e.x")
         .filter(F.col("x").isNotNull() & ~F.isnan("x"))
+        .withColumn("cell", grid_cell(F.col("x")))
+    )
+    cells = long.groupBy(*ids, "m", "p", "cell").agg(F.count("x").alias("c"), F.min("x").alias("first"), F.max("x").alias("last"))
+    group = Window.partitionBy(*ids, "m")
+    ranked = (
+        cells.withColumn("end", F.sum("c").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("start", F.col("end") - F.col("c"))
+        .withColumn("position", (F.sum("c").over(group) - 1) * F.col("p"))
     )
-    fractions = sorted({float(p) for _, p in wanted.values()})
-    bounds = F.percentile_approx("x", [b for p in fractions for b in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))], _ACCURACY)
-    sketch = long.groupBy(*ids, "m").agg(F.count("x").alias("n"), bounds.alias("b"), F.first("p").alias("p0"))
-    pick_lo, pick_hi = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i, p in enumerate(fractions):
-        here = F.col("p0") == F.lit(p)
-        pick_lo = F.when(here, F.col("b")[2 * i]).otherwise(pick_lo)
-        pick_hi = F.when(here, F.col("b")[2 * i + 1]).otherwise(pick_hi)
-    sketch = sketch.select(
-        *[F.col(i).alias(i + "s") for i in ids], F.col("m").alias("ms"), "n", pick_lo.alias("lo"), pick_hi.alias("hi")
+    ends = F.array(*[F.struct(F.lit(w).alias("w"), rank.cast("long").alias("rank")) for w, rank in (("a", F.floor("position")), ("z", F.ceil("position")))])
+    hits = (
+        ranked.select("*", F.explode(ends).alias("e")).filter((F.col("start") <= F.col("e.rank")) & (F.col("e.rank") < F.col("end")))
+        .select(*ids, "m", "position", "cell", "first", "last", "e.w", (F.col("e.rank") - F.col("start")).alias("nth"), "c")
     )
-    on = F.col("m") == F.col("ms")
+    known = F.when(F.col("nth") == 0, F.col("first")).when(F.col("nth") == F.col("c") - 1, F.col("last")).when(F.col("first") == F.col("last"), F.col("first"))
+    told = hits.withColumn("x", known)
+    mixed = told.filter(F.col("x").isNull()).select(*[F.col(i).alias(i + "s") for i in ids], F.col("m").alias("ms"), F.col("cell").alias("cs"), "position", "w", "nth")
+    on = (F.col("m") == F.col("ms")) & (F.col("cell") == F.col("cs"))
     for i in ids:
         on = on & F.col(i).eqNullSafe(F.col(i + "s"))
-    zone = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
-    counted = (
-        long.join(sketch, on)
-        .select(*ids, "m", "p", "n", "x", zone.alias("zone"), F.when(zone == 0, F.col("x")).alias("spot"))
-        .groupBy(*ids, "m", "p", "n", "zone", "spot")
-        .agg(F.count("x").alias("c"), F.min("x").alias("first"), F.max("x").alias("last"))
+    inner = Window.partitionBy(*ids, "m", "w").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    looked = (
+        long.join(mixed, on).groupBy(*ids, "m", "position", "w", "nth", "x").agg(F.count("*").alias("c"))
+        .withColumn("upto", F.sum("c").over(inner)).filter((F.col("upto") > F.col("nth")) & (F.col("upto") - F.col("c") <= F.col("nth")))
     )
-    run = Window.partitionBy(*ids, "m").orderBy("zone", "spot")
-    ranked = counted.withColumn("end", F.sum("c").over(run)).withColumn("start", F.col("end") - F.col("c"))
-    position = (F.col("n") - 1) * F.col("p")
-
-    def at(index: Column) -> Column:
-        inside = (F.col("start") <= index) & (index < F.col("end"))
-        value = F.when(index == F.col("start"), F.col("first")).otherwise(F.col("last"))
-        return F.max(F.when(inside, value))
-
-    low, high = F.floor(position), F.ceil(position)
-    picked = ranked.groupBy(*ids, "m").agg(
-        at(low).alias("a"), at(high).alias("z"), F.max(position - low).alias("w")
+    found = told.filter(F.col("x").isNotNull()).select(*ids, "m", "position", "w", "x").unionByName(looked.select(*ids, "m", "position", "w", "x"))
+    low, high, weight = (
+        {n: F.max(F.when((F.col("m") == n) & (F.col("w") == w), value)) for n in names}
+        for w, value in (("a", F.col("x")), ("z", F.col("x")), ("a", F.col("position") - F.floor("position")))
     )
-    value = F.col("a") + F.col("w") * (F.col("z") - F.col("a"))
-    return picked.groupBy(*ids).agg(
-        *[F.max(F.when(F.col("m") == n, value)).alias(n) for n in names]
-    ).select(*[F.col(i).alias(k) for i, k in zip(ids, keys)], *names)
+    return found.groupBy(*ids).agg(*[(low[n] + weight[n] * (high[n] - low[n])).alias(n) for n in names]).select(*[F.col(i).alias(k) for i, k in zip(ids, keys)], *names)
 
 
 def with_percentiles(
     grouped: DataFrame, df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float]]
 ) -> DataFrame:
     """Left-join exact percentiles of ``df`` onto an aggregate with the same keys."""
+    found = exact_percentiles(df, keys, wanted)
     if not keys:
-        found = exact_percentiles(df.withColumn("__all", F.lit(1)), ["__all"], wanted)
         one = found.agg(F.struct(*[F.max(n).alias(n) for n in wanted]).alias("s")).scalar()
         return grouped.select("*", *[one[n].alias(n) for n in wanted])
-    found = exact_percentiles(df, keys, wanted)
     renamed = found.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *wanted)
     on = None
     for i, k in enumerate(keys):

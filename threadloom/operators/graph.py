@@ -61,8 +61,8 @@ def reply_network(comments: DataFrame, replies: DataFrame, include_self: bool =
     return rows.groupBy("src", "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
 
 
-def pairwise_interactions(edges: DataFrame, roles: Sequence[str] = ROLES, min_weight: int = 1) -> DataFrame:
-    """Unordered channel pairs with the number of shared videos."""
+def pairwise_interactions(edges: DataFrame, min_weight: int, roles: Sequence[str] = ROLES) -> DataFrame:
+    """Unordered channel pairs with at least ``min_weight`` shared videos; the caller states the threshold."""
     return _as_edges(shared_group_counts(participants(edges, roles), "video_id", "channel_id", min_weight))
 
 
@@ -71,46 +71,54 @@ def _as_edges(pairs: DataFrame) -> DataFrame:
 
 
 def _eligible(edges: DataFrame, roles, exclude_uploader, max_participants, min_videos, top) -> tuple[DataFrame, DataFrame]:
-    """Participation rows that pass the filters, and ranked channels (channel_id, videos, rank).
-
-    The rows are read several times, so they are written durably once.
-    """
+    """Participation rows that pass the filters the caller asks for, and (channel_id, videos)."""
     part = participants(edges, roles)
     if exclude_uploader and "uploader" in roles:
         part = part.join(participants(edges, ["uploader"]), ["video_id", "channel_id"], "left_anti")
     if max_participants is not None:
         small = part.groupBy("video_id").count().filter(F.col("count") <= max_participants).select("video_id")
         part = part.join(small, "video_id", "left_semi")
-    part = durable(part)
-    busy = part.groupBy("channel_id").agg(F.count("*").alias("videos")).filter(F.col("videos") >= min_videos)
-    keep = durable(ranked_top(busy, top, F.desc("videos"), F.asc("channel_id")))
-    return part.join(keep.select("channel_id"), "channel_id", "left_semi"), keep
+    busy = part.groupBy("channel_id").agg(F.count("*").alias("videos"))
+    if min_videos > 1:
+        busy = busy.filter(F.col("videos") >= min_videos)
+    if top is not None:
+        busy = busy.orderBy(F.desc("videos"), F.asc("channel_id")).limit(top)
+    if min_videos > 1 or top is not None:
+        part = part.join(busy.select("channel_id"), "channel_id", "left_semi")
+    return part, busy
+
+
+def _busier_first(pairs: DataFrame, busy: DataFrame) -> DataFrame:
+    """Pairs (a, b, weight) with the channel of more videos, then the smaller id, as ``a``; with both counts."""
+    placed = pairs.join(busy.select(F.col("channel_id").alias("a"), F.col("videos").alias("va")), "a").join(
+        busy.select(F.col("channel_id").alias("b"), F.col("videos").alias("vb")), "b"
+    )
+    turn = (F.col("vb") > F.col("va")) | ((F.col("vb") == F.col("va")) & (F.col("b") < F.col("a")))
+    one, two = F.struct(F.col("a").alias("id"), F.col("va").alias("v")), F.struct(F.col("b").alias("id"), F.col("vb").alias("v"))
+    ends = placed.select("weight", F.when(turn, two).otherwise(one).alias("x"), F.when(turn, one).otherwise(two).alias("y"))
+    return ends.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "weight", F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
 
 
 def interaction_graph(
-    edges: DataFrame, roles: Sequence[str] = ROLES, exclude_uploader: bool = True, top_channels: int = 8000,
-    min_videos_per_channel: int = 2, max_participants_per_video: int | None = 200, min_weight: int = 2,
-    top_k_per_node: int = 50, max_edges: int = 200_000,
+    edges: DataFrame, roles: Sequence[str] = ROLES, exclude_uploader: bool = True, top_channels: int | None = None,
+    min_videos_per_channel: int = 1, max_participants_per_video: int | None = None, min_weight: int = 2,
+    top_k_per_node: int | None = None, max_edges: int | None = None,
 ) -> DataFrame:
-    """Co-participation graph of the busiest channels, thinned per node.
+    """Co-participation graph (src, dst, weight), the busier channel first.
 
-    An edge counts only from the busier end: it stays when the less busy
-    channel is among the busier one's strongest neighbours. The bounded result
-    is written durably, since graph measures read it many times.
+    All channels, videos and edges count unless the caller asks for limits. With
+    ``top_k_per_node`` an edge stays when the less busy channel is among the
+    busier one's strongest neighbours.
     """
-    part, keep = _eligible(edges, roles, exclude_uploader, max_participants_per_video, min_videos_per_channel, top_channels)
-    pairs = shared_group_counts(part, "video_id", "channel_id", min_weight, max_participants_per_video)
-    ranks = keep.select("channel_id", "rank")
-    ranked = durable(
-        pairs.join(ranks.select(F.col("channel_id").alias("a"), F.col("rank").alias("ra")), "a")
-        .join(ranks.select(F.col("channel_id").alias("b"), F.col("rank").alias("rb")), "b")
-    )
-    both = ranked.unionByName(
-        ranked.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", F.col("rb").alias("ra"), F.col("ra").alias("rb"))
-    )
-    near = top_per_group(both, ["a"], top_k_per_node, F.desc("weight"), F.asc("rb"), name="k").filter("ra < rb")
-    strongest = near.orderBy(F.desc("weight"), "ra", "rb").limit(max_edges)
-    return durable(strongest.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"))
+    part, busy = _eligible(edges, roles, exclude_uploader, max_participants_per_video, min_videos_per_channel, top_channels)
+    out = _busier_first(shared_group_counts(part, "video_id", "channel_id", min_weight), busy)
+    if top_k_per_node is not None:
+        turned = out.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", F.col("vb").alias("va"), F.col("va").alias("vb"), F.lit(False).alias("own"))
+        both = out.withColumn("own", F.lit(True)).unionByName(turned)
+        out = top_per_group(both, ["a"], top_k_per_node, F.desc("weight"), F.desc("vb"), F.asc("b"), name="k").filter("own")
+    if max_edges is not None:
+        out = out.orderBy(F.desc("weight"), F.desc("va"), "a", F.desc("vb"), "b").limit(max_edges)
+    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
 
 
 def participation_matrix(edges: DataFrame, roles: Sequence[str] = ROLES, top_channels: int | None = None, top_videos: int | None = None) -> DataFrame:
@@ -143,19 +151,22 @@ def similarity_settings(matrix: DataFrame) -> DataFrame:
     )
 
 
-def channel_similarity(matrix: DataFrame, how: str = "cosine", transform: str = "none", max_channels: int = 400, clip: float | None = 0.99) -> DataFrame:
+def channel_similarity(matrix: DataFrame, how: str = "cosine", transform: str = "none", max_channels: int | None = None, clip: float | None = 0.99, min_shared: int = 1) -> DataFrame:
     """Similarity of channel pairs that share a video, with the clip level of the positive values.
 
-    Only the ``max_channels`` most active channels take part, as in the heat
-    map. Pairs without a shared video have dot and cosine 0; their Pearson
-    value follows from the row totals and is never positive.
+    ``max_channels`` keeps the most active channels only, ``min_shared`` the
+    pairs with so many shared videos. Pairs without a shared video have dot and
+    cosine 0; their Pearson value follows from the row totals and is never
+    positive.
     """
     size = scalar(matrix, F.countDistinct("video_id").alias("v"))
     totals = matrix.groupBy("channel_id").agg(F.count("*").alias("n"))
-    best = durable(totals.orderBy(F.desc("n"), "channel_id").limit(max_channels))
-    pairs = shared_group_counts(matrix.join(best.select("channel_id"), "channel_id", "left_semi"), "video_id", "channel_id")
-    pairs = pairs.join(best.select(F.col("channel_id").alias("a"), F.col("n").alias("na")), "a").join(
-        best.select(F.col("channel_id").alias("b"), F.col("n").alias("nb")), "b"
+    if max_channels is not None:
+        totals = totals.orderBy(F.desc("n"), "channel_id").limit(max_channels)
+        matrix = matrix.join(totals.select("channel_id"), "channel_id", "left_semi")
+    pairs = shared_group_counts(matrix, "video_id", "channel_id", min_shared)
+    pairs = pairs.join(totals.select(F.col("channel_id").alias("a"), F.col("n").alias("na")), "a").join(
+        totals.select(F.col("channel_id").alias("b"), F.col("n").alias("nb")), "b"
     )
     w, na, nb, v = F.col("weight"), F.col("na"), F.col("nb"), size["v"]
     unit = 0.4804530139182014 if transform == "log1p" else 1.0  # ln(2) squared
@@ -167,9 +178,7 @@ def channel_similarity(matrix: DataFrame, how: str = "cosine", transform: str =
     out = pairs.select(F.col("a").alias("channel_1"), F.col("b").alias("channel_2"), F.col("weight").alias("shared_videos"), value.cast("double").alias("similarity"))
     if clip is None:
         return out
-    out = durable(out)
-    top = exact_percentiles(out.filter("similarity > 0").withColumn("g", F.lit(1)), ["g"], {"q": (F.col("similarity"), clip)})
-    level = top.agg(F.max("q")).scalar()
+    level = exact_percentiles(out.filter("similarity > 0"), [], {"q": (F.col("similarity"), clip)}).agg(F.max("q")).scalar()
     return out.withColumn("clipped", F.least("similarity", level))
 
 
@@ -205,23 +214,14 @@ def centrality_table(graph: DataFrame, n: int = 20, slow: bool = True) -> DataFr
 
 
 def frequent_pairs(
-    edges: DataFrame, threshold: int = 3, roles: Sequence[str] = ROLES, exclude_uploader: bool = True, top_channels: int = 5000,
-    min_videos_per_channel: int = 2, max_participants_per_video: int | None = 200, n: int | None = None,
+    edges: DataFrame, threshold: int = 3, roles: Sequence[str] = ROLES, exclude_uploader: bool = True, top_channels: int | None = None,
+    min_videos_per_channel: int = 1, max_participants_per_video: int | None = None, n: int | None = None,
 ) -> DataFrame:
     """Channel pairs with at least ``threshold`` shared videos, the busier channel first."""
-    part, keep = _eligible(edges, roles, exclude_uploader, max_participants_per_video, min_videos_per_channel, top_channels)
-    pairs = shared_group_counts(part, "video_id", "channel_id", threshold, max_participants_per_video)
-    ranks = keep.select("channel_id", "rank")
-    placed = pairs.join(ranks.select(F.col("channel_id").alias("a"), F.col("rank").alias("ra")), "a").join(
-        ranks.select(F.col("channel_id").alias("b"), F.col("rank").alias("rb")), "b"
-    )
-    first = F.col("ra") < F.col("rb")
-    out = placed.select(
-        F.when(first, F.col("a")).otherwise(F.col("b")).alias("channel_1"),
-        F.when(first, F.col("b")).otherwise(F.col("a")).alias("channel_2"),
-        F.col("weight").alias("co_occurrence"),
-    )
-    return top_n(out, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
+    part, busy = _eligible(edges, roles, exclude_uploader, max_participants_per_video, min_videos_per_channel, top_channels)
+    pairs = _busier_first(shared_group_counts(part, "video_id", "channel_id", threshold), busy)
+    out = pairs.select(F.col("a").alias("channel_1"), F.col("b").alias("channel_2"), F.col("weight").alias("co_occurrence"))
+    return out if n is None else top_n(out, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
 
 
 def frequent_pairs_all(edges: DataFrame, threshold: int = 3, roles: Sequence[str] = ROLES, exclude_uploader: bool = False, n: int | None = None) -> DataFrame:
@@ -234,10 +234,10 @@ def frequent_pairs_all(edges: DataFrame, threshold: int = 3, roles: Sequence[str
     return top_n(out, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
 
 
-def pair_communities(pairs: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Communities of the strongest pairs and their modularity."""
-    strongest = top_n(pairs, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
-    graph = durable(strongest.select(F.col("channel_1").alias("src"), F.col("channel_2").alias("dst"), F.col("co_occurrence").alias("weight")))
+def pair_communities(pairs: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Communities of the pairs, of the ``n`` strongest if asked for, and their modularity."""
+    use = pairs if n is None else top_n(pairs, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
+    graph = durable(use.select(F.col("channel_1").alias("src"), F.col("channel_2").alias("dst"), F.col("co_occurrence").alias("weight")))
     communities = label_propagation(graph)
     return communities, modularity(graph, communities)
 
@@ -362,11 +362,9 @@ def clean_tags(tags: DataFrame, stop: Sequence[str] = STOP_TAGS, noise_prefixes:
 
 def tag_network(clean: DataFrame, min_tag_count: int = 5, min_edge_count: int = 3) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with share of reels, Jaccard and PMI (log2)."""
-    clean = durable(clean)  # read four times below
     n = scalar(clean, F.countDistinct("reel_pk").alias("n"))["n"]
     counts = clean.groupBy("hashtag").agg(F.count("*").alias("count")).filter(F.col("count") >= min_tag_count)
-    kept = clean.join(counts.select("hashtag"), "hashtag", "left_semi")
-    pairs = short_list_pairs(kept, "reel_pk", "hashtag").filter(F.col("weight") >= min_edge_count)
+    pairs = short_list_pairs(clean, "reel_pk", "hashtag").filter(F.col("weight") >= min_edge_count)
     both = pairs.join(counts.select(F.col("hashtag").alias("a"), F.col("count").alias("ca")), "a").join(
         counts.select(F.col("hashtag").alias("b"), F.col("count").alias("cb")), "b"
     )
@@ -378,21 +376,14 @@ def tag_network(clean: DataFrame, min_tag_count: int = 5, min_edge_count: int =
     return counts.withColumn("share", F.col("count") / n), edges
 
 
-def tag_clusters(nodes: DataFrame, edges: DataFrame, max_edges: int = 400, labels: int = 5) -> DataFrame:
-    """Components of the strongest edges; tags without such an edge stay alone.
-
-    ``max_edges`` bounds every component, so the label window stays small.
-    """
-    strong = edges.orderBy(F.desc("weight"), F.desc("jaccard"), "source", "target").limit(max_edges)
-    comp = connected_components(strong, "source", "target").withColumnRenamed("node", "hashtag")
-    rows = nodes.select("hashtag", "count").join(comp, "hashtag", "left").withColumn("component", F.coalesce("component", "hashtag"))
-    order = Window.partitionBy("component").orderBy(F.desc("count"), "hashtag")
-    best = rows.withColumn("r", F.row_number().over(order))
-    top = F.array_sort(F.collect_list(F.when(F.col("r") <= labels, F.struct("r", "hashtag"))))
-    facts = best.groupBy("component").agg(
-        F.count("*").alias("cluster_size"), F.sum("count").alias("total_count"),
-        F.array_join(F.transform(top, lambda t: t["hashtag"]), ", ").alias("cluster_label_suggestion"),
-    )
+def tag_clusters(nodes: DataFrame, edges: DataFrame, min_jaccard: float = 0.0, labels: int = 5) -> DataFrame:
+    """Components of the edges of at least ``min_jaccard``; tags without such an edge stay alone."""
+    comp = connected_components(edges.filter(F.col("jaccard") >= min_jaccard), "source", "target").withColumnRenamed("node", "hashtag")
+    rows = durable(nodes.select("hashtag", "count").join(comp, "hashtag", "left").withColumn("component", F.coalesce("component", "hashtag")))
+    lead = top_per_group(rows, ["component"], labels, F.desc("count"), F.asc("hashtag"), name="r")
+    words = lead.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("r", "hashtag"))).alias("l"))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("cluster_size"), F.sum("count").alias("total_count"))
+    facts = sizes.join(words, "component").withColumn("cluster_label_suggestion", F.array_join(F.transform("l", lambda t: t["hashtag"]), ", ")).drop("l")
     ordered = number_rows(facts, F.desc("total_count"), F.asc("component"), name="cluster_id")
     return rows.join(ordered, "component").select("cluster_id", "hashtag", "count", "cluster_size", "cluster_label_suggestion")
 
@@ -440,7 +431,13 @@ def cluster_sizes(clusters: DataFrame, n: int = 12) -> DataFrame:
     return top_n(out, n, F.desc("total_count"), F.asc("cluster_id"))
 
 
-def network_bundle(tags: DataFrame, rules: DataFrame, min_tag_count: int = 5, min_edge_count: int = 3) -> dict[str, DataFrame]:
-    """Nodes, edges, clusters and semantic summary of the tag network."""
-    nodes, edges = tag_network(clean_tags(tags), min_tag_count, min_edge_count)
-    return {"nodes": nodes, "edges": edges, "clusters": tag_clusters(nodes, edges), "semantic_clusters": semantic_summary(nodes, rules)}
+def network_bundle(
+    tags: DataFrame, rules: DataFrame, min_tag_count: int = 5, min_edge_count: int = 3, stop: Sequence[str] = STOP_TAGS, noise_prefixes: Sequence[str] = NOISE_PREFIXES, cluster_jaccard: float = 0.0,
+) -> dict[str, DataFrame]:
+    """Nodes, edges, clusters and semantic summary of the tag network.
+
+    ``stop`` is the configured stop list; clusters follow edges of at least
+    ``cluster_jaccard``.
+    """
+    nodes, edges = tag_network(clean_tags(tags, stop, noise_prefixes), min_tag_count, min_edge_count)
+    return {"nodes": nodes, "edges": edges, "clusters": tag_clusters(nodes, edges, cluster_jaccard), "semantic_clusters": semantic_summary(nodes, rules)}

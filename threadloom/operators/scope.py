@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import asset_label, impact_sum, ranked_top, ratio, rolling_mean, scalar, song_label, top_n, with_facts
+from ..functions.columns import asset_label, exact_mean, impact_sum, ranked_top, ratio, rolling_mean, scalar, song_label, top_n, with_facts
 from ..functions.quantiles import with_percentiles
 from ..session import durable
 
@@ -51,7 +51,7 @@ def summary_kpis(videos: DataFrame, comments: DataFrame, replies: DataFrame) ->
     total = scalar(videos, F.count("*").alias("n"))
     return comments.join(answered, "comment_id", "left").agg(
         F.count("*").alias("total_comments"),
-        F.round(F.avg("sentiment"), 3).alias("average_sentiment"),
+        F.round(exact_mean("sentiment"), 3).alias("average_sentiment"),
         F.round(F.avg(F.when(F.col("hit").isNotNull(), 100.0).otherwise(0.0)), 2).alias("reply_percentage"),
     ).select(total["n"].alias("total_videos"), "*")
 
@@ -110,9 +110,9 @@ def daily_sentiment(comments: DataFrame) -> DataFrame:
     daily = (
         comments.filter(F.col("date").isNotNull() & F.col("sentiment").isNotNull())
         .groupBy(F.to_date("date").alias("day"))
-        .agg(F.avg("sentiment").alias("sentiment"))
+        .agg(exact_mean("sentiment").alias("sentiment"))
     )
-    overall = scalar(daily, F.avg("sentiment").alias("mean"))
+    overall = scalar(daily, exact_mean("sentiment").alias("mean"))
     out = rolling_mean(daily, "day", "sentiment", "rolling").select("*", overall["mean"].alias("overall_mean"))
     return with_percentiles(out, daily, [], {"overall_median": (F.col("sentiment"), 0.5)})
 
@@ -120,7 +120,7 @@ def daily_sentiment(comments: DataFrame) -> DataFrame:
 def sentiment_distribution(comments: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width histogram of the scores with count, missing share, mean and median."""
     s, f = F.col("sentiment"), F.col("__f")
-    facts = [F.count("*").alias("n"), F.count(s).alias("valid"), F.avg(s).alias("mean"), F.min(s).alias("lo"), F.max(s).alias("hi")]
+    facts = [F.count("*").alias("n"), F.count(s).alias("valid"), exact_mean(s).alias("mean"), F.min(s).alias("lo"), F.max(s).alias("hi")]
     width = (f["hi"] - f["lo"]) / bins
     slot = F.coalesce(F.least(F.floor(F.try_divide(s - f["lo"], width)), F.lit(bins - 1)), F.lit(0)).cast("long")
     rows = with_facts(comments.filter(s.isNotNull()).select("sentiment"), comments, *facts)

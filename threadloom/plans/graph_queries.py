@@ -71,21 +71,27 @@ def _(t):
 
 
 @query("pairwise_interactions", f"""WITH {EDGES}, {PART} SELECT x.channel_id AS src, y.channel_id AS dst, count(*) AS weight FROM part_ x JOIN part_ y USING (video_id)
- WHERE x.channel_id<y.channel_id GROUP BY 1,2""")
+ WHERE x.channel_id<y.channel_id GROUP BY 1,2 HAVING count(*)>=2""")
 def _(t):
-    return graph.pairwise_interactions(ev(t))
+    return graph.pairwise_interactions(ev(t), 2)
 
 
 ELIGIBLE = """p AS (SELECT video_id, channel_id FROM part_ WHERE (video_id, channel_id) NOT IN (SELECT (video_id, channel_id) FROM edges WHERE role='uploader')),
-p2 AS (SELECT * FROM p WHERE video_id IN (SELECT video_id FROM p GROUP BY 1 HAVING count(*)<=200)),
-keep AS (SELECT *, row_number() OVER (ORDER BY videos DESC, channel_id) AS rank FROM (SELECT channel_id, count(*) AS videos FROM p2 GROUP BY 1 HAVING count(*)>=2 ORDER BY videos DESC, channel_id LIMIT {top})),
-p3 AS (SELECT * FROM p2 WHERE channel_id IN (SELECT channel_id FROM keep)),
-pairs AS (SELECT x.channel_id AS a, y.channel_id AS b, count(*) AS weight FROM p3 x JOIN p3 y USING (video_id) WHERE x.channel_id<>y.channel_id GROUP BY 1,2 HAVING count(*)>={w}),
+keep AS (SELECT *, row_number() OVER (ORDER BY videos DESC, channel_id) AS rank FROM (SELECT channel_id, count(*) AS videos FROM p GROUP BY 1)),
+pairs AS (SELECT x.channel_id AS a, y.channel_id AS b, count(*) AS weight FROM p x JOIN p y USING (video_id) WHERE x.channel_id<>y.channel_id GROUP BY 1,2 HAVING count(*)>={w}),
 rp AS (SELECT pairs.*, ka.rank AS ra, kb.rank AS rb FROM pairs JOIN keep ka ON ka.channel_id=a JOIN keep kb ON kb.channel_id=b)"""
 
 
-INTERACTION = f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(top=8000, w=2)},
-g AS (SELECT a AS src, b AS dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, rb) AS k FROM rp) WHERE k<=50 AND ra<rb ORDER BY weight DESC, ra, rb LIMIT 200000)"""
+INTERACTION = f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(w=2)},
+g AS (SELECT a AS src, b AS dst, weight FROM rp WHERE ra<rb)"""
+
+THINNED = f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(w=2)},
+g AS (SELECT a AS src, b AS dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, rb) AS k FROM rp) WHERE k<=20 AND ra<rb)"""
+
+
+@query("interaction_graph_thinned", f"{THINNED} SELECT * FROM g")
+def _(t):
+    return graph.interaction_graph(ev(t), top_k_per_node=20)
 
 
 @query("interaction_graph", f"{INTERACTION} SELECT * FROM g")
@@ -108,7 +114,7 @@ def _(t):
     return graph.similarity_settings(graph.participation_matrix(ev(t)))
 
 
-SIM = f"""WITH {EDGES}, {PART}, v AS (SELECT count(DISTINCT video_id) AS v FROM part_), best AS (SELECT channel_id, count(*) AS n FROM part_ GROUP BY 1 ORDER BY n DESC, channel_id LIMIT 400),
+SIM = f"""WITH {EDGES}, {PART}, v AS (SELECT count(DISTINCT video_id) AS v FROM part_), best AS (SELECT channel_id, count(*) AS n FROM part_ GROUP BY 1),
 w AS (SELECT x.channel_id AS channel_1, y.channel_id AS channel_2, count(*) AS w FROM part_ x JOIN part_ y USING (video_id) WHERE x.channel_id<y.channel_id
   AND x.channel_id IN (SELECT channel_id FROM best) AND y.channel_id IN (SELECT channel_id FROM best) GROUP BY 1,2),
 s AS (SELECT channel_1, channel_2, w AS shared_videos, {{}} AS similarity FROM w JOIN best p ON p.channel_id=channel_1 JOIN best q ON q.channel_id=channel_2, v)
@@ -163,7 +169,7 @@ def _(t):
     return graph.centrality_table(graph.interaction_graph(ev(t)))
 
 
-@query("frequent_channel_pairs", f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(top=5000, w=3)} SELECT a AS channel_1, b AS channel_2, weight AS co_occurrence FROM rp WHERE ra<rb""")
+@query("frequent_channel_pairs", f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(w=3)} SELECT a AS channel_1, b AS channel_2, weight AS co_occurrence FROM rp WHERE ra<rb""")
 def _(t):
     return graph.frequent_pairs(ev(t))
 
@@ -299,7 +305,7 @@ def _(t):
     return graph.tag_network(graph.clean_tags(tags(t)))[0]
 
 
-CLUSTERS = f"""strong AS (SELECT * FROM net ORDER BY weight DESC, jaccard DESC, source, target LIMIT 12), {COMPONENTS.format(s='source', d='target', e='strong')},
+CLUSTERS = f"""strong AS (SELECT * FROM net WHERE jaccard>=0.18), {COMPONENTS.format(s='source', d='target', e='strong')},
 m AS (SELECT hashtag, count, coalesce(component, hashtag) AS component FROM tn LEFT JOIN reach ON node=hashtag),
 f AS (SELECT component, count(*) AS cluster_size, CAST(sum(count) AS BIGINT) AS total, list_aggregate((list(hashtag ORDER BY count DESC, hashtag))[1:5], 'string_agg', ', ') AS cluster_label_suggestion FROM m GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY total DESC, component) AS cluster_id FROM f),
@@ -308,13 +314,13 @@ cl AS (SELECT cluster_id, hashtag, count, cluster_size, cluster_label_suggestion
 
 @query("hashtag_clusters", f"WITH {TAGS}, {PAIRS}, {NET}, {CLUSTERS} SELECT * FROM cl")
 def _(t):
-    return graph.tag_clusters(*graph.tag_network(graph.clean_tags(tags(t))), max_edges=12)
+    return graph.tag_clusters(*graph.tag_network(graph.clean_tags(tags(t))), min_jaccard=0.18)
 
 
 @query("hashtag_cluster_sizes", f"""WITH {TAGS}, {PAIRS}, {NET}, {CLUSTERS} SELECT cluster_id, cluster_label_suggestion AS label, count(*) AS members, CAST(sum(count) AS BIGINT) AS total_count
  FROM cl GROUP BY 1,2 ORDER BY total_count DESC, cluster_id LIMIT 12""")
 def _(t):
-    return graph.cluster_sizes(graph.tag_clusters(*graph.tag_network(graph.clean_tags(tags(t))), max_edges=12))
+    return graph.cluster_sizes(graph.tag_clusters(*graph.tag_network(graph.clean_tags(tags(t))), min_jaccard=0.18))
 
 
 # rules for the driver tags: priority substrings first, then clusters in order

@@ -10,18 +10,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-# tables with much work per row, and their unique keys
+# text tables with much work per row, and their unique keys; the driver writes each as one row group, which is one task
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-SMALL_INPUT = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small text table over the cores; one file with one row group would be one task.
-
-    A large input already has a split per block and is left alone.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL_INPUT else df
 
 
 class Tables:
@@ -32,11 +22,14 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+        return df.repartition(TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    """Plain result columns: longs, doubles rounded to 6 places, text and booleans."""
+    """Plain result columns for comparison with SQL: longs, doubles rounded to 6 places, text and booleans.
+
+    Only registered queries are rounded; the operators return full precision.
+    """
     out = []
     for f in df.schema.fields:
         c, t = F.col(f"`{f.name}`"), f.dataType

@@ -29,7 +29,7 @@ def _(t):
 
 
 @query("discussion_summary", f"""WITH {THREADS}
-SELECT (SELECT count(*) FROM videos) AS total_videos, count(*) AS total_comments, round(avg(sentiment),3) AS average_sentiment,
+SELECT (SELECT count(*) FROM videos) AS total_videos, count(*) AS total_comments, round(sum(CAST(sentiment AS DECIMAL(28,10)))::DOUBLE/count(sentiment),3) AS average_sentiment,
  round(100.0*avg(CASE WHEN comment_id IN (SELECT comment_id FROM replies) THEN 1 ELSE 0 END),2) AS reply_percentage FROM comments""")
 def _(t):
     return scope.summary_kpis(*threads(t))
@@ -78,15 +78,15 @@ def _(t):
     return scope.daily_comments(a.thread_comments(t.orders))
 
 
-@query("sentiment_per_day", f"""WITH {THREADS}, daily AS (SELECT CAST(date AS DATE) AS day, avg(sentiment) AS sentiment FROM comments WHERE date IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1),
+@query("sentiment_per_day", f"""WITH {THREADS}, daily AS (SELECT CAST(date AS DATE) AS day, sum(CAST(sentiment AS DECIMAL(28,10)))::DOUBLE/count(sentiment) AS sentiment FROM comments WHERE date IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1),
 {rolling_sql('daily','day','sentiment',"date_diff('day',min(day),max(day))")}
 SELECT strftime(day,'%Y-%m-%d') AS day, round(sentiment,6) AS sentiment, round(rolling,6) AS rolling,
- round((SELECT avg(sentiment) FROM daily),6) AS overall_mean, round((SELECT quantile_cont(sentiment,0.5) FROM daily),6) AS overall_median FROM rolled""")
+ round((SELECT sum(CAST(sentiment AS DECIMAL(28,10)))::DOUBLE/count(sentiment) FROM daily),6) AS overall_mean, round((SELECT quantile_cont(sentiment,0.5) FROM daily),6) AS overall_median FROM rolled""")
 def _(t):
     return scope.daily_sentiment(a.thread_comments(t.orders))
 
 
-@query("sentiment_distribution", f"""WITH {THREADS}, f AS (SELECT count(*) AS n, count(sentiment) AS v, avg(sentiment) AS mean, min(sentiment) AS lo, max(sentiment) AS hi,
+@query("sentiment_distribution", f"""WITH {THREADS}, f AS (SELECT count(*) AS n, count(sentiment) AS v, sum(CAST(sentiment AS DECIMAL(28,10)))::DOUBLE/count(sentiment) AS mean, min(sentiment) AS lo, max(sentiment) AS hi,
  quantile_cont(sentiment,0.5) AS median FROM comments)
 SELECT CAST(least(floor((sentiment-lo)/((hi-lo)/20)),19) AS BIGINT) AS bin, count(*) AS count, round(min(lo)+least(floor((sentiment-lo)/((hi-lo)/20)),19)*min((hi-lo)/20),6) AS bin_start,
  min(n) AS n_total, min(n-v) AS n_missing, round(min((n-v)*100.0/n),6) AS missing_pct, round(min(mean),6) AS mean, round(min(median),6) AS median
