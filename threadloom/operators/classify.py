@@ -6,6 +6,7 @@ Classified reels carry one ``<dimension>_categories`` array per dimension.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,8 +15,7 @@ from ..functions.numbering import number_rows
 from ..functions.quantiles import exact_percentiles, with_percentiles
 from ..functions.rules import categories, label_of, labels
 from ..functions.text import contains_any
-from ..session import durable
-from . import scope, talk
+from . import graph, longitudinal, scope, talk
 
 
 def _cats(dim: str) -> Column:
@@ -300,38 +300,75 @@ def theme_heat(df: DataFrame, rules: dict, dim: str = "context", threshold: floa
     return long.join(strong, "category", "left_semi").select("song_id", "category", "share")
 
 
-def report_tables(df: DataFrame, rules: dict, tags: DataFrame) -> dict[str, DataFrame]:
-    """The named result tables of a research report over one shared classified base."""
-    base = durable(df)
+def report_tables(
+    df: DataFrame, rules: dict, tags: DataFrame, *, music_terms: Sequence[str] = (), visual_terms: Sequence[str] = (), visual_contexts: Sequence[str] = (), contexts: Sequence[str] = (),
+    slots: Sequence[dict] = (), tag_rules: DataFrame | None = None, stop: Sequence[str] = (), runs: DataFrame | None = None, seen: DataFrame | None = None, text_tags: str | None = None, tagged_only: bool = False,
+    only: Sequence[str] | None = None,
+) -> dict[str, DataFrame]:
+    """The named result tables of a research report over one classified base.
+
+    Tables whose inputs are not given are left out; ``only`` names the tables
+    wanted. Every table is a plan of its own; a caller who writes many of them
+    persists ``df`` first. With ``tagged_only`` only reels with a hashtag in
+    ``tags`` count.
+    """
+    base = df.join(tags.select("reel_pk").distinct(), "reel_pk", "left_semi") if tagged_only else df
     dims = list(rules)
+    scored = talk.audio_filter_scores(base, music_terms, visual_terms, tags=text_tags)
     out = {
-        "summary": scope.song_summary(base),
-        "unknown_share": unknown_share(base, rules),
-        "classifiable_rate": classifiable_rate(base, rules),
-        "source_overview": scope.source_overview(base),
-        "song_trend": scope.song_trend(base),
-        "describe": scope.describe_fields(base, ["play_count", "like_count", "view_count", "comment_count"]),
-        "top_reels": scope.top_reels(base, "impact"),
-        "weekday_hours": scope.weekday_hour_grid(base),
-        "impact_by_song": scope.impact_by_entity(base, "songs"),
-        "impact_by_asset": scope.impact_by_entity(base, "assets"),
-        "timeline_songs": scope.timeline(base, "songs"),
-        "creator_summary": creator_summary(base),
-        "creator_kpis": creator_kpis(base),
-        "multi_song_creators": multi_song_creators(base),
-        "hashtag_terms": talk.hashtag_terms(tags),
-        "distinctive_hashtags_song": talk.distinctive_hashtags(base, tags, "song_id"),
-        "distinctive_hashtags_asset": talk.distinctive_hashtags(base, tags, "asset_id"),
-        "top_hashtags": talk.top_hashtags(base, tags),
+        "unknown_share": lambda: unknown_share(base, rules),
+        "classifiable_rate": lambda: classifiable_rate(base, rules),
+        "song_trend": lambda: scope.song_trend(base),
+        "weekday_hours": lambda: scope.weekday_hour_grid(base),
+        "hashtag_terms": lambda: talk.hashtag_terms(tags),
+        "distinctive_hashtags_song": lambda: talk.distinctive_hashtags(base, tags, "song_id"),
+        "distinctive_hashtags_asset": lambda: talk.distinctive_hashtags(base, tags, "asset_id"),
+        "top_hashtags": lambda: talk.top_hashtags(base, tags),
+        "audio_filter_by_song": lambda: talk.audio_filter_summary(scored, "song_id"),
+        "audio_filter_by_asset": lambda: talk.audio_filter_summary(scored, "asset_id"),
     }
+    counts = ["play_count", "like_count", "view_count", "comment_count"]
+    if set(counts) <= set(base.columns):
+        out |= {
+            "summary": lambda: scope.song_summary(base),
+            "source_overview": lambda: scope.source_overview(base),
+            "describe": lambda: scope.describe_fields(base, counts),
+            "top_reels": lambda: scope.top_reels(base, "impact"),
+            "impact_by_song": lambda: scope.impact_by_entity(base, "songs"),
+            "impact_by_asset": lambda: scope.impact_by_entity(base, "assets"),
+            "timeline_songs": lambda: scope.timeline(base, "songs"),
+            "creator_summary": lambda: creator_summary(base),
+            "creator_kpis": lambda: creator_kpis(base),
+            "multi_song_creators": lambda: multi_song_creators(base),
+        }
+    if "hashtags" in base.columns:
+        known = {d: F.col(f"{d}_categories") != F.array(F.lit(rules[d]["unknown_id"])) for d in dims}
+        out["caption_style_summary"] = lambda: talk.caption_style_summary(talk.caption_features(base), known)
+    if tag_rules is not None:
+        bundle = lambda k: lambda: graph.network_bundle(tags, tag_rules, stop=stop)[k]
+        out |= {f"hashtag_network_{k}": bundle(k) for k in ("nodes", "edges", "clusters", "semantic_clusters")}
+    if contexts:
+        out["close_reading_sample"] = lambda: longitudinal.close_reading_sample(base, contexts)
+    if slots:
+        out["close_reading_curated"] = lambda: longitudinal.curated_sample(base, slots, music_terms, visual_contexts, tags=text_tags)
+    if runs is not None and seen is not None:
+        out |= {
+            "snapshot_status": lambda: longitudinal.snapshot_status(runs, seen),
+            "snapshot_churn": lambda: longitudinal.churn(runs, seen),
+            "snapshot_churn_intervals": lambda: longitudinal.churn_intervals(longitudinal.churn(runs, seen)),
+        }
     for d in dims:
-        out[f"distribution_{d}"] = dimension_distribution(base, rules, d)
-        out[f"distribution_classifiable_{d}"] = distribution_classifiable(base, rules, d)
-        out[f"song_profile_{d}"] = song_profile(base, rules, d)
-        out[f"song_distinctiveness_{d}"] = song_distinctiveness(base, rules, d)
-        out[f"impact_by_theme_{d}"] = impact_by_theme(base, rules, d)
-        out[f"asset_profile_{d}"] = asset_profile(base, rules, d)
-        out[f"asset_vs_song_{d}"] = asset_vs_song(base, rules, d)
+        out[f"distribution_{d}"] = partial(dimension_distribution, base, rules, d)
+        out[f"distribution_classifiable_{d}"] = partial(distribution_classifiable, base, rules, d)
+        out[f"song_profile_{d}"] = partial(song_profile, base, rules, d)
+        out[f"song_distinctiveness_{d}"] = partial(song_distinctiveness, base, rules, d)
+        out[f"impact_by_theme_{d}"] = partial(impact_by_theme, base, rules, d)
+        out[f"asset_profile_{d}"] = partial(asset_profile, base, rules, d)
+        out[f"asset_vs_song_{d}"] = partial(asset_vs_song, base, rules, d)
     if len(dims) > 1:
-        out["combinations"] = combination_summary(base, rules, dims[0], dims[1])
-    return out
+        out["combinations"] = lambda: combination_summary(base, rules, dims[0], dims[1])
+    found = {k: make() for k, make in out.items() if only is None or k in only}
+    if only is None or any(k.startswith("robustness_") for k in only):
+        checks = longitudinal.robustness_tables(base, tags, rules)
+        found |= {f"robustness_{k}": v for k, v in checks.items() if only is None or f"robustness_{k}" in only}
+    return found

@@ -103,7 +103,7 @@ def sample_by_song(df: DataFrame, n_top: int = 3, n_median: int = 2, n_random: i
     near = rows.join(mid.filter("__n > 2"), "__s").withColumn("__d", F.abs(F.col("__m") - F.col("__mid")))
     near = top_per_group(near, ["__s"], n_median, F.asc_nulls_last("__d"), F.asc("reel_pk")).select("__s", "reel_pk", F.lit("median_impact").alias("sample_reason"))
     near = near.join(top.select("reel_pk"), "reel_pk", "left_anti").select("__s", "reel_pk", "sample_reason")
-    picked = durable(top.unionByName(near))
+    picked = top.unionByName(near)
     rest = rows.join(picked.select("reel_pk"), "reel_pk", "left_anti").withColumn("__h", seeded(seed=seed))
     rand = top_per_group(rest, ["__s"], n_random, F.asc("__h")).select("__s", "reel_pk", F.lit("random").alias("sample_reason"))
     return df.join(picked.unionByName(rand).drop("__s"), "reel_pk")

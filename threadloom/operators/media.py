@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col, ratio
@@ -535,39 +534,47 @@ def refrain_starts(lines: DataFrame, similarity: float = 0.85, min_words: int =
 # peaks -----------------------------------------------------------------------
 
 
-def _peaks(pdf: pd.DataFrame, factor: float) -> pd.DataFrame:
-    """Peaks, onset and main peak of one series of period counts."""
-    pdf = pdf.sort_values("period").reset_index(drop=True)
-    v = pdf["n"].to_numpy(float)
-    keep = np.zeros(len(v), bool)
-    usable = len(v) >= 3 and v.max() > 0
-    if usable:
-        change = np.flatnonzero(np.diff(v) != 0)
-        starts, ends = np.r_[0, change + 1], np.r_[change, len(v) - 1]
-        top = [(s + e) // 2 for s, e in zip(starts, ends) if s > 0 and e < len(v) - 1 and v[s - 1] < v[s] > v[e + 1]]
-        apart, alive = max(1, len(v) // 20), dict.fromkeys(top, True)
-        for p in sorted(top, key=lambda i: (v[i], i), reverse=True):
-            if alive[p]:
-                for q in top:
-                    if q != p and abs(q - p) < apart:
-                        alive[q] = False
-        limit = max(1.0, factor * v.std())
-        for p in (q for q in top if alive[q]):
-            higher = np.flatnonzero(v > v[p])
-            left = higher[higher < p].max() + 1 if (higher < p).any() else 0
-            right = higher[higher > p].min() if (higher > p).any() else len(v)
-            keep[p] = v[p] - max(v[left : p + 1].min(), v[p:right].min()) >= limit
-    out = pdf.assign(is_peak=keep, is_onset=False, is_main_peak=False)
-    if usable:
-        out.loc[int(np.flatnonzero(v >= 0.1 * v.max())[0]), "is_onset"] = True
-        out.loc[int(v.argmax()), "is_main_peak"] = True
-    return out[["song_id", "period", "n", "is_peak", "is_onset", "is_main_peak"]]
-
-
 def detect_peaks(trend: DataFrame, factor: float = 1.0) -> DataFrame:
     """Flags on each song's gap-filled counts (song_id, period, n).
 
-    A group holds one number per calendar period, however many reels there are.
+    A peak is the middle of a run of equal counts higher than both neighbours.
+    Of peaks closer than a twentieth of the series the higher (then the later)
+    stays, and it needs a prominence of ``factor`` standard deviations, 1 at
+    least. A series has one number per calendar period, however many reels
+    there are, so it travels as one short array.
     """
-    schema = "song_id string, period date, n long, is_peak boolean, is_onset boolean, is_main_peak boolean"
-    return trend.select("song_id", "period", F.col("n").cast("long").alias("n")).groupBy("song_id").applyInPandas(lambda g: _peaks(g, factor), schema)
+    song = Window.partitionBy("song_id")
+    ahead = song.orderBy("period")
+    rows = trend.select("song_id", "period", F.col("n").cast("long").alias("n")).withColumn("i", F.row_number().over(ahead) - 1)
+    marked = rows.withColumn("run", F.sum(F.coalesce((F.col("n") != F.lag("n").over(ahead)).cast("int"), F.lit(1))).over(ahead))
+    runs = marked.groupBy("song_id", "run").agg(F.min("i").alias("a"), F.max("i").alias("z"), F.first("n").alias("n"))
+    across = song.orderBy("run")
+    tops = runs.withColumn("before", F.lag("n").over(across)).withColumn("after", F.lead("n").over(across)).filter("n > before AND n > after")
+    ranked = tops.groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("n", F.floor((F.col("a") + F.col("z")) / 2).cast("int").alias("i"))), asc=False).alias("tops"))
+    series = rows.groupBy("song_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("v"), F.stddev_pop("n").alias("spread"), F.max("n").alias("top"), F.count("*").alias("periods"),
+    )
+    both = series.join(ranked, "song_id", "left")
+    apart = F.greatest(F.lit(1), F.floor(F.col("periods") / 20))
+    kept = F.aggregate(
+        F.coalesce("tops", F.array().cast("array<struct<n:bigint,i:int>>")), F.array().cast("array<struct<n:bigint,i:int>>"),
+        lambda acc, x: F.when(F.exists(acc, lambda q: F.abs(q["i"] - x["i"]) < apart), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+
+    def lowest(side: Column, height: Column) -> Column:
+        """Lowest count on a side up to the first higher one."""
+        start = F.struct(height.alias("low"), F.lit(True).alias("on"))
+        walk = F.aggregate(side, start, lambda acc, x: F.struct(F.when(acc["on"] & (x <= height), F.least(acc["low"], x)).otherwise(acc["low"]).alias("low"), (acc["on"] & (x <= height)).alias("on")))
+        return walk["low"]
+
+    peaks = both.select("song_id", "v", "spread", "periods", F.explode(kept).alias("p")).select("song_id", "v", "spread", "periods", "p.n", "p.i")
+    left, right = F.reverse(F.slice("v", F.lit(1), F.col("i") + 1)), F.slice("v", F.col("i") + 1, F.col("periods").cast("int"))
+    prominent = peaks.filter(F.col("n") - F.greatest(lowest(left, F.col("n")), lowest(right, F.col("n"))) >= F.greatest(F.lit(1.0), factor * F.col("spread")))
+    usable = (F.col("periods") >= 3) & (F.col("top") > 0)
+    facts = series.filter(usable).select("song_id", F.array_position("v", F.col("top")).alias("main"), (F.array_position(F.transform("v", lambda x: x >= 0.1 * F.col("top")), F.lit(True))).alias("onset"))
+    flagged = rows.join(prominent.select("song_id", "i", F.lit(True).alias("peak")), ["song_id", "i"], "left").join(facts, "song_id", "left")
+    at = F.col("i") + 1
+    return flagged.select(
+        "song_id", "period", "n", F.coalesce("peak", F.lit(False)).alias("is_peak"),
+        F.coalesce(at == F.col("onset"), F.lit(False)).alias("is_onset"), F.coalesce(at == F.col("main"), F.lit(False)).alias("is_main_peak"),
+    )

@@ -25,24 +25,40 @@ def _comments_per_video(videos: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def corpus_counts(videos: DataFrame, comments: DataFrame, replies: DataFrame) -> DataFrame:
-    """Totals, videos with and without comments, spread of comments and replies."""
-    per_video = _comments_per_video(videos, comments)
-    per_comment = _replies_per_comment(comments, replies)
-    n = F.col("n_comments")
-    base = per_video.agg(
-        F.count("*").alias("total_videos"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_comments"),
-        F.count_if(n > 0).alias("videos_with_comments"),
-        F.count_if(n == 0).alias("videos_without_comments"),
-        F.avg(n).alias("comments_per_video_mean"),
-        F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias("comments_per_video_std"),
-        F.min(n).alias("comments_per_video_min"),
-        F.max(n).alias("comments_per_video_max"),
+    """Totals, videos with and without comments, spread of comments and replies.
+
+    All of it comes from one histogram of the counts.
+    """
+    per_video = _comments_per_video(videos, comments).select(F.lit("v").alias("kind"), F.col("n_comments").alias("n"))
+    per_comment = _replies_per_comment(comments, replies).select(F.lit("c").alias("kind"), F.col("n_replies").alias("n"))
+    hist = per_video.unionByName(per_comment).groupBy("kind", "n").agg(F.count("*").alias("c"))
+    kind = Window.partitionBy("kind")
+    run = hist.withColumn("end", F.sum("c").over(kind.orderBy("n"))).withColumn("all", F.sum("c").over(kind))
+    n, c = F.col("n"), F.col("c")
+
+    def of(k: str, value: Column) -> Column:
+        return F.when(F.col("kind") == k, value)
+
+    def median(k: str) -> Column:
+        ends = [F.max(of(k, F.when((F.col("end") - c <= at) & (at < F.col("end")), n))) for at in (F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2))]
+        return (ends[0] + ends[1]) / 2
+
+    total, size, squares = F.sum(of("v", n * c)), F.sum(of("v", c)), F.sum(of("v", (n * n * c).cast("decimal(38,0)"))).cast("double")
+    variance = F.try_divide(squares - total * total / size, size - 1)
+    return run.agg(
+        F.coalesce(size, F.lit(0)).alias("total_videos"),
+        F.coalesce(total, F.lit(0)).alias("total_comments"),
+        F.coalesce(F.sum(of("v", F.when(n > 0, c))), F.lit(0)).alias("videos_with_comments"),
+        F.coalesce(F.sum(of("v", F.when(n == 0, c))), F.lit(0)).alias("videos_without_comments"),
+        (total / size).alias("comments_per_video_mean"),
+        F.coalesce(F.sqrt(variance), F.lit(0.0)).alias("comments_per_video_std"),
+        F.min(of("v", n)).alias("comments_per_video_min"),
+        F.max(of("v", n)).alias("comments_per_video_max"),
+        median("v").alias("comments_per_video_median"),
+        F.coalesce(F.sum(of("c", n * c)), F.lit(0)).alias("total_replies"),
+        (F.sum(of("c", n * c)) / F.sum(of("c", c))).alias("replies_per_comment_mean"),
+        median("c").alias("replies_per_comment_median"),
     )
-    base = with_percentiles(base, per_video, [], {"comments_per_video_median": (n, 0.5)})
-    tail = scalar(per_comment, F.coalesce(F.sum("n_replies"), F.lit(0)).alias("total"), F.avg("n_replies").alias("mean"))
-    base = base.select("*", tail["total"].alias("total_replies"), tail["mean"].alias("replies_per_comment_mean"))
-    return with_percentiles(base, per_comment, [], {"replies_per_comment_median": (F.col("n_replies"), 0.5)})
 
 
 def summary_kpis(videos: DataFrame, comments: DataFrame, replies: DataFrame) -> DataFrame:

@@ -250,7 +250,7 @@ def _(t):
     grouped = tags.groupBy("reel_pk").agg(F.sort_array(F.collect_set("hashtag")).alias("hashtags"))
     rules = {"context": {"categories": {"promo": {"keywords": ["promo"]}, "small": {"keywords": ["small", "medium"]}}, "unknown_id": "none", "unknown_label": "None"}}
     reels = reels_with_songs(t).join(grouped, "reel_pk", "left").withColumn("caption_text", F.lit(""))
-    return classify.report_tables(classify.classify(reels, rules), rules, tags)["summary"]
+    return classify.report_tables(classify.classify(reels, rules), rules, tags, only=["summary"])["summary"]
 
 
 @query("caption_style_classified", f"""WITH {CL}, feat0 AS (SELECT * FROM cl), {FEATURES.replace('FROM captions', 'FROM feat0')}

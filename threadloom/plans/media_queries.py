@@ -274,6 +274,22 @@ def _(t):
     return media.refrain_starts(media.lyric_lines(lyrics))
 
 
-@query("activity_peaks")
+PEAKS = f"""WITH {REELS}, c AS (SELECT song_id, date_trunc('month',taken_at)::DATE AS period, count(*) AS n FROM reels GROUP BY 1,2),
+cal AS (SELECT song_id, unnest(generate_series(min(period)::TIMESTAMP,max(period)::TIMESTAMP,INTERVAL 1 MONTH))::DATE AS period FROM c GROUP BY song_id),
+s AS (SELECT song_id, period, coalesce(n,0) AS n, row_number() OVER (PARTITION BY song_id ORDER BY period)-1 AS i, count(*) OVER (PARTITION BY song_id) AS periods FROM cal LEFT JOIN c USING (song_id, period)),
+m AS (SELECT *, sum(step) OVER (PARTITION BY song_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN n=lag(n) OVER (PARTITION BY song_id ORDER BY i) THEN 0 ELSE 1 END AS step FROM s)),
+r AS (SELECT song_id, run, (min(i)+max(i))//2 AS i, min(n) AS n, min(periods) AS periods FROM m GROUP BY 1,2),
+t AS (SELECT * FROM (SELECT *, lag(n) OVER (PARTITION BY song_id ORDER BY run) AS b, lead(n) OVER (PARTITION BY song_id ORDER BY run) AS f FROM r) WHERE n>b AND n>f),
+l AS (SELECT song_id, greatest(1, min(periods)//20) AS apart, list(i ORDER BY n DESC, i DESC) AS tops FROM t GROUP BY 1),
+k AS (SELECT song_id, unnest(list_reduce(list_transform(tops, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: abs(q-x[1])<apart))>0 THEN acc ELSE list_concat(acc, x) END)) AS i FROM l),
+e AS (SELECT song_id, stddev_pop(n) AS spread, max(n) AS top FROM s GROUP BY 1),
+d AS (SELECT s.song_id, s.i, s.n, periods, (SELECT coalesce(max(x.i),-1) FROM s x WHERE x.song_id=s.song_id AND x.i<s.i AND x.n>s.n) AS a, (SELECT coalesce(min(x.i),1000000) FROM s x WHERE x.song_id=s.song_id AND x.i>s.i AND x.n>s.n) AS z
+ FROM s JOIN k USING (song_id, i)),
+p AS (SELECT d.song_id, d.i FROM d JOIN e USING (song_id) WHERE d.n-greatest((SELECT min(x.n) FROM s x WHERE x.song_id=d.song_id AND x.i>d.a AND x.i<=d.i),(SELECT min(x.n) FROM s x WHERE x.song_id=d.song_id AND x.i>=d.i AND x.i<d.z))>=greatest(1.0, spread)),
+o AS (SELECT s.song_id, min(CASE WHEN n>=0.1*top THEN i END) AS onset, min(CASE WHEN n=top THEN i END) AS main FROM s JOIN e USING (song_id) WHERE periods>=3 AND top>0 GROUP BY 1)
+SELECT song_id, strftime(period,'%Y-%m-%d') AS period, n, p.i IS NOT NULL AS is_peak, coalesce(s.i=onset,false) AS is_onset, coalesce(s.i=main,false) AS is_main_peak FROM s LEFT JOIN p USING (song_id, i) LEFT JOIN o USING (song_id)"""
+
+
+@query("activity_peaks", PEAKS)
 def _(t):
     return media.detect_peaks(scope.song_trend(a.reels(t.orders), "M"))

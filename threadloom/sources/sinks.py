@@ -1,7 +1,9 @@
-"""Table sinks and reading exports back."""
+"""Table sinks, exports of views, and reading exports back."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -20,8 +22,31 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = True) -> None:
     flat(df).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """JSON lines; with ``metadata`` a folder of two parts: ``items`` with the rows and ``metadata`` with one object.
+
+    The object carries the given fields and the number of rows written, so an
+    export tells what it holds. Rows are written by all tasks, never as one
+    document.
+    """
+    if metadata is None:
+        df.write.mode("overwrite").json(path)
+        return
+    df.write.mode("overwrite").json(f"{path}/items")
+    spark = df.sparkSession
+    count = spark.read.schema(df.schema).json(f"{path}/items").count()
+    fields = {**metadata, "row_count": count, "columns": df.columns}
+    spark.range(1).select(F.lit(json.dumps(fields, ensure_ascii=False, default=str)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def export_view(records: DataFrame, view: DataFrame, path: str, key: str = "reel_pk", form: str = "json", metadata: dict | None = None) -> DataFrame:
+    """write the records of a saved view (rows with ``key``) and return them."""
+    rows = records.join(view.select(key).distinct(), key, "left_semi")
+    if form == "csv":
+        write_csv(rows, path)
+    else:
+        write_json(rows, path, {"key": key, **(metadata or {})})
+    return rows
 
 
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
