@@ -54,31 +54,60 @@ def best_match(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def block_count(budget: int) -> int:
+    """Blocks of an item such that pieces stay long: few errors to each block, and few pieces in all."""
+    return min(range(max(1, budget // 4), budget // 2 + 2), key=lambda b: (b * (budget // b + 1), -b))
+
+
 class Matcher:
-    """Approximate occurrences of a block of items in texts."""
+    """Approximate occurrences of a block of items in texts.
+
+    The pigeonhole holds twice: of an item's blocks one has at most its share
+    of the errors, and of that block's pieces one is intact. A piece hit is
+    verified on its short block first, and only then on the whole item.
+    """
 
     def __init__(self, items: list[tuple], rate: float):
         import ahocorasick
 
         self.items = [(key, text, int(rate * len(text)), bit_masks(text)) for key, text in items]
+        self.blocks: list[tuple] = []  # (item, start, stop, errors, masks)
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget, _) in enumerate(self.items):
-            for at, piece in cut_pieces(text, budget):
-                places.setdefault(piece, []).append((n, at))
+            count = block_count(budget)
+            for start, part in cut_pieces(text, count - 1):
+                errors = budget // count
+                for at, piece in cut_pieces(part, errors):
+                    places.setdefault(piece, []).append((len(self.blocks), start + at))
+                self.blocks.append((n, start, start + len(part), errors, bit_masks(part)))
         self.finder = ahocorasick.Automaton()
         for piece, own in places.items():
             self.finder.add_word(piece, (len(piece), own))
         self.finder.make_automaton()
 
+    def _windows(self, text: str) -> dict[int, set[int]]:
+        """For each item the places, in cells of its budget, where a block of it matches."""
+        tried: set[tuple[int, int]] = set()
+        windows: dict[int, set[int]] = {}
+        for end, (size, own) in self.finder.iter(text):
+            for number, at in own:
+                n, start, stop, errors, masks = self.blocks[number]
+                # a cell holds all item starts that the block's errors make of this hit
+                cell = (end + 1 - size - at) // (2 * errors + 1)
+                if (number, cell) in tried:
+                    continue
+                tried.add((number, cell))
+                first, last = cell * (2 * errors + 1), (cell + 1) * (2 * errors + 1)
+                part = text[max(0, first + start - errors) : last + stop + 2 * errors]
+                if best_match(masks, stop - start, part)[0] <= errors:
+                    step = 2 * self.items[n][2] + 1
+                    windows.setdefault(n, set()).update((first // step, last // step))
+        return windows
+
     def hits(self, text: str) -> list[dict]:
         """The nearest occurrence of each item within its budget, by item order."""
         text = normalised(text)
-        windows: dict[int, set[int]] = {}
-        for end, (size, own) in self.finder.iter(text):
-            for n, at in own:
-                # a shared cell of two budgets holds every start that this piece allows
-                windows.setdefault(n, set()).add((end + 1 - size - at) // (2 * self.items[n][2] + 1))
-        found = []
+        windows, found = self._windows(text), []
         for n in sorted(windows):
             key, item, budget, masks = self.items[n]
             step, best = 2 * budget + 1, None
