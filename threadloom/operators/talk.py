@@ -90,7 +90,7 @@ def _term_table(tokens: DataFrame, column: str, keys: Sequence[str] = ()) -> Dat
 
 def word_frequencies(
     messages: DataFrame, ngram: tuple[int, int] = (1, 1), stopwords: Sequence[str] = (), languages: Sequence[str] | None = None,
-    start: str | None = None, end: str | None = None, min_docs: int = 2, max_share: float = 0.95, max_features: int | None = 5000,
+    start: str | None = None, end: str | None = None, min_docs: int = 2, max_share: float = 0.95, max_features: int | None = None,
 ) -> DataFrame:
     """Term and n-gram frequencies with document-frequency limits."""
     use = messages
@@ -103,11 +103,16 @@ def word_frequencies(
     grams = use.select(tx.words("text", stopwords).alias("w")).select(tx.ngrams(F.col("w"), *ngram).alias("g"))
     n = scalar(use, F.count("*").alias("n"))["n"]
     terms = _term_table(grams, "g").filter((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * n))
-    return top_n(terms, max_features, F.desc("count"), F.asc("term"))
+    return terms if max_features is None else top_n(terms, max_features, F.desc("count"), F.asc("term"))
 
 
-def topic_model(messages: DataFrame, topics: int = 8, min_docs: int = 5, max_share: float = 0.5, ngram: tuple[int, int] = (1, 2), stopwords: Sequence[str] = (), seed: int = 42, vocabulary: int = 20000, rounds: int = 10):
-    """Fitted (model, vocabulary, vectors) of an LDA over the messages."""
+def topic_model(messages: DataFrame, topics: int = 8, min_docs: int = 5, max_share: float = 0.5, ngram: tuple[int, int] = (1, 2), stopwords: Sequence[str] = (), seed: int = 42, vocabulary: int = 1 << 18, rounds: int = 10):
+    """Fitted (model, vocabulary, vectors) of an LDA over the messages.
+
+    ``vocabulary`` bounds the model: the most frequent terms within the document
+    limits take part, the default is what the fit itself allows. ``rounds`` are
+    the iterations of the fit.
+    """
     tokens = messages.withColumn("grams", tx.ngrams(tx.words("text", stopwords), *ngram))
     counter = CountVectorizer(inputCol="grams", outputCol="features", minDF=min_docs, maxDF=max_share, vocabSize=vocabulary).fit(tokens)
     vectors = durable(counter.transform(tokens).drop("grams", "text"))

@@ -219,13 +219,13 @@ def _(t):
 
 def tag_scores(t):
     """Vector elements as category scores."""
-    e = F.posexplode(F.slice("embedding", 1, 12)).alias("i", "x")
+    e = F.posexplode("embedding").alias("i", "x")
     return t.embeddings.select("vec_id", e).select(
         F.col("vec_id").alias("reel_pk"), F.concat(F.lit("d"), F.col("i") % 2).alias("dimension"), F.format_string("c%02d", "i").alias("category"), F.round(F.col("x").cast("double") * 4, 4).alias("score")
     )
 
 
-@query("chosen_tags", """WITH s AS (SELECT vec_id AS reel_pk, i, embedding[i+1]::DOUBLE AS x FROM embeddings, range(0,12) r(i)), c AS (SELECT reel_pk, 'd'||(i%2) AS dimension, printf('c%02d', i) AS category, round(x*4,4) AS score FROM s),
+@query("chosen_tags", """WITH s AS (SELECT vec_id AS reel_pk, i, embedding[i+1]::DOUBLE AS x FROM embeddings, range(0,64) r(i)), c AS (SELECT reel_pk, 'd'||(i%2) AS dimension, printf('c%02d', i) AS category, round(x*4,4) AS score FROM s),
 b AS (SELECT *, max(score) OVER (PARTITION BY reel_pk, dimension) AS best FROM c)
 SELECT reel_pk, dimension, category, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY reel_pk, dimension ORDER BY score DESC, category) AS rank FROM b WHERE score>=0.15 AND (best<=0 OR score>=0.4*best)) WHERE rank<=2""")
 def _(t):

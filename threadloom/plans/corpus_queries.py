@@ -278,7 +278,7 @@ def _(t):
 # quality ---------------------------------------------------------------------
 
 
-@query("record_structure", "SELECT 'k' AS path, 'bigint' AS type FROM events LIMIT 1")
+@query("record_structure", "SELECT DISTINCT unnest(json_keys(props)) AS path, CASE json_type(props, '$.' || unnest(json_keys(props))) WHEN 'UBIGINT' THEN 'bigint' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type FROM events")
 def _(t):
     return quality.infer_structure(t.events, "props")
 
@@ -366,10 +366,10 @@ def _(t):
 
 GRAMS = r"""w AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x<>'')) AS w FROM documents), wc AS (SELECT doc_id, lang, ' '||w||' ' AS w, count(*) AS k FROM w GROUP BY ALL),
 g AS (SELECT doc_id, lang, k, unnest(list_transform(range(1, length(w)-1), lambda i: substr(w, i, 3))) AS trigram FROM wc),
-gc AS (SELECT doc_id, lang, trigram, sum(k) AS n FROM g GROUP BY doc_id, lang, trigram), pf AS (SELECT lang AS language, trigram, 301-row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, trigram) AS weight FROM gc GROUP BY 1,2 QUALIFY weight>0)"""
+gc AS (SELECT doc_id, lang, trigram, sum(k) AS n FROM g GROUP BY doc_id, lang, trigram), pc AS (SELECT lang AS language, trigram, sum(n) AS n FROM gc WHERE lang IS NOT NULL GROUP BY 1,2), pf AS (SELECT language, trigram, CAST(round(ln(1+n*1e6/sum(n) OVER (PARTITION BY language)),6) AS DECIMAL(18,6)) AS weight FROM pc)"""
 
 
-@query("language_profiles", f"WITH {GRAMS} SELECT language, trigram, weight FROM pf")
+@query("language_profiles", f"WITH {GRAMS} SELECT language, trigram, round(weight::DOUBLE,6) AS weight FROM pf")
 def _(t):
     return quality.language_profiles(a.doc_comments(t.documents))
 

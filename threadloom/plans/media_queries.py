@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import media, scope
 from ..sources import adapters as a
 from .registry import query
-from .views import ACOUSTICS, ALIGNMENTS, EDITS, REELS
+from .views import ACOUSTICS, ALIGNMENTS, EDITS, REELS, fold_sql
 
 KEYS_SQL = "['C','C#','D','D#','E','F','F#','G','G#','A','A#','B']"
 
@@ -65,13 +65,13 @@ def clips(t):
     return a.acoustics(t.embeddings).select(
         F.col("song_id").alias("asset_id"), F.col("asset_id").alias("clip_id"), "tempo", "spectral_centroid", "est_key",
         F.concat(F.split_part("est_key", F.lit(" "), F.lit(1)), F.lit(" Minor")).alias("est_key_alt"), F.col("tempo").alias("duration"), F.array(F.col("tempo") / 4, F.col("tempo") / 2).alias("segment_boundaries"),
-    ).join(t.embeddings.select(F.format_string("a%06d", "vec_id").alias("clip_id"), F.slice("embedding", 1, 4).alias("mfcc_mean")), "clip_id")
+    ).join(t.embeddings.select(F.format_string("a%06d", "vec_id").alias("clip_id"), F.array(*a.folded(F.col("embedding"), 4)).alias("mfcc_mean")), "clip_id")
 
 
 @query("feature_consensus", f"""WITH {ACOUSTICS}, c AS (SELECT *, list_extract(string_split(est_key,' '),1)||' Minor' AS alt FROM acoustics), g AS (SELECT song_id AS asset_id, count(*) AS n_clips, quantile_cont(tempo,0.5) AS tempo, quantile_cont(spectral_centroid,0.5) AS spectral_centroid, max(tempo) AS mx FROM c GROUP BY 1),
 k AS (SELECT DISTINCT ON (song_id) song_id AS asset_id, est_key FROM (SELECT song_id, est_key, count(*) AS n, min(asset_id) AS f FROM c GROUP BY 1,2) ORDER BY song_id, n DESC, f),
 k2 AS (SELECT DISTINCT ON (song_id) song_id AS asset_id, alt AS est_key_alt FROM (SELECT song_id, alt, count(*) AS n, min(asset_id) AS f FROM c GROUP BY 1,2) ORDER BY song_id, n DESC, f),
-mv AS (SELECT 's'||label AS asset_id, i, round(quantile_cont(embedding[i]::DOUBLE,0.5),4) AS m FROM embeddings, range(1,5) r(i) GROUP BY 1,2), mf AS (SELECT asset_id, max(m) FILTER (i=1) AS m1, max(m) FILTER (i=2) AS m2, max(m) FILTER (i=3) AS m3, max(m) FILTER (i=4) AS m4 FROM mv GROUP BY 1)
+mv AS (SELECT 's'||label AS asset_id, i, round(quantile_cont(e[i],0.5),4) AS m FROM (SELECT label, [{', '.join(fold_sql(4, b) for b in range(4))}] AS e FROM embeddings), range(1,5) r(i) GROUP BY 1,2), mf AS (SELECT asset_id, max(m) FILTER (i=1) AS m1, max(m) FILTER (i=2) AS m2, max(m) FILTER (i=3) AS m3, max(m) FILTER (i=4) AS m4 FROM mv GROUP BY 1)
 SELECT asset_id, n_clips, round(tempo,6) AS tempo, round(spectral_centroid,6) AS spectral_centroid, est_key, est_key_alt, m1, m2, m3, m4, CASE WHEN est_key=est_key_alt THEN 1.0 WHEN list_extract(string_split(est_key,' '),1)=list_extract(string_split(est_key_alt,' '),1) THEN 0.5
  WHEN list_extract(string_split(est_key,' '),2)='Major' AND (list_position({KEYS_SQL},list_extract(string_split(est_key,' '),1))+8)%12+1=list_position({KEYS_SQL},list_extract(string_split(est_key_alt,' '),1)) THEN 0.5 ELSE 0.0 END::DOUBLE AS key_agreement
 FROM g JOIN k USING (asset_id) JOIN k2 USING (asset_id) JOIN mf USING (asset_id)""")
@@ -90,11 +90,11 @@ def _profiles() -> str:
     return f"(VALUES {', '.join(rows)}) AS pr(o, key, p, pn)"
 
 
-@query("chroma_keys", f"""WITH x0 AS (SELECT vec_id, list_transform(embedding[1:12], lambda v: abs(v::DOUBLE)) AS c FROM embeddings), x AS (SELECT vec_id, list_transform(c, lambda v: v-list_avg(c)) AS x FROM x0),
+@query("chroma_keys", f"""WITH x0 AS (SELECT vec_id, [{', '.join(fold_sql(12, b, element='abs(x::DOUBLE)') for b in range(12))}] AS c FROM embeddings), x AS (SELECT vec_id, list_transform(c, lambda v: v-list_avg(c)) AS x FROM x0),
 s AS (SELECT vec_id, key, o, list_dot_product(x, p)/(sqrt(list_dot_product(x,x))*pn+1e-10) AS r FROM x, {_profiles()}), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, o) AS n FROM s)
 SELECT vec_id, max(key) FILTER (n=1) AS key, round(greatest(0,least(1,max(r) FILTER (n=1)-max(r) FILTER (n=2))),6) AS confidence FROM k GROUP BY 1""")
 def _(t):
-    chroma = F.transform(F.slice("embedding", 1, 12), lambda v: F.abs(v.cast("double")))
+    chroma = F.array(*a.folded(F.transform("embedding", lambda v: F.abs(v.cast("double"))), 12))
     return t.embeddings.select("vec_id", media.chroma_key(chroma).alias("k")).select("vec_id", "k.key", "k.confidence")
 
 
@@ -106,13 +106,13 @@ def _(t):
 def timeline(t):
     """Track lengths: every third asset has a measured length, the others use acoustic or span ends."""
     used = a.alignments(t.events)
-    assets = used.select("asset_id").distinct().withColumn("n", F.substring("asset_id", 2, 3).cast("int"))
+    assets = used.select("asset_id").distinct().withColumn("n", F.regexp_extract("asset_id", r"(\d+)", 1).cast("int"))
     acoustics = assets.select("asset_id", F.when(F.col("n") % 2 == 0, F.lit(180.0)).alias("duration"), F.array(F.lit(30.0), F.lit(60.0), F.lit(120.0)).alias("segment_boundaries"))
     music = assets.select("asset_id", F.when(F.col("n") % 3 == 0, F.lit(150.0)).alias("duration_real_s"))
     return used, media.asset_timeline(used, acoustics, music)
 
 
-TL = f"""{ALIGNMENTS}, tl0 AS (SELECT asset_id, CAST(substr(asset_id,2,3) AS INTEGER) AS n, max(used_segment_end) FILTER (used_segment_start IS NOT NULL) AS last FROM aligned GROUP BY 1),
+TL = rf"""{ALIGNMENTS}, tl0 AS (SELECT asset_id, CAST(regexp_extract(asset_id,'\d+') AS INTEGER) AS n, max(used_segment_end) FILTER (used_segment_start IS NOT NULL) AS last FROM aligned GROUP BY 1),
 tl AS (SELECT asset_id, CASE WHEN n%3=0 THEN 150.0 WHEN n%2=0 THEN 180.0 ELSE last END::DOUBLE AS length, CASE WHEN n%3=0 OR n%2=0 THEN [30.0,60.0,120.0] ELSE [] END AS b FROM tl0)"""
 
 

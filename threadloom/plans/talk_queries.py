@@ -59,7 +59,7 @@ g AS (SELECT comment_id, unnest({grams}) AS term FROM toks),
 terms AS (SELECT term, count(*) AS count, count(DISTINCT comment_id) AS docs FROM g GROUP BY 1)"""
 
 
-@query("word_frequencies", f"{D}, {terms_sql('w')} SELECT term, count, docs FROM terms WHERE docs>=2 AND docs<=0.95*(SELECT count(*) FROM doc_comments) ORDER BY count DESC, term LIMIT 5000")
+@query("word_frequencies", f"{D}, {terms_sql('w')} SELECT term, count, docs FROM terms WHERE docs>=2 AND docs<=0.95*(SELECT count(*) FROM doc_comments) ")
 def _(t):
     return talk.word_frequencies(docs(t), stopwords=STOP)
 
@@ -72,7 +72,7 @@ def _(t):
 
 def _topics(t):
     dated = t.documents.select("doc_id", "text", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("n_chars") % 180)).alias("date"))
-    return talk.topic_model(dated, ngram=(1, 1), stopwords=STOP, rounds=5)
+    return talk.topic_model(dated, ngram=(1, 1), stopwords=STOP, vocabulary=20000, rounds=5)
 
 
 @query("topic_terms")

@@ -1,7 +1,7 @@
 """SQL twins of the driver-table adapters, as WITH-list members."""
 
 EDGES = """edges AS (
- SELECT 'u'||user_id AS channel_id, 'v'||json_extract_string(props,'$.k')||'@'||strftime(ts,'%m%d') AS video_id,
+ SELECT 'u'||user_id AS channel_id, 'v'||json_extract_string(props,'$.k')||'@'||strftime(ts,'%Y%m%d') AS video_id,
   CASE event_type WHEN 'signup' THEN 'uploader' WHEN 'purchase' THEN 'replier' ELSE 'commenter' END AS role,
   ts AS event_at, 'corpus'||(CAST(json_extract_string(props,'$.k') AS BIGINT)%3) AS corpus, event_id FROM events)"""
 
@@ -33,7 +33,7 @@ REELS = """reels AS (
   o_totalprice/10000 AS video_duration, CASE WHEN o_orderstatus='P' THEN 'F' ELSE o_orderstatus END AS variant_label FROM orders))"""
 
 SONGS = """songs AS (
- SELECT DISTINCT o_orderpriority AS song_id, substr(o_orderpriority,3,40) AS song_title,
+ SELECT DISTINCT o_orderpriority AS song_id, substr(o_orderpriority,3) AS song_title,
   CASE WHEN substr(o_orderpriority,1,1)<>'3' THEN 'artist '||substr(o_orderpriority,1,1) END AS artist FROM orders)"""
 
 SONG_LABEL = """CASE WHEN coalesce(artist,'')<>'' AND coalesce(song_title,'')<>'' THEN artist||' – '||song_title
@@ -72,9 +72,15 @@ VISION_STATE = """vision_state AS (SELECT doc_id AS reel_pk, CASE WHEN toxic=1 T
 CRAWLS = """seen AS (SELECT strftime(date_trunc('week',ts),'%Y%m%d')||'T000000Z' AS crawl_id, user_id AS reel_pk, event_type AS asset_id, max(ts) AS seen_at, count(*) AS play_count, substr(event_type,1,1) AS song_id FROM events GROUP BY ALL),
 runs AS (SELECT strftime(date_trunc('week',ts),'%Y%m%d')||'T000000Z' AS crawl_id, min(ts) AS started_at, 'refresh' AS mode, 'done' AS status FROM events GROUP BY 1)"""
 
-ACOUSTICS = """acoustics AS (SELECT printf('a%06d', vec_id) AS asset_id, 's'||label AS song_id, round(120+200*embedding[1]::DOUBLE,3) AS tempo, round(2000+4000*embedding[2]::DOUBLE,3) AS spectral_centroid,
- round(embedding[3]::DOUBLE*10,4) AS loudness_lufs, round(0.5+embedding[4]::DOUBLE,4) AS spectral_flatness, CAST(floor(abs(embedding[6]::DOUBLE)*40) AS INTEGER)%12 AS pc, CASE WHEN embedding[1]>0 THEN 'Major' ELSE 'Minor' END AS q,
- ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][CAST(floor(abs(embedding[6]::DOUBLE)*40) AS INTEGER)%12+1]||CASE WHEN embedding[1]>0 THEN ' Major' ELSE ' Minor' END AS est_key FROM embeddings)"""
+def fold_sql(bins: int, b: int, vector: str = "embedding", element: str = "x::DOUBLE") -> str:
+    """Sum of the elements i of a vector with i mod ``bins`` = ``b``, in their order."""
+    return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_filter({vector}, lambda x, i: (i-1)%{bins}={b}), lambda x: {element})), lambda p, q: p+q)"
+
+
+ACOUSTICS = f"""acoustics AS (SELECT printf('a%06d', vec_id) AS asset_id, 's'||label AS song_id, round(120+200*e[1],3) AS tempo, round(2000+4000*e[2],3) AS spectral_centroid,
+ round(e[3]*10,4) AS loudness_lufs, round(0.5+e[4],4) AS spectral_flatness, CAST(floor(abs(e[6])*40) AS INTEGER)%12 AS pc, CASE WHEN e[1]>0 THEN 'Major' ELSE 'Minor' END AS q,
+ ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][CAST(floor(abs(e[6])*40) AS INTEGER)%12+1]||CASE WHEN e[1]>0 THEN ' Major' ELSE ' Minor' END AS est_key
+ FROM (SELECT vec_id, label, [{', '.join(fold_sql(6, b) + '/4' for b in range(6))}] AS e FROM embeddings))"""
 
 ALIGNMENTS = """aligned AS (SELECT event_id AS reel_pk, printf('a%03d', CAST(json_extract_string(props,'$.k') AS INTEGER)) AS asset_id, CASE WHEN value>=1 THEN value END AS used_segment_start, value+15 AS used_segment_end,
  CASE WHEN event_type<>'view' THEN value/100 END AS align_confidence, CASE WHEN event_type='view' THEN (value>50)::INTEGER ELSE 0 END AS has_overlay FROM events)"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import engagement_rate, impact_metric
+from ..operators.media import KEY_NAMES
 
 
 def whole(c, divisor: float = 1.0):
@@ -21,7 +22,7 @@ def event_edges(events: DataFrame) -> DataFrame:
     role = F.when(F.col("event_type") == "signup", "uploader").when(F.col("event_type") == "purchase", "replier").otherwise("commenter")
     return events.select(
         F.concat(F.lit("u"), F.col("user_id")).alias("channel_id"),
-        F.concat(F.lit("v"), k, F.lit("@"), F.date_format("ts", "MMdd")).alias("video_id"),
+        F.concat(F.lit("v"), k, F.lit("@"), F.date_format("ts", "yyyyMMdd")).alias("video_id"),
         role.alias("role"),
         F.col("ts").cast("timestamp").alias("event_at"),
         F.concat(F.lit("corpus"), k.cast("long") % 3).alias("corpus"),
@@ -87,7 +88,7 @@ def reels(orders: DataFrame) -> DataFrame:
 def songs(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderpriority").alias("song_id")).distinct().select(
         "song_id",
-        F.substring("song_id", 3, 40).alias("song_title"),
+        F.expr("substring(song_id, 3)").alias("song_title"),
         F.when(F.substring("song_id", 1, 1) != "3", F.concat(F.lit("artist "), F.substring("song_id", 1, 1))).alias("artist"),
     )
 
@@ -145,13 +146,18 @@ def crawl_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs, seen
 
 
-KEYS = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+def folded(vector, bins: int):
+    """A vector of any length folded into ``bins`` sums, element i into bin i mod ``bins``."""
+    def own(b):
+        return F.aggregate(F.filter(vector, lambda _x, i: i % bins == b), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    return [own(b) for b in range(bins)]
 
 
 def acoustics(embeddings: DataFrame) -> DataFrame:
-    """embeddings as acoustic features: label is the song, vector elements the measures."""
-    e = [F.col("embedding")[i].cast("double") for i in range(6)]
-    key = F.concat(F.element_at(F.array(*[F.lit(k) for k in KEYS]), (F.floor(F.abs(e[5]) * 40) % 12 + 1).cast("int")), F.when(e[0] > 0, " Major").otherwise(" Minor"))
+    """embeddings as acoustic features: label is the song, the folded vector the measures."""
+    e = [x / 4 for x in folded(F.col("embedding"), 6)]
+    key = F.concat(F.element_at(F.array(*[F.lit(k) for k in KEY_NAMES]), (F.floor(F.abs(e[5]) * 40) % 12 + 1).cast("int")), F.when(e[0] > 0, " Major").otherwise(" Minor"))
     return embeddings.select(
         F.format_string("a%06d", "vec_id").alias("asset_id"), F.concat(F.lit("s"), "label").alias("song_id"),
         F.round(120 + 200 * e[0], 3).alias("tempo"), F.round(2000 + 4000 * e[1], 3).alias("spectral_centroid"),
