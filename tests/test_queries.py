@@ -2,18 +2,36 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from threadloom.plans.registry import ORACLE, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
+tables = pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
 
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+@tables
 def test_flagship_query(spark):
     df = contract.entry(spark)
     assert df.count() > 0 and "total_activity" in df.columns
+
+
+@tables
+def test_every_query_has_the_columns_of_its_twin(spark):
+    """All plans resolve; names are unique and equal those of the SQL."""
+    con = duckdb.connect()
+    for f in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    wrong = {}
+    for name, run in QUERIES.items():
+        columns = run(spark, str(DATA)).columns
+        twin = [d[0] for d in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()] if name in ORACLE else columns
+        if sorted(columns) != sorted(twin) or len(set(columns)) != len(columns):
+            wrong[name] = (columns, twin)
+    assert not wrong

@@ -254,15 +254,16 @@ def concordance_rows(df: DataFrame, annotations: DataFrame, rules: dict, adjacen
         *[F.array_sort(F.collect_list(F.when((F.col("dimension") == d) & (F.col("category") != rules[d]["unknown_id"]), F.struct("category", F.col("confidence").cast("double").alias("confidence"))))).alias(f"__{d}") for d in rules]
     )
     joined = df.select("reel_pk", *[f"{d}_keyword" for d in rules]).join(wide, "reel_pk", "left")
-    rows = []
+    sides = []
     for d in rules:
         k = F.array_except(F.col(f"{d}_keyword"), F.array(F.lit(rules[d]["unknown_id"])))
         v = F.coalesce(F.col(f"__{d}"), F.array().cast("array<struct<category:string,confidence:double>>"))
-        rows.append(joined.select("reel_pk", F.lit(d).alias("dimension"), k.alias("k"), v.alias("v")).withColumn("score", pair_concordance(F.col("k"), F.col("v"), (adjacency or {}).get(d))))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        sides.append(F.struct(F.lit(d).alias("dimension"), k.alias("k"), v.alias("v")))
+    rows = joined.select("reel_pk", F.explode(F.array(*sides)).alias("s")).select("reel_pk", "s.*")
+    score = F.lit(None).cast("double")
+    for d in rules:
+        score = F.when(F.col("dimension") == d, pair_concordance(F.col("k"), F.col("v"), (adjacency or {}).get(d))).otherwise(score)
+    return rows.withColumn("score", score)
 
 
 def concordance_by_dimension(rows: DataFrame) -> DataFrame:

@@ -322,7 +322,7 @@ def cluster_edits(edits: DataFrame, aligned: DataFrame, eps: float = 0.5, min_sa
     """
     rows = edits.filter(F.col("asset_id").isNotNull()).join(aligned.select("reel_pk", "used_segment_start", "has_overlay"), "reel_pk", "left")
     ok = (F.size("cut_times_aligned") > 0) & F.col("used_segment_start").isNotNull() & (F.coalesce("has_overlay", F.lit(0)) == 0)
-    use = durable(rows.withColumn("ok", F.coalesce(ok, F.lit(False))).select("reel_pk", "asset_id", "cut_times_aligned", "ok"))
+    use = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).select("reel_pk", "asset_id", "cut_times_aligned", "ok")
     points = durable(
         use.filter("ok").groupBy("asset_id", F.col("cut_times_aligned").alias("cuts")).agg(F.count("*").alias("w"), F.min("reel_pk").alias("p"))
     )
@@ -336,7 +336,7 @@ def cluster_edits(edits: DataFrame, aligned: DataFrame, eps: float = 0.5, min_sa
     )
     arcs = near.select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("wb").alias("w")).unionByName(near.select(F.col("b").alias("p"), F.col("a").alias("q"), F.col("wa").alias("w")))
     around = arcs.groupBy("p").agg(F.sum("w").alias("around"))
-    core = durable(points.join(around, "p", "left").filter(F.col("w") + F.coalesce("around", F.lit(0)) >= min_samples).select("asset_id", "p"))
+    core = points.join(around, "p", "left").filter(F.col("w") + F.coalesce("around", F.lit(0)) >= min_samples).select("asset_id", "p")
     cp = core.select("p")
     inner = near.join(cp.withColumnRenamed("p", "a"), "a", "left_semi").join(cp.withColumnRenamed("p", "b"), "b", "left_semi")
     comp = connected_components(inner, "a", "b").withColumnRenamed("node", "p")
@@ -346,6 +346,7 @@ def cluster_edits(edits: DataFrame, aligned: DataFrame, eps: float = 0.5, min_sa
     border = arcs.join(cp, "p", "left_anti").join(placed.select(F.col("p").alias("q"), "label"), "q").groupBy("p").agg(F.min("label").alias("label"))
     final = points.join(placed.unionByName(border), "p", "left").select("asset_id", F.col("cuts").alias("cut_times_aligned"), F.coalesce("label", F.lit(-1)).alias("edit_cluster"))
     clustered = use.filter("ok").join(final, ["asset_id", "cut_times_aligned"]).select("reel_pk", "asset_id", "edit_cluster")
+    # statistics read the small result many times
     return durable(clustered.unionByName(use.filter("NOT ok").select("reel_pk", "asset_id", F.lit(None).cast("int").alias("edit_cluster"))))
 
 

@@ -179,16 +179,19 @@ def overlap_graph(edges: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataF
 
 
 def jaccard_over_time(edges: DataFrame, period: str = "year") -> DataFrame:
-    """X11: per period, corpus pair and role the shared, exclusive and joint channel counts."""
+    """X11: per period, corpus pair and role the shared, exclusive and joint channel counts.
+
+    Each channel has a short sorted list of its corpora; channels are counted by
+    list, and all figures follow from the few different lists.
+    """
     dated = edges.filter(F.col("event_at").isNotNull()).withColumn("period", F.date_trunc(period, "event_at"))
-    sets = role_sets(dated, "period")
-    sizes = sets.groupBy("corpus", "period", "role").agg(F.count("*").alias("n"))
-    x, y = sets.alias("x"), sets.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("period", "role", "channel_id")]
+    lists = role_sets(dated, "period").groupBy("period", "role", "channel_id").agg(F.array_sort(F.collect_set("corpus")).alias("c"))
+    combos = lists.groupBy("period", "role", "c").agg(F.count("*").alias("n"))
+    sizes = combos.select("period", "role", F.explode("c").alias("corpus"), "n").groupBy("corpus", "period", "role").agg(F.sum("n").alias("n"))
+    firsts = combos.select("period", "role", "n", "c", F.posexplode("c").alias("i", "corpus_a"))
     shared = (
-        x.join(y, same[0] & same[1] & same[2] & (F.col("x.corpus") < F.col("y.corpus")))
-        .groupBy(F.col("x.corpus").alias("corpus_a"), F.col("y.corpus").alias("corpus_b"), F.col("x.period").alias("period"), F.col("x.role").alias("role"))
-        .agg(F.count("*").alias("k"))
+        firsts.select("period", "role", "n", "corpus_a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("corpus_b"))
+        .groupBy("corpus_a", "corpus_b", "period", "role").agg(F.sum("n").alias("k"))
     )
     pairs = _corpus_pairs(edges)
     seen = sizes.select("period", "role", "corpus")

@@ -197,12 +197,11 @@ def distinctive_terms(reels: DataFrame, by: str = "song", tags: DataFrame | None
     key, label = {"song": ("song_id", song_label()), "asset": ("asset_id", asset_label())}[by]
     use = reels.filter(filled(key)).withColumn("entity_id", F.col(key)).withColumn("entity_label", label)
     if tags is None:
-        tokens = use.select("entity_id", "entity_label", tx.normalize_caption("caption_text").alias("clean")).select("entity_id", "entity_label", tx.caption_tokens("clean").alias("t"))
-        counts = _term_table(tokens, "t", ["entity_id", "entity_label"]).drop("docs")
+        tokens = use.select("entity_id", "entity_label", tx.normalize_caption("caption_text").alias("clean")).select("entity_id", "entity_label", F.explode(tx.caption_tokens("clean")).alias("term"))
+        counts = tokens.groupBy("entity_id", "entity_label", "term").agg(F.count("*").alias("count"))
     else:
         clean = tags.select("reel_pk", F.lower(F.ltrim(F.trim("hashtag"), F.lit("#"))).alias("term")).filter(F.col("term") != "")
         counts = use.select("reel_pk", "entity_id", "entity_label").join(clean, "reel_pk").groupBy("entity_id", "entity_label", "term").agg(F.count("*").alias("count"))
-    counts = durable(counts)
     entity = counts.groupBy("entity_id").agg(F.sum("count").alias("entity_total_terms"))
     overall = counts.groupBy("term").agg(F.sum("count").alias("global_count"))
     joined = counts.join(entity, "entity_id").join(overall, "term")
@@ -219,7 +218,7 @@ def distinctive_hashtags(reels: DataFrame, tags: DataFrame, group: str = "song_i
     if stop:
         clean = clean.filter(~F.col("hashtag").isin(*stop))
     tagged = reels.select("reel_pk", group).join(clean, "reel_pk")
-    counts = durable(tagged.groupBy(group, "hashtag").agg(F.count("*").alias("n_group")))
+    counts = tagged.groupBy(group, "hashtag").agg(F.count("*").alias("n_group"))
     sums = counts.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum("n_group").alias("gt"))
     overall = counts.groupBy("hashtag").agg(F.sum("n_group").alias("n_total"))
     t = scalar(counts, F.sum("n_group").alias("t"))["t"]
