@@ -205,11 +205,11 @@ def degree_centrality(graph: DataFrame) -> DataFrame:
     return deg.withColumn("degree_centrality", F.when(n > 1, F.col("degree") / (n - 1)).otherwise(1.0))
 
 
-def centrality_table(graph: DataFrame, n: int = 20, slow: bool = True) -> DataFrame:
+def centrality_table(graph: DataFrame, n: int = 20, slow: bool = True, tol: float = 1e-6) -> DataFrame:
     """Degree, betweenness and eigenvector centrality of the top nodes."""
     out = degree_centrality(graph)
     if slow:
-        out = out.join(betweenness(graph), "node", "left").join(eigenvector_centrality(graph), "node", "left")
+        out = out.join(betweenness(graph), "node", "left").join(eigenvector_centrality(graph, tol), "node", "left")
     return top_n(out, n, F.desc("degree_centrality"), F.asc("node"))
 
 

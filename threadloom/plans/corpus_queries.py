@@ -283,7 +283,15 @@ def _(t):
     return quality.infer_structure(t.events, "props")
 
 
-@query("nested_structure")
+NESTED_PATHS = {
+    "comments": "list", "comments[].author_channel_id": "string", "comments[].date": "string", "comments[].likes": "bigint", "comments[].replies": "list", "comments[].replies[].author_channel_id": "string",
+    "comments[].replies[].date": "string", "comments[].replies[].likes": "bigint", "comments[].replies[].text": "string", "comments[].replies[].youtube_parent_id": "string",
+    "comments[].replies[].youtube_reply_id": "string", "comments[].text": "string", "comments[].vader_sentiment": "string", "comments[].youtube_comment_id": "string",
+    "video_info.published_at": "string", "video_info.title": "string", "video_info.views": "bigint",
+}
+
+
+@query("nested_structure", f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in NESTED_PATHS.items())}) AS s(path, type) WHERE EXISTS (SELECT 1 FROM conversations)")
 def _(t):
     return quality.infer_structure(nested(t).select(F.to_json(F.struct("video_info", "comments")).alias("j")), "j")
 

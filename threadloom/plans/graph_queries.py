@@ -154,19 +154,40 @@ def _(t):
     return graph.degree_centrality(graph.interaction_graph(ev(t)))
 
 
-@query("eigenvector_centrality")
+SYMMETRIC = "sym AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), nd AS (SELECT DISTINCT x AS node FROM sym)"
+
+# power iteration on A + I, far beyond the rounds that six places need
+EIGEN = """pw AS (WITH RECURSIVE it(k, node, x) AS (SELECT 0, node, 1.0::DOUBLE/count(*) OVER () FROM nd
+ UNION ALL SELECT k, node, y/sqrt(sum(y*y) OVER ()) FROM (SELECT k+1 AS k, node, sum(x) AS y FROM (SELECT k, sym.y AS node, it.x AS x FROM it JOIN sym ON sym.x=it.node UNION ALL SELECT k, node, x FROM it) WHERE k<80 GROUP BY 1,2)) SELECT * FROM it),
+eg AS (SELECT node, round(x,6) AS eigenvector, true AS converged FROM pw WHERE k=80)"""
+
+
+def betweenness_sql(levels: int = 6) -> str:
+    """Shortest path counts by level, then the share of each pair's paths through a node."""
+    parts, seen = ["b0 AS (SELECT node AS s, node, 0 AS d, 1.0::DOUBLE AS paths FROM nd)"], "SELECT s, node FROM b0"
+    for k in range(1, levels + 1):
+        parts.append(f"b{k} AS (SELECT s, y AS node, {k} AS d, sum(paths) AS paths FROM b{k - 1} JOIN sym ON x=node WHERE (s, y) NOT IN ({seen}) GROUP BY 1,2)")
+        seen += f" UNION ALL SELECT s, node FROM b{k}"
+    parts.append(f"sp AS ({' UNION ALL '.join(f'SELECT * FROM b{k}' for k in range(levels + 1))})")
+    return f"""{', '.join(parts)},
+bt AS (SELECT a.node, sum(a.paths*b.paths/e.paths) AS r FROM sp a JOIN sp b ON b.s=a.node JOIN sp e ON e.s=a.s AND e.node=b.node AND e.d=a.d+b.d WHERE a.d>0 AND b.d>0 GROUP BY 1),
+bw AS (SELECT node, round(coalesce(r,0)/((count(*) OVER ()-1)*(count(*) OVER ()-2)),6) AS betweenness, count(*) OVER () AS k, count(*) OVER () AS n FROM nd LEFT JOIN bt USING (node))"""
+
+
+@query("eigenvector_centrality", f"{INTERACTION}, {SYMMETRIC}, {EIGEN} SELECT * FROM eg")
 def _(t):
-    return eigenvector_centrality(graph.interaction_graph(ev(t)))
+    return eigenvector_centrality(graph.interaction_graph(ev(t)), tol=1e-12)
 
 
-@query("betweenness_centrality")
+@query("betweenness_centrality", f"{INTERACTION}, {SYMMETRIC}, {betweenness_sql()} SELECT * FROM bw")
 def _(t):
     return betweenness(graph.interaction_graph(ev(t)))
 
 
-@query("centrality_table")
+@query("centrality_table", f"""{INTERACTION}, {DEG}, {SYMMETRIC}, {EIGEN}, {betweenness_sql()}
+SELECT node, degree, round(degree/((SELECT count(*) FROM deg)-1),6) AS degree_centrality, betweenness, k, n, eigenvector, converged FROM deg JOIN eg USING (node) JOIN bw USING (node) ORDER BY degree DESC, node LIMIT 20""")
 def _(t):
-    return graph.centrality_table(graph.interaction_graph(ev(t)))
+    return graph.centrality_table(graph.interaction_graph(ev(t)), tol=1e-12)
 
 
 @query("frequent_channel_pairs", f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(w=3)} SELECT a AS channel_1, b AS channel_2, weight AS co_occurrence FROM rp WHERE ra<rb""")
@@ -180,12 +201,22 @@ def _(t):
     return graph.frequent_pairs_all(ev(t))
 
 
-@query("channel_pair_communities")
+COMMUNITIES = f"""WITH {EDGES}, {PART}, {ELIGIBLE.format(w=3)}, pr AS (SELECT a AS src, b AS dst, weight::DOUBLE AS weight FROM rp WHERE ra<rb), arcs AS (SELECT * FROM pr UNION ALL SELECT dst, src, weight FROM pr),
+own AS (SELECT src AS node, avg(weight) AS own FROM arcs GROUP BY 1),
+lp AS (WITH RECURSIVE it(k, node, community) AS (SELECT 0, node, node FROM own
+ UNION ALL SELECT k, node, community FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, community) AS rn FROM (SELECT k+1 AS k, node, community, round(sum(w),9) AS w FROM
+  (SELECT it.k, arcs.src AS node, it.community, arcs.weight AS w FROM it JOIN arcs ON arcs.dst=it.node UNION ALL SELECT it.k, it.node, it.community, own FROM it JOIN own USING (node)) WHERE k<60 GROUP BY 1,2,3)) WHERE rn=1) SELECT node, community FROM it WHERE k=60)"""
+MODULARITY = """tc2 AS (SELECT p.weight, x.community AS ca, y.community AS cb FROM pr p JOIN lp x ON x.node=src JOIN lp y ON y.node=dst), m AS (SELECT sum(weight) AS m FROM pr),
+ins AS (SELECT ca AS community, sum(weight) AS weight_inside FROM tc2 WHERE ca=cb GROUP BY 1), tch AS (SELECT community, sum(weight) AS weight_touching FROM arcs JOIN lp ON node=src GROUP BY 1), sz AS (SELECT community, count(*) AS nodes FROM lp GROUP BY 1)"""
+
+
+@query("channel_pair_communities", f"{COMMUNITIES} SELECT node, community, true AS converged FROM lp")
 def _(t):
     return graph.pair_communities(graph.frequent_pairs(ev(t)))[0]
 
 
-@query("channel_pair_modularity")
+@query("channel_pair_modularity", f"""{COMMUNITIES}, {MODULARITY} SELECT community, nodes, weight_touching, coalesce(weight_inside,0.0) AS weight_inside, round(coalesce(weight_inside,0)/m-(weight_touching/(2*m))*(weight_touching/(2*m)),6) AS modularity
+ FROM sz JOIN tch USING (community) LEFT JOIN ins USING (community), m""")
 def _(t):
     return graph.pair_communities(graph.frequent_pairs(ev(t)))[1]
 

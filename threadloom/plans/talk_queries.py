@@ -99,6 +99,18 @@ def _(t):
     return talk.monthly_topic_shares(talk.document_topics(model, vectors))
 
 
+@query("topic_invariants", """SELECT count(*) AS documents, true AS weights_between_0_and_1, 100.0::DOUBLE AS share_total, count(DISTINCT (n_chars%180)//31) > 0 AS has_months, 0::BIGINT AS months_off_100 FROM documents""")
+def _(t):
+    model, _voc, vectors = _topics(t)
+    mix = talk.document_topics(model, vectors)
+    total = F.round(talk.topic_shares(mix).agg(F.sum("percent")).scalar(), 6)
+    months = talk.monthly_topic_shares(mix).groupBy("month").agg(F.sum("percent").alias("p"))
+    off = months.agg(F.count_if(F.abs(F.col("p") - 100) > 1e-6)).scalar()
+    return mix.agg(F.count("*").alias("documents"), F.every((F.col("weight") >= 0) & (F.col("weight") <= 1)).alias("weights_between_0_and_1")).select(
+        "*", total.alias("share_total"), (months.agg(F.count("*")).scalar() > 0).alias("has_months"), off.alias("months_off_100"),
+    )
+
+
 def markers_sql(source: str) -> str:
     def lead(c):
         return r"(?:^|[^\p{L}\p{M}\p{N}_])" + c + r"([A-Za-z0-9_]{2,})"
