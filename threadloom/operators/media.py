@@ -60,16 +60,32 @@ def _several(features: DataFrame) -> DataFrame:
 DELTAS = {"centroid": "spectral_centroid", "rolloff": "spectral_rolloff", "bandwidth": "spectral_bandwidth", "flatness": "spectral_flatness", "loudness": "loudness_lufs"}
 
 
-def variant_pairs(features: DataFrame) -> DataFrame:
-    """A4: symmetric acoustic distances of every asset pair of a song."""
-    pairs = group_pairs(features.select("song_id", "asset_id").distinct(), "song_id", "asset_id")
+def _tempo_neighbours(rows: DataFrame, tolerance: float, columns: Sequence[str]) -> DataFrame:
+    """Pairs (a_*, b_*) of a song's assets in neighbouring cells of folded log tempo, the smaller id first.
+
+    Cells are as wide as ``tolerance``, so only assets of near tempo meet.
+    """
+    cells = max(3, math.floor(1 / math.log2(1 + tolerance)))
+    t = F.log2("tempo")
+    cell = F.pmod(F.floor((t - F.floor(t)) * cells).cast("int"), F.lit(cells))
+    use = rows.filter(F.col("tempo") > 0).withColumn("cell", cell)
+    a = use.select("song_id", "cell", *[F.col(x).alias(f"a_{x}") for x in columns])
+    near = F.array(*[F.pmod(F.col("cell") + d, F.lit(cells)) for d in (-1, 0, 1)])
+    b = use.select("song_id", F.explode(near).alias("cell"), *[F.col(x).alias(f"b_{x}") for x in columns])
+    return a.join(b, ["song_id", "cell"]).filter((F.col("a_asset_id") < F.col("b_asset_id")) & (tempo_distance("a_tempo", "b_tempo") <= 1 + tolerance))
+
+
+def variant_pairs(features: DataFrame, tempo_tol: float) -> DataFrame:
+    """A4: acoustic distances of a song's asset pairs whose tempo ratio is within 1 + ``tempo_tol``.
+
+    The caller states the tolerance; all pairs of a song would grow with the
+    square of its assets.
+    """
     present = {k: c for k, c in DELTAS.items() if c in features.columns}
-    cols = ["tempo", "est_key", *present.values()]
-    a = features.select("song_id", F.col("asset_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = features.select("song_id", F.col("asset_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = pairs.join(a, ["song_id", "a"]).join(b, ["song_id", "b"])
+    cols = ["asset_id", "tempo", "est_key", *present.values()]
+    j = _tempo_neighbours(features.select("song_id", *cols).dropDuplicates(["song_id", "asset_id"]), tempo_tol, cols)
     return j.select(
-        "song_id", F.col("a").alias("asset_a"), F.col("b").alias("asset_b"), F.col("a_tempo").alias("tempo_a"), F.col("b_tempo").alias("tempo_b"),
+        "song_id", F.col("a_asset_id").alias("asset_a"), F.col("b_asset_id").alias("asset_b"), F.col("a_tempo").alias("tempo_a"), F.col("b_tempo").alias("tempo_b"),
         tempo_distance("a_tempo", "b_tempo").alias("tempo_ratio"),
         F.abs(semitone_shift(key_class("a_est_key"), key_class("b_est_key"))).alias("key_shift_semitones"),
         *[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"abs_delta_{k}") for k, c in present.items()],
@@ -105,18 +121,11 @@ def near_identical_pairs(features: DataFrame, tempo_tol: float = 0.02, centroid_
     Only neighbours on a circle of folded log tempo are compared, so a song's
     assets are not all paired with each other.
     """
-    cells = max(3, math.floor(1 / math.log2(1 + tempo_tol)))
-    t = F.log2("tempo")
-    cell = F.pmod(F.floor((t - F.floor(t)) * cells).cast("int"), F.lit(cells))
-    use = _several(features).filter(F.col("tempo") > 0).select("song_id", "asset_id", "tempo", key_class("est_key").alias("k"), F.col("spectral_centroid").alias("c"), cell.alias("cell"))
-    a = use.select("song_id", "cell", *[F.col(x).alias(f"a_{x}") for x in ("asset_id", "tempo", "k", "c")])
-    near = F.array(*[F.pmod(F.col("cell") + d, F.lit(cells)) for d in (-1, 0, 1)])
-    b = use.select("song_id", F.explode(near).alias("cell"), *[F.col(x).alias(f"b_{x}") for x in ("asset_id", "tempo", "k", "c")])
+    use = _several(features).select("song_id", "asset_id", "tempo", key_class("est_key").alias("k"), F.col("spectral_centroid").alias("c"))
     both = (F.col("a_c") > 0) & (F.col("b_c") > 0)
     bright = F.abs(F.col("a_c") - F.col("b_c")) / F.greatest("a_c", "b_c") <= centroid_tol
-    return a.join(b, ["song_id", "cell"]).filter(
-        (F.col("a_asset_id") < F.col("b_asset_id")) & (tempo_distance("a_tempo", "b_tempo") <= 1 + tempo_tol)
-        & F.coalesce(F.col("a_k") == F.col("b_k"), F.lit(True)) & (~F.coalesce(both, F.lit(False)) | F.coalesce(bright, F.lit(True)))
+    return _tempo_neighbours(use, tempo_tol, ["asset_id", "tempo", "k", "c"]).filter(
+        F.coalesce(F.col("a_k") == F.col("b_k"), F.lit(True)) & (~F.coalesce(both, F.lit(False)) | F.coalesce(bright, F.lit(True)))
     ).select("song_id", F.col("a_asset_id").alias("src"), F.col("b_asset_id").alias("dst"))
 
 

@@ -25,9 +25,9 @@ def dist(x, y):
 
 @query("variant_pairs", f"""WITH {ACOUSTICS}, p AS (SELECT x.song_id, x.asset_id AS asset_a, y.asset_id AS asset_b, x.tempo AS tempo_a, y.tempo AS tempo_b, {dist('x.tempo', 'y.tempo')} AS r, (y.pc-x.pc+12)%12 AS d,
  abs(x.spectral_centroid-y.spectral_centroid) AS dc, abs(x.spectral_flatness-y.spectral_flatness) AS df, abs(x.loudness_lufs-y.loudness_lufs) AS dl FROM acoustics x JOIN acoustics y ON x.song_id=y.song_id AND x.asset_id<y.asset_id)
-SELECT song_id, asset_a, asset_b, tempo_a, tempo_b, round(r,6) AS tempo_ratio, abs(CASE WHEN d>6 THEN d-12 ELSE d END)::BIGINT AS key_shift_semitones, round(dc,6) AS abs_delta_centroid, round(df,6) AS abs_delta_flatness, round(dl,6) AS abs_delta_loudness FROM p""")
+SELECT song_id, asset_a, asset_b, tempo_a, tempo_b, round(r,6) AS tempo_ratio, abs(CASE WHEN d>6 THEN d-12 ELSE d END)::BIGINT AS key_shift_semitones, round(dc,6) AS abs_delta_centroid, round(df,6) AS abs_delta_flatness, round(dl,6) AS abs_delta_loudness FROM p WHERE r<=1.1""")
 def _(t):
-    return media.variant_pairs(a.acoustics(t.embeddings))
+    return media.variant_pairs(a.acoustics(t.embeddings), 0.1)
 
 
 @query("variant_dispersion", f"""WITH {ACOUSTICS}, g AS (SELECT song_id, count(DISTINCT asset_id) AS n_variants, min(tempo) AS tempo_min, max(tempo) AS tempo_max, count(DISTINCT est_key) AS n_distinct_keys, min(spectral_centroid) AS centroid_min, max(spectral_centroid) AS centroid_max,

@@ -33,12 +33,23 @@ LINE = T.StructType([T.StructField("video_id", T.StringType()), *ENTRY.fields])
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One file holding an object keyed by video id, as rows (video_id, video_info, comments)."""
+    """One file holding an object keyed by video id, as rows (video_id, video_info, comments).
+
+    For import only: such a file is one JSON value and one task reads it whole.
+    Many files are read side by side; a large corpus is kept as lines
+    (``import_corpus``, ``read_lines``).
+    """
     whole = spark.read.text(path, wholetext=True)
     parsed = whole.select(F.from_json("value", T.MapType(T.StringType(), ENTRY)).alias("m"))
     return parsed.select(F.explode("m").alias("video_id", "e")).select("video_id", "e.video_info", "e.comments")
 
 
+def import_corpus(spark: SparkSession, path: str, lines: str) -> DataFrame:
+    """Rewrite object files as the scalable layout and read that back."""
+    read_corpus(spark, path).repartition("video_id").write.mode("overwrite").json(lines)
+    return read_lines(spark, lines)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The scalable layout, one video per JSON line."""
     return spark.read.schema(LINE).json(path)
