@@ -6,25 +6,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-_SPACE = " \t\n\x0b\x0c\r"
+def single_spaced(text: Column, line_feeds: bool) -> Column:
+    """White space as single spaces, none at the ends; with ``line_feeds`` these stay as they are.
 
-
-def words(text: Column) -> Column:
-    """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return."""
-    plain = F.trim(F.translate(text, _SPACE, " " * len(_SPACE)))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
+    White space is space, tab, line feed, vertical tab, form feed and carriage
+    return. Both patterns match rarely in common text, which keeps this cheap.
+    """
+    plain = F.regexp_replace(text, r"[\t\x0B\f\r]" if line_feeds else r"[\t\n\x0B\f\r]", " ")
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
-def repeated_words(own: Column) -> Column:
-    """How many words lie in a three-word window that occurs twice or more."""
-    windows = F.transform(
-        F.array(own),  # binds the words once
-        lambda w: F.when(F.size(w) < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
-            F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-        ),
-    )
+def repeated_words(words: Column) -> Column:
+    """How many words lie in a three-word window that occurs twice or more; ``words`` is bound by the caller."""
     none = F.array().cast("array<int>")
-    twice = F.transform(windows, lambda s: F.flatten(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none))))
+    windows = F.when(F.size(words) < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
+        F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+    )
+    twice = F.transform(F.array(windows), lambda s: F.flatten(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none))))
     covered = F.transform(twice, lambda p: F.array_distinct(F.flatten(F.transform(p, lambda i: F.array(i, i + 1, i + 2)))))
     return F.size(covered[0])
 
@@ -37,21 +35,22 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     start = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text.alias("text"))
-    spaced = start.withColumn("plain", F.translate("text", _SPACE.replace("\n", ""), " " * (len(_SPACE) - 1)))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, _SPACE, " " * len(_SPACE))) != "")
-    tidy = F.transform(
-        F.filter(F.split(F.lower("plain"), "\n"), lambda x: F.trim(x) != ""),
-        lambda x: F.transform(F.array(F.split(F.trim(x), " +")), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("h"), F.size(w).alias("n")))[0],
+    spaced = start.select("*", single_spaced(F.col("text"), True).alias("lined")).select("*", single_spaced(F.col("lined"), False).alias("flat"))
+    words = F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " "))
+    # an inner array binds what is used more than once
+    counts = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeated")))[0]
+    raw = F.filter(F.split("text", "\n"), lambda x: single_spaced(x, True) != "")
+    tidy = F.filter(F.transform(F.split(F.lower("lined"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.transform(tidy, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    facts = spaced.select(
+        "doc_id", "host", F.xxhash64("text").alias("text_hash"), counts.alias("c"), F.length("flat").cast("long").alias("flat_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.transform(F.array(raw), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
+        F.array_distinct(lines).alias("lines"),
     )
-    own = words(F.col("text"))
-    return spaced.select(
-        "doc_id", "host", F.xxhash64("text").alias("text_hash"),
-        F.size(own).cast("long").alias("n_words"),
-        F.length(F.translate("text", _SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-        repeated_words(own).cast("long").alias("n_repeat_words"),
-        F.array_distinct(tidy).alias("lines"),
+    return facts.select(
+        "doc_id", "host", "text_hash", F.col("c.n").alias("n_words"), (F.col("flat_chars") - F.greatest(F.col("c.n") - 1, F.lit(0))).alias("word_chars"),
+        "n_symbols", "n_dup_lines", F.col("c.repeated").alias("n_repeat_words"), "lines",
     )
 
 
