@@ -6,12 +6,13 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.components import betweenness, connected_components, eigenvector_centrality
 from threadloom.functions.numbering import number_rows
 from threadloom.functions.pairs import shared_group_counts
-from threadloom.functions.quantiles import exact_percentiles
+from threadloom.functions.quantiles import exact_percentiles, grid_cell
 from threadloom.operators.quality import keyed_pseudonym
 
 
@@ -84,3 +85,33 @@ def test_numbering_and_keyed_digest(spark):
     for salt in ("pepper", "x" * 90):
         row = spark.createDataFrame([("ünï",)], "id string").select(keyed_pseudonym("id", salt).alias("p")).first()
         assert row.p == hmac.new(salt.encode(), "ünï".encode(), hashlib.sha256).hexdigest()[:24]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_percentiles_of_a_hot_group(spark, hot):
+    """One group with 90 % of the rows, broadcasts off, against numpy."""
+    r = random.Random(4)
+    values = [r.choice([0.0, -1.5, 1e-310, 1e301, 7.0, r.gauss(0, 1), r.expovariate(1e-4), 2.0 ** r.randrange(-9, 9), -(2.0 ** r.randrange(5))]) for _ in range(3000)]
+    rows = [("big" if i % 10 else "small", v, i % 7 or None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, x double, y int").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if hot else "10485760")
+    try:
+        wanted = {"q10": (F.col("x"), 0.1), "median": (F.col("x"), 0.5), "q99": (F.col("x"), 0.99), "y": (F.col("y"), 0.5)}
+        got = {r["g"]: r for r in exact_percentiles(df, ["g"], wanted).collect()}
+        whole = exact_percentiles(df, [], wanted).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for g in ("big", "small", None):
+        own = [(x, y) for k, x, y in rows if g in (k, None)]
+        row = got[g] if g else whole[0]
+        for name, p in (("q10", 0.1), ("median", 0.5), ("q99", 0.99)):
+            assert np.isclose(row[name], np.quantile([x for x, _ in own], p), rtol=1e-12), (g, name)
+        assert row["y"] == np.median([y for _, y in own if y])
+    assert len(whole) == 1
+
+
+def test_grid_cells_never_fall(spark):
+    r = random.Random(1)
+    xs = sorted({0.0, 1e-320, 1e308, -1e308, *(s * 2.0**k * (1 + d) for s in (1, -1) for k in range(-40, 60) for d in (-1e-15, 0.0, 1e-15, r.random()))})
+    cells = [c for _, c in sorted((r["x"], r["c"]) for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", grid_cell(F.col("x")).alias("c")).collect())]
+    assert cells == sorted(cells)

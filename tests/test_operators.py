@@ -131,3 +131,29 @@ def test_csv_round_trip(spark, tmp_path):
     listed = tmp_path / "view.json"
     listed.write_text(json.dumps({"items": [{"reel_pk": "7"}, {"reel_pk": "8"}]}))
     assert sinks.read_records(spark, str(listed), spark.createDataFrame([], "reel_pk string").schema).count() == 2
+
+
+def test_large_video_and_many_channels_are_kept(spark):
+    """No default cuts videos of many participants, channels, neighbours or edges."""
+    rows = [(f"c{i:04d}", v, "commenter") for v in ("v1", "v2") for i in range(250)]
+    rows += [(f"d{i:04d}", f"w{i // 2}-{k}", "commenter") for i in range(1100) for k in range(2)]
+    edges = spark.createDataFrame(rows, "channel_id string, video_id string, role string")
+    got = graph.interaction_graph(edges).cache()
+    assert got.count() == 250 * 249 // 2 + 550 and graph.node_degrees(got).count() == 1350
+    assert graph.frequent_pairs(edges, threshold=2).count() == 250 * 249 // 2 + 550
+    thinned = graph.interaction_graph(edges, top_k_per_node=3, max_participants_per_video=200)
+    assert thinned.count() == 550
+    communities, _ = graph.pair_communities(graph.frequent_pairs(edges.filter("channel_id < 'c0060' or channel_id > 'd'"), threshold=2))
+    assert communities.filter("converged").count() == 60 + 1100
+
+
+def test_json_export_with_metadata(spark, tmp_path):
+    records = spark.createDataFrame([("1", ["a"]), ("2", ["b"]), ("3", [])], "reel_pk string, tags array<string>")
+    view = spark.createDataFrame([("3",), ("1",), ("1",), ("9",)], "reel_pk string")
+    out = str(tmp_path / "view")
+    assert sinks.export_view(records, view, out, metadata={"title": "é"}).count() == 2
+    said = json.loads(spark.read.text(f"{out}/metadata").first()[0])
+    assert said == {"key": "reel_pk", "title": "é", "row_count": 2, "columns": ["reel_pk", "tags"]}
+    assert {r["reel_pk"] for r in spark.read.json(f"{out}/items").collect()} == {"1", "3"}
+    sinks.export_view(records, view, str(tmp_path / "flat"), form="csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "flat")).count() == 2

@@ -11,7 +11,6 @@ from ..functions.numbering import number_rows
 from ..functions.quantiles import exact_percentiles, with_percentiles
 from ..functions.rules import label_of
 from ..functions.text import contains_any
-from ..session import durable
 from .talk import theme_text
 
 
@@ -128,10 +127,11 @@ def close_reading_sample(df: DataFrame, contexts: Sequence[str]) -> DataFrame:
 def curated_sample(df: DataFrame, slots: Sequence[Mapping], music_terms: Sequence[str] = (), visual_contexts: Sequence[str] = (), tags: str | None = "hashtags", seed: int = 42) -> DataFrame:
     """H9: hand-written slots in order; each picks n reels not used by an earlier slot.
 
-    Keywords narrow a slot only when they leave rows. Each pick holds at most n
-    reels, so the growing set of used ids stays small.
+    Keywords narrow a slot only when they leave rows. Each slot is one top-n
+    query; its at most n ids are all that reaches the driver and are left out of
+    the slots after it.
     """
-    picks = None
+    picks: list[tuple] = []
     text = theme_text(tags=tags)
     for slot in slots:
         sub = df
@@ -148,19 +148,19 @@ def curated_sample(df: DataFrame, slots: Sequence[Mapping], music_terms: Sequenc
                 narrowed = sub.filter(contains_any(text, slot["keywords"]))
                 if not narrowed.isEmpty():
                     sub = narrowed
-        if picks is not None:
-            sub = sub.join(picks.select("reel_pk"), "reel_pk", "left_anti")
+        if picks:
+            sub = sub.filter(~F.col("reel_pk").isin([p[0] for p in picks]))
         if mode.startswith("random"):
             order = [seeded(seed=seed).asc()]
         elif mode == "median":
-            mid = exact_percentiles(sub.withColumn("__g", F.lit(1)), ["__g"], {"m": (F.col("impact_metric"), 0.5)}).agg(F.max("m")).scalar()
+            mid = exact_percentiles(sub, [], {"m": (F.col("impact_metric"), 0.5)}).agg(F.max("m")).scalar()
             sub = sub.withColumn("__d", F.abs(F.col("impact_metric") - mid))
             order = [F.asc_nulls_last("__d"), F.asc("reel_pk")]
         else:
             order = [F.desc_nulls_last("impact_metric"), F.asc("reel_pk")]
-        pick = durable(sub.orderBy(*order).limit(n).select("reel_pk", F.lit(f"curated:{slot['slot']}").alias("sample_reason")))
-        picks = pick if picks is None else picks.unionByName(pick)
-    return df.join(picks, "reel_pk")
+        picks += [(r["reel_pk"], f"curated:{slot['slot']}") for r in sub.orderBy(*order).limit(n).select("reel_pk").collect()]
+    kind = df.schema["reel_pk"].dataType.simpleString()
+    return df.join(df.sparkSession.createDataFrame(picks, f"reel_pk {kind}, sample_reason string"), "reel_pk")
 
 
 def validation_sample(df: DataFrame, dim: str, unknown: str, n: int = 5, seed: int = 42) -> DataFrame:
