@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
+from .encode import texts_of
 
 _GAPS = re.compile(r"[\W_]+")
 HIT = "array<struct<item_id:{},distance:int,start:int,stop:int>>"
@@ -174,7 +175,7 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] =
         def scan(batches, block=block):
             matcher = _matcher(block, rate)
             for batch in batches:
-                new = [matcher.hits(t) if t else [] for t in batch.column(len(passed)).to_pylist()]
+                new = [matcher.hits(t) if t else [] for t in texts_of(batch.column(len(passed)))]
                 column = batch.column(len(passed) + 1)
                 if any(new):
                     column = pa.array([a + b for a, b in zip(column.to_pylist(), new)], column.type)

@@ -8,6 +8,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # fixed value: the splitting pattern of byte-level vocabularies
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,6 +62,12 @@ class Encoder:
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size = self.model.vocab_size()
             return
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        ids = [*file["model"].get("vocab", {}).values(), *(a["id"] for a in file.get("added_tokens") or [])] if isinstance(file["model"].get("vocab"), dict) else []
+        self.fast, self.size = self._ranks(file), max(ids, default=-1) + 1
+        if self.fast is not None:
+            return
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -67,32 +75,27 @@ class Encoder:
         self.model.no_padding()
         self.model.encode_special_tokens = plain
         self.size = self.model.get_vocab_size()
-        with open(path, encoding="utf-8") as f:
-            self.fast = self._ranks(json.load(f))
 
     @staticmethod
     def _ranks(file: dict):
         """A ``tiktoken`` encoding of a byte-level BPE file, or None where the file is of another kind."""
-        from tokenizers.pre_tokenizers import ByteLevel
-
         model, split = file["model"], file.get("pre_tokenizer") or {}
         vocab, merges = model.get("vocab"), model.get("merges")
         added = file.get("added_tokens") or []
-        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges or []]
         plain_kind = (
             model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
             and not file.get("normalizer") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
             and all(a["special"] and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) for a in added)
         )
+        joined = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges or [])
         if not plain_kind or any(vocab[x] != 256 + i for i, x in enumerate(joined)):
             return None
         import tiktoken
 
-        letters = sorted(ByteLevel.alphabet())
-        # the alphabet writes printable bytes as themselves and the others, in order, from U+0100 on
-        byte_of = {c: ord(c) for c in letters if ord(c) < 256}
-        others = (b for b in range(256) if chr(b) not in byte_of)
-        byte_of |= dict(zip((c for c in letters if ord(c) >= 256), others))
+        # byte-level files write printable bytes as themselves and the others, in order, from U+0100 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in printable}
+        byte_of |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(printable))}
         special = {a["content"]: a["id"] for a in added}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if word not in special}
         return tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens=special)
@@ -131,3 +134,10 @@ def balanced(lengths: np.ndarray, size: int = 1 << 20) -> Iterator[slice]:
         to = max(int(np.searchsorted(ends, base + size, side="right")), at + 1)
         yield slice(at, to)
         at = to
+
+
+def texts_of(column: pa.Array, size: int = 1 << 20) -> Iterator[str | None]:
+    """The texts of a column one by one; only about ``size`` bytes of them exist as Python strings at a time."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for part in balanced(lengths, size):
+        yield from column.slice(part.start, part.stop - part.start).to_pylist()

@@ -81,24 +81,27 @@ class CrossParser:
         self.code = np.where(letters(), 1, 0).astype(np.int16)
         self.code[ranked] = 2 + np.where(np.arange(len(ranked)) < alphabet, np.arange(len(ranked)), alphabet + ranked % 50)
         self.width = int(self.code.max()) + 1
-        tables, starts, base = [], [], 0
         self.cost = np.array([math.log2(len(self.letters_of(points[k])) + 2) for k in self.langs])
-        for k in self.langs:
-            moves = suffix_automaton(self.letters_of(points[k]).tolist())
-            root = moves[0]
-            table = np.empty((len(moves), self.width), dtype=np.int64)
-            table[:] = [(base + root[c] * self.width) * 4 + 1 if c in root else base * 4 + 2 for c in range(self.width)]
+        automata = [self._edges(self.letters_of(points[k]).tolist()) for k in self.langs]
+        sizes = [states * self.width for states, _ in automata]
+        kind = np.int32 if sum(sizes) * 4 < 2**31 else np.int64
+        self.starts = (np.cumsum([0, *sizes])[:-1]).astype(kind)[:, None]
+        self.table = np.empty(sum(sizes), dtype=kind)
+        for start, size, (states, (at, letter, to)) in zip(self.starts[:, 0], sizes, automata):
+            table = self.table[start : start + size].reshape(states, self.width)
+            first = np.full(self.width, start * 4 + 2, dtype=kind)  # a letter unknown even at the start
+            roots = at == 0
+            first[letter[roots]] = (start + to[roots] * self.width) * 4 + 1
+            table[:] = first
             table[0] -= 1  # nothing is open at the start
-            for s, own in enumerate(moves):
-                for c, to in own.items():
-                    table[s, c] = (base + to * self.width) * 4
-            tables.append(table.ravel())
-            starts.append(base)
-            base += table.size
-        self.starts = np.array(starts, dtype=np.int64)[:, None]
-        self.table = np.concatenate(tables) if tables else np.empty(0, np.int64)
-        if base * 4 < 2**31:
-            self.starts, self.table = self.starts.astype(np.int32), self.table.astype(np.int32)
+            table[at, letter] = (start + to * self.width) * 4
+
+    @staticmethod
+    def _edges(codes: list[int]) -> tuple[int, np.ndarray]:
+        """States and (state, letter, next state) columns of the automaton of a text."""
+        moves = suffix_automaton(codes)
+        edges = np.fromiter((x for s, own in enumerate(moves) for c, to in own.items() for x in (s, c, to)), dtype=np.int64)
+        return len(moves), edges.reshape(-1, 3).T
 
     def letters_of(self, points: np.ndarray) -> np.ndarray:
         """Codes of a text, runs of anything but letters as one separator, none at the ends."""
@@ -149,7 +152,7 @@ class CrossParser:
         return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, told)], np.where(told, score, 0.0)
 
 
-def training_texts(labelled: DataFrame, chars: int = 48_000, texts: int = 300, text_chars: int = 2_000, languages: int = 500) -> dict[str, str]:
+def training_texts(labelled: DataFrame, chars: int = 32_000, texts: int = 300, text_chars: int = 2_000, languages: int = 500) -> dict[str, str]:
     """A bounded sample of labelled text per language: the documented bound of what is learned from.
 
     Of each language about ``texts`` different texts, chosen by the hash of the

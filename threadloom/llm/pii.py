@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
+from .encode import texts_of
 
 # fixed values: given names by gender, family names, and titles by gender, for each script
 GIVEN = {
@@ -236,7 +237,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            found = [[dict(zip(("start", "stop", "kind", "value"), s)) for s in detect(t)] for t in batch.column("text").to_pylist()]
+            found = [[dict(zip(("start", "stop", "kind", "value"), s)) for s in detect(t)] for t in texts_of(batch.column("text"))]
             mask = pa.array([bool(x) for x in found], pa.bool_())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
             yield pa.record_batch([batch.column("doc_id").filter(mask), batch.column("text_hash").filter(mask), pa.array([x for x in found if x], kind)], names=["doc_id", "text_hash", "spans"])
@@ -278,7 +279,7 @@ def replace_pii(docs: DataFrame, key: str, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             n = batch.num_columns
             texts = []
-            for text, todo in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()):
+            for text, todo in zip(texts_of(batch.column(n - 2)), batch.column(n - 1).to_pylist()):
                 at, parts = 0, []
                 for s in todo or []:
                     parts += [text[at : s["start"]], render(s["kind"], text[s["start"] : s["stop"]], s["surrogate"])]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.components import connected_components
 from .common import stored
+from .encode import texts_of
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEED = 42
@@ -37,7 +38,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t) for t in texts_of(batch.column("text"))], dtype=np.uint64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
