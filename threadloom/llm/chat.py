@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import map_arrow
 from .encode import encoder, vocabulary
 
 # fixed values: control strings; the reserved ids follow the vocabulary in this order
@@ -111,7 +112,7 @@ def format_chats(turns: DataFrame, path: str | None = None, learn: tuple[str, ..
 
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     streamed = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return streamed.mapInArrow(build, f"conv_id {kind}, input_ids array<int>, loss_mask array<tinyint>, formatted string")
+    return map_arrow(streamed, build, f"conv_id {kind}, input_ids array<int>, loss_mask array<tinyint>, formatted string")
 
 
 def chat_digests(chats: DataFrame, path: str | None = None) -> DataFrame:
@@ -132,4 +133,4 @@ def chat_digests(chats: DataFrame, path: str | None = None) -> DataFrame:
             kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return chats.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(chats, read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,18 @@ def on_workers(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of at most 8 MB, unless the session names another bound.
+
+    A batch exists in the executor, in its Python worker and on the way between
+    them; rows that are long texts make Spark's own bound of 64 MB heavy.
+    """
+    spark = on_workers(df.sparkSession)
+    if spark.conf.get(BATCH_BYTES, None) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+    return df.mapInArrow(function, schema)

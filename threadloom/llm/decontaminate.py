@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 from .encode import texts_of
 
 _GAPS = re.compile(r"[\W_]+")
@@ -164,9 +164,11 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] =
     """
     kind = items.schema["item_id"].dataType.simpleString()
     passed = list(dict.fromkeys(keep))
-    text, state = "text to read", "hits so far"
-    rows = docs.select(*passed, F.col("text").alias(text), F.array().cast(HIT.format(kind)).alias(state))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
+    state = "hits so far"
+    own = passed if "text" in passed else [*passed, "text"]
+    at, last = own.index("text"), len(own)
+    rows = docs.select(*own, F.array().cast(HIT.format(kind)).alias(state))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
     for n, block in enumerate(item_blocks(items, min_chars, block_chars)):
         if n and n % 4 == 0:
@@ -175,13 +177,13 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] =
         def scan(batches, block=block):
             matcher = _matcher(block, rate)
             for batch in batches:
-                new = [matcher.hits(t) if t else [] for t in texts_of(batch.column(len(passed)))]
-                column = batch.column(len(passed) + 1)
+                new = [matcher.hits(t) if t else [] for t in texts_of(batch.column(at))]
+                column = batch.column(last)
                 if any(new):
                     column = pa.array([a + b for a, b in zip(column.to_pylist(), new)], column.type)
-                batch = batch.set_column(len(passed) + 1, batch.schema.field(len(passed) + 1), column)
+                batch = batch.set_column(last, batch.schema.field(last), column)
                 yield batch.filter(pa.array([not x for x in new])) if drop else batch
 
         if block:
-            rows = rows.mapInArrow(scan, f"{fields}, `{text}` string, `{state}` {HIT.format(kind)}")
+            rows = map_arrow(rows, scan, f"{fields}, `{state}` {HIT.format(kind)}")
     return rows.select(*passed, F.col(state).alias(hits))

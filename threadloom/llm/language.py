@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import map_arrow
 from .encode import balanced
 
 UNDETERMINED = "und"
@@ -196,18 +197,20 @@ def identify(docs: DataFrame, training: dict[str, str], keep: tuple[str, ...] =
     rows get a row each, an empty table none. Only the text decides.
     """
 
+    at = keep.index("text") if "text" in keep else len(keep)
+
     def tell(batches):
         parser = _parser(training)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(at)
             langs: list[str] = []
             scores: list[np.ndarray] = [np.empty(0)]
             for part in balanced(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), batch_bytes):
                 own, score = parser.predict([t or "" for t in text.slice(part.start, part.stop - part.start).to_pylist()])
                 langs += own
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col("text").alias("text to read"))
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("text to read"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(tell, f"{kinds}, lang_pred string, score double")
+    return map_arrow(rows, tell, f"{kinds}, lang_pred string, score double")

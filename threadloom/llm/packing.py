@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 from .encode import balanced, encoder, vocabulary
 
 
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return map_arrow(rows, encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -150,7 +150,7 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, size:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = rows.mapInArrow(encode, f"doc_id {kind}, piece int, ids array<int>")
+    ids = map_arrow(rows, encode, f"doc_id {kind}, piece int, ids array<int>")
     own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return (
         packed.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"]).groupBy("sequence_id").agg(own.alias("own"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import map_arrow, stored
 from .encode import texts_of
 
 # fixed values: given names by gender, family names, and titles by gender, for each script
@@ -244,7 +244,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.filter(may_hold(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(scan, f"doc_id {kind}, text_hash long, spans {SPANS}")
+    return map_arrow(rows, scan, f"doc_id {kind}, text_hash long, spans {SPANS}")
 
 
 def replace_pii(docs: DataFrame, key: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -291,6 +291,6 @@ def replace_pii(docs: DataFrame, key: str, keep: tuple[str, ...] = ("doc_id",))
     hinted = docs.filter(may_hold(F.col("text"))).select(*own, F.col("doc_id").alias("by doc"), F.xxhash64("text").alias("by text"), "text")
     joined = hinted.join(swaps, F.col("by doc").eqNullSafe(F.col("of doc")) & (F.col("by text") == F.col("of text")), "left")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    changed = joined.select(*own, "text", "swaps").mapInArrow(apply, f"{fields}, text string, n_entities int")
+    changed = map_arrow(joined.select(*own, "text", "swaps"), apply, f"{fields}, text string, n_entities int")
     rest = docs.filter(~may_hold(F.col("text"))).select(*own, "text", F.lit(0).alias("n_entities"))
     return rest.unionByName(changed)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.components import connected_components
-from .common import stored
+from .common import map_arrow, stored
 from .encode import texts_of
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, f"doc_id {kind}, fp long")
+    return map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), sign, f"doc_id {kind}, fp long")
 
 
 def masks(radius: int, free: int = 2) -> list[int]:
@@ -159,7 +159,7 @@ def links(points: DataFrame, radius: int = 4, shard_rows: int = 20_000) -> DataF
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "src long, dst long").distinct()
+    return map_arrow(whole.repartition("shard").sortWithinPartitions("shard"), search, "src long, dst long").distinct()
 
 
 def _with_end(batches):

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import map_arrow
 from .encode import balanced, encoder, vocabulary
 
 
@@ -34,4 +35,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, ba
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(rows, count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
