@@ -296,6 +296,17 @@ def test_every_detector_is_hinted(spark):
     assert {t for t in texts if pii.detect(t)} <= hinted
 
 
+def test_values_are_taken_whole():
+    r = random.Random(8)
+    long, hexed, key = ("".join(r.choice(signs) for _ in range(480)) for signs in ("abcXYZ019_.-", "0123456789abcdef", "abcXYZ019"))
+    cases = {f"token={long}.": long + ".", f"see {hexed}, ok": hexed, f"sk-{key} ok": f"sk-{key}", f"token: v1.{hexed}-x9 ok": f"v1.{hexed}-x9", f"password={hexed[:40]}.": hexed[:40]}
+    cases |= {"Frau Müller-Lüdenscheidt kam": "Müller-Lüdenscheidt", "Mr O'Brien left": "O'Brien", "Mr Smith's car": "Smith", "Mr " + "N" + "a" * 60 + " x": "N" + "a" * 60}
+    for text, value in cases.items():
+        assert [text[a:b] for a, b, *_ in pii.detect(text)][:1] == [value], text
+    assert pii.detect("Mr O’Brien")[0][3] == pii.detect("Mr O'Brien")[0][3]
+    assert len(pii.detect("Mrs Anna-Lena D'Angelo spoke")) == 2
+
+
 # quality
 
 

@@ -28,12 +28,14 @@ TITLES = {"m": "Mr Herr Señor Monsieur Signor Г-н".split(), "f": "Mrs Ms Miss
 
 _TITLE = {t: g for g, own in TITLES.items() for t in own}
 _TITLED = "|".join(sorted(map(re.escape, _TITLE), key=len, reverse=True))
-_WORD = r"[^\W\d_][^\W\d_'’-]{1,40}"
+# inner hyphens and apostrophes belong to a name, an 's at its end does not
+_WORD = r"[^\W\d_](?:(?:['’](?![sS](?![^\W\d_]))|[‐‑-])?[^\W\d_])+"
+_SIGNS = str.maketrans("’‐‑", "'--")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # earlier kinds win where spans overlap
 DETECTORS = [
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,200}|[0-9a-f]{32,128})(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?ia)\b(?:token|secret|password|passwd|pwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.~!@#$%^&*-]{6,200})")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|[0-9a-f]{32,})(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?ia)\b(?:token|secret|password|passwd|pwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.~!@#$%^&*-]{6,})")),
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w+])(?<!\d[.,])\d(?:[ -]?\d){12,18}(?!\w|-\d)")),
@@ -77,12 +79,14 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 for g in names:
                     part = f"given-{gender or 'u'}" if g == 2 and len(names) == 2 else "family"
-                    spans.append((m.start(g), m.end(g), f"{part}-{script_of(m[g])}", m[g].lower()))
+                    spans.append((m.start(g), m.end(g), f"{part}-{script_of(m[g])}", m[g].lower().translate(_SIGNS)))
                 continue
             g = 1 if pattern.groups else 0
             value = canonical(kind, m[g])
             if kind == "iban" and not _iban_ok(value):
                 continue
+            if kind == "secret" and g:  # a key inside a longer value would leave the rest of it
+                spans = [s for s in spans if not (m.start(g) <= s[0] and s[1] <= m.end(g) and any(map(str.isalnum, text[m.start(g) : s[0]] + text[s[1] : m.end(g)])))]
             spans.append((m.start(g), m.end(g), kind, value))
     kept: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
