@@ -307,6 +307,20 @@ def test_values_are_taken_whole():
     assert len(pii.detect("Mrs Anna-Lena D'Angelo spoke")) == 2
 
 
+def test_small_rooms_are_widened(spark):
+    masks = ["password: ********", "token=......", "pwd: ------"]
+    mails = ["___@___.org", "אב@דוא.co", "प@ह.in"]
+    table = spark.createDataFrame(list(enumerate(masks + mails)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(table, "key").collect()}
+    assert [got[i] for i in range(3)] == masks and all(got[3 + i] != t and "@" in got[3 + i] for i, t in enumerate(mails))
+    # all phone numbers of a lead and length, all places of a prefix
+    full = [("phone", f"+1{n:03d}") for n in range(100, 1000)] + [("ip", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 255)]
+    own = pii.assign(spark.createDataFrame(full, "kind string, value string"), b"key").collect()
+    assert len(own) == len(full) == len({(r["kind"], r["surrogate"]) for r in own}) and not {(r["kind"], r["surrogate"]) for r in own} & set(full)
+    assert pii.render("phone", "+1 23 4", "+987654") == "+9 87 654"
+    assert all(len(pii.candidate(b"k", kind, value, 40)) > len(value) for kind, value in [("ssn", "123456789"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("secret", "a-----"), ("ip", "10.0.0.1"), ("phone", "+123456"), ("email", "_@_.org")])
+
+
 # quality
 
 

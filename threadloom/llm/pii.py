@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +45,8 @@ DETECTORS = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,3}|\(\d{2,5}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")),
     ("name", re.compile(rf"(?<!\w)({_TITLED})\.? ({_WORD})(?: ({_WORD}))?")),
 ]
+# attempts in the format of the entity before the room is widened
+TIGHT = 4
 # every detector needs one of these in the text
 HINT = rf"[\p{{Nd}}@]|(?i:token|secret|password|passwd|pwd|api[_-]?key)\s{{0,3}}[=:]|(?<![\p{{L}}\p{{N}}_])(?:{_TITLED})\.? \p{{Lu}}"
 
@@ -85,6 +88,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             value = canonical(kind, m[g])
             if kind == "iban" and not _iban_ok(value):
                 continue
+            if kind == "secret" and not any(map(str.isalnum, value)):  # a mask or a ruler
+                continue
             if kind == "secret" and g:  # a key inside a longer value would leave the rest of it
                 spans = [s for s in spans if not (m.start(g) <= s[0] and s[1] <= m.end(g) and any(map(str.isalnum, text[m.start(g) : s[0]] + text[s[1] : m.end(g)])))]
             spans.append((m.start(g), m.end(g), kind, value))
@@ -97,6 +102,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(kept)
 
 
+@lru_cache(maxsize=4096)
+def _neighbours(block: int) -> str:
+    """The letters without case in a block of 32 code points."""
+    return "".join(x for x in map(chr, range(block * 32, block * 32 + 32)) if x.isalpha() and x.lower() == x.upper())
+
+
 class Stream:
     """Keyed pseudo-random choices for one entity and attempt."""
 
@@ -129,6 +140,9 @@ class Stream:
                 out.append(x if c.islower() else x.upper())
             elif "一" <= c <= "鿿":
                 out.append(chr(0x4E00 + self.below(0x5000)))
+            elif c.isalpha():  # scripts without case
+                own = _neighbours(ord(c) // 32)
+                out.append(own[self.below(len(own))])
             else:
                 out.append(c)
         return "".join(out)
@@ -139,8 +153,13 @@ def _luhn(digits: str) -> int:
 
 
 def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The surrogate of an entity at one attempt, in canonical form."""
+    """The surrogate of an entity at one attempt, in canonical form.
+
+    The first ``TIGHT`` attempts keep the format; each later one has a sign more
+    (an address keeps an octet less first), so that the room has no end.
+    """
     s = Stream(key, kind, value, attempt)
+    wide = max(0, attempt - TIGHT + 1)
     if kind.startswith(("given", "family")):
         part, *gender, script = kind.split("-")
         if part == "given":
@@ -150,42 +169,42 @@ def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
         # a name more for each few attempts: the room grows until all entities are distinct
         return "-".join(pool[s.below(len(pool))] for _ in range(1 + (attempt + 1) // 2))
     if kind == "card":
-        body = value[0] + s.like(value[1:-1])
+        body = value[0] + s.like(value[1:-1] + "0" * wide)
         fitting = [d for d in range(10) if (_luhn(body + str(d)) == 0) == (_luhn(value) == 0)]
         return body + str(fitting[s.below(len(fitting))])
     if kind == "iban":
-        body = value[:2] + "00" + s.like(value[4:])
+        body = value[:2] + "00" + s.like(value[4:] + "0" * wide)
         check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
         return f"{body[:2]}{check:02d}{body[4:]}"
     if kind == "ip":
-        first, *rest = value.split(".")
-        head = first if first in ("10", "127", "172", "192") else str(1 + s.below(223))
-        keep = 2 if first in ("172", "192") else 1
-        return ".".join([head, *rest[: keep - 1], *(str(1 + s.below(254)) for _ in range(4 - keep))])
+        octets = value.split(".")
+        held = 2 if octets[0] in ("172", "192") else 1 if octets[0] in ("10", "127") else 0
+        kept = octets[: max(0, held - -(-wide // TIGHT))] or [str(1 + s.below(223))]
+        return ".".join([*kept, *(str(1 + s.below(254)) for _ in range(4 + max(0, wide - 2 * TIGHT) - len(kept)))])
     if kind == "phone":
         lead = 2 if value[0] == "+" else 0
-        return value[:lead] + (str(1 + s.below(9)) if len(value) > lead else "") + s.like(value[lead + 1 :])
+        return value[:lead] + (str(1 + s.below(9)) if len(value) > lead else "") + s.like(value[lead + 1 :] + "0" * wide)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         *hosts, top = domain.split(".")
-        return f"{s.like(local)}@{'.'.join(s.like(h) for h in hosts)}.{top}"
+        return f"{s.like(local + 'a' * wide)}@{'.'.join(s.like(h) for h in hosts)}.{top}"
     if kind == "secret":
         lead = re.match(r"AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]", value)
         head = lead[0] if lead else ""
         if re.fullmatch(r"[0-9a-f]+", value):
-            return "".join("0123456789abcdef"[s.below(16)] for _ in value)
-        return head + s.like(value[len(head) :])
-    return s.like(value)
+            return "".join("0123456789abcdef"[s.below(16)] for _ in value + "0" * wide)
+        return head + s.like(value[len(head) :] + ("A" if head == "AKIA" else "a") * wide)
+    return s.like(value + "0" * wide)
 
 
 def render(kind: str, found: str, surrogate: str) -> str:
     """The surrogate in the format of this mention."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(surrogate.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+        return "".join([*(next(digits) if c.isdigit() else c for c in found), *digits])
     if kind == "iban":
         signs = iter(surrogate)
-        return "".join(c if c == " " else next(signs) for c in found)
+        return "".join([*(c if c == " " else next(signs) for c in found), *signs])
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(found, surrogate)) if len(found) == len(surrogate) else surrogate
     if kind.startswith(("given", "family")):
@@ -203,18 +222,19 @@ def _candidates(key: bytes):
     return give
 
 
-def assign(entities: DataFrame, key: bytes, max_rounds: int = 64) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): no two values share one, none is a real value.
 
     Rounds on the entity table: each open entity proposes its next candidate;
     one that is a real value, is taken, or is proposed by a smaller value too
-    goes on to the next round.
+    goes on to the next round. The room of a format grows with the attempt, so
+    the rounds end.
     """
     entities = stored(entities.select("kind", "value").distinct(), "entities")
     real = entities.select("kind", F.lower("value").alias("folded")).distinct()
     open_ = entities.withColumn("attempt", F.lit(0))
     done = None
-    for _ in range(max_rounds):
+    while True:
         proposed = stored(open_.withColumn("surrogate", _candidates(key)("kind", "value", "attempt")).withColumn("folded", F.lower("surrogate")), "proposed")
         free = proposed.join(real, ["kind", "folded"], "left_anti")
         if done is not None:
@@ -225,7 +245,6 @@ def assign(entities: DataFrame, key: bytes, max_rounds: int = 64) -> DataFrame:
         open_ = stored(rest.select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "open-entities")
         if open_.isEmpty():
             return done
-    raise RuntimeError("some entities found no free surrogate: their formats leave too little room")
 
 
 def may_hold(text: Column) -> Column:
@@ -262,7 +281,9 @@ def replace_pii(docs: DataFrame, key: str, keep: tuple[str, ...] = ("doc_id",))
     and check digits of an IBAN, the check digit state of a card, the gender
     and script of a name, the prefix of a secret, the top-level domain. Two
     entities never share a surrogate and no surrogate is a real value of its
-    kind in the corpus.
+    kind in the corpus. Where a format has too little room for that, surrogates
+    get more signs (addresses keep fewer octets). Values of ``password=`` and the
+    like without a letter or digit are masks, not secrets.
 
     Texts are scanned once where a native test finds a hint; only the texts
     with entities are shuffled, by document. A null text stays null, an empty
