@@ -48,7 +48,7 @@ DETECTORS = [
 # attempts in the format of the entity before the room is widened
 TIGHT = 4
 # every detector needs one of these in the text
-HINT = rf"[\p{{Nd}}@]|(?i:token|secret|password|passwd|pwd|api[_-]?key)\s{{0,3}}[=:]|(?<![\p{{L}}\p{{N}}_])(?:{_TITLED})\.? \p{{Lu}}"
+HINT = rf"[\p{{Nd}}@]|AKIA[A-Z]{{16}}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z_-]{{16}}|[a-f]{{32}}|(?i:token|secret|password|passwd|pwd|api[_-]?key)\s{{0,3}}[=:]|(?<![\p{{L}}\p{{N}}_])(?:{_TITLED})\.? [\p{{L}}\p{{N}}&&[^\p{{Ll}}]]"
 
 
 def script_of(word: str) -> str:
