@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.llm.common import on_workers, stored
 from threadloom.llm.decontaminate import mark_contaminated
-from threadloom.llm.language import UNDETERMINED, identify, training_texts
+from threadloom.llm.language import UNDETERMINED, identify, lettered, training_texts
 from threadloom.llm.packing import pack
 from threadloom.llm.pii import replace_pii
 from threadloom.llm.simhash import near_duplicates
@@ -23,7 +23,9 @@ KEY = "threadloom surrogates"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, or no letter in it) go; a missing label is filled by the prediction."""
-    told = identify(docs, training_texts(docs), keep=COLUMNS).filter(F.col("lang_pred") != UNDETERMINED)
+    training = training_texts(docs)
+    # where nothing was learned all texts are undetermined
+    told = identify(docs, training, keep=COLUMNS).filter(F.col("lang_pred") != UNDETERMINED if training else lettered("text"))
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

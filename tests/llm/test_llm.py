@@ -203,6 +203,16 @@ def test_language(spark, docs, none):
 # decontamination
 
 
+def test_languages_of_shared_lines_are_learned(spark):
+    template = "der bericht liegt vor und wird geprüft\nwir danken für die anfrage"
+    rows = [("de", f"{template}\n{i}") for i in range(40)] + [("en", f"the report number {i} is ready and was {w} by the board") for i, w in enumerate(WORDS[:40])]
+    rows += [("fr", "le rapport est prêt " * 120 + str(i)) for i in range(5)]
+    training = language.training_texts(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(training) == {"de", "en", "fr"} and training["de"].count("bericht") == 1
+    asked = spark.createDataFrame([(1, "der bericht wird geprüft"), (2, "the report is ready"), (3, "le rapport est prêt")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(asked, training).collect()} == {1: "de", 2: "en", 3: "fr"}
+
+
 def edit_to_substring(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern):

@@ -60,3 +60,8 @@ def test_near_copies_with_odd_ids(spark):
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_copies(spark, table, "").collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(1, prose(60, 1)): 1, (None, prose(60, 2)): 1, (4, prose(60, 3)): 1, (4, prose(60, 4)): 1})
+
+
+def test_language_stage_without_labels(spark):
+    table = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "12 !", None, "s", 4), (3, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, table, "").collect()] == [1]

@@ -6,11 +6,13 @@ import hashlib
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import map_arrow
 from .encode import balanced
@@ -158,7 +160,9 @@ def training_texts(labelled: DataFrame, chars: int = 32_000, texts: int = 300, t
 
     Of each language about ``texts`` different texts, chosen by the hash of the
     text, give up to ``text_chars`` characters each and ``chars`` in all; lines that
-    stand in several of them are left out.
+    stand in several of them are left out. A language that would lose most of its
+    letters by this gets them back, each once: first the lines of which it has most
+    texts, then all. So each language with a letter in its sample is learned.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(languages + 1).collect()
@@ -169,14 +173,44 @@ def training_texts(labelled: DataFrame, chars: int = 32_000, texts: int = 300, t
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, texts / max(r["n"], 1)))])
     chosen = rows.filter(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < rate[F.col("lang")])
     sample = chosen.groupBy("lang", "h").agg(F.min(F.substring("text", 1, text_chars)).alias("text")).collect()
-    lines = Counter(x for r in sample for x in set(r["text"].split("\n")))
-    out: dict[str, list[str]] = {}
+    texts_of: dict[str, list[list[str]]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"])):
-        own = out.setdefault(r["lang"], [])
-        if sum(map(len, own)) < chars:
-            # a line of several texts is boilerplate, often in another language
-            own.append("\n".join(x for x in r["text"].split("\n") if lines[x] == 1))
-    return {k: "\n".join(v)[:chars] for k, v in out.items() if any(c.isalpha() for t in v for c in t)}
+        texts_of.setdefault(r["lang"], []).append(r["text"].split("\n"))
+    stands = {k: Counter(x for t in own for x in set(t)) for k, own in texts_of.items()}
+    lines = sum(stands.values(), Counter())
+    out = {}
+    for k, own in texts_of.items():
+        enough = min(chars // 16, sum(map(_letter_count, stands[k])) / 2)
+        # a line of several texts is boilerplate, often in another language; it counts once where too little is left without
+        for fits in (lambda x: lines[x] == 1, lambda x: 2 * stands[k][x] > lines[x], lambda x: True):
+            out[k] = _joined(own, fits, lines, chars)
+            if _letter_count(out[k]) >= enough:
+                break
+    return {k: v for k, v in out.items() if _letter_count(v)}
+
+
+def _letter_count(text: str) -> int:
+    return sum(map(str.isalpha, text))
+
+
+def _joined(texts: list[list[str]], fits: Callable[[str], bool], lines: Counter, chars: int) -> str:
+    """The lines that fit, those of several texts once, up to ``chars`` characters."""
+    out: list[str] = []
+    seen: set[str] = set()
+    size = 0
+    for text in texts:
+        if size >= chars:
+            break
+        out.append("\n".join(x for x in text if x not in seen and fits(x)))
+        size += len(out[-1])
+        seen.update(x for x in text if lines[x] > 1)
+    return "\n".join(out)[:chars]
+
+
+@F.pandas_udf(BooleanType())
+def lettered(text):
+    """Whether a text has a letter; a null has none."""
+    return text.map(lambda t: isinstance(t, str) and any(map(str.isalpha, t))).astype(bool)
 
 
 def _parser(training: dict[str, str]) -> CrossParser:
