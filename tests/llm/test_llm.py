@@ -369,6 +369,18 @@ def test_common_lines_deplete(spark):
     assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(30)) and all(kept[200 + i] for i in range(5)) and all(kept[300 + i] for i in range(50))
 
 
+def test_common_lines_are_taken_out(spark):
+    banner = "Home | About  ΑΣ"
+    rows = [(i, f" {banner.upper() if i % 2 else banner}\t\n\n{prose(20, 800 + i)}\n  Own  line {i}\n{banner}\r", "a") for i in range(30)]
+    rows += [(100, f"{banner}\n{prose(60, 900)}\n", "b"), (101, None, "a"), (102, "", "a"), rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.judge_quality(table, texts=True)
+    own = {r["doc_id"]: r for r in got.collect()}
+    assert all(own[i]["text"] == f"\n{prose(20, 800 + i)}\n  Own  line {i}" for i in range(30)) and [own[i]["text"] for i in (100, 101, 102)] == [rows[30][1], None, ""]
+    assert all(r["words_left"] == len((r["text"] or "").split()) for i, r in own.items() if i != 100)
+    assert sorted(got.drop("text").collect()) == sorted(quality.judge_quality(table).collect()) and got.count() == len(rows)
+
+
 # near duplicates
 
 

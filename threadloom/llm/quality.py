@@ -27,14 +27,23 @@ def repeated_words(words: Column) -> Column:
     return F.size(covered[0])
 
 
-def measured(docs: DataFrame, host: str = "source") -> DataFrame:
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes; all other lines stay as they are."""
+    tidy = F.split(F.lower(single_spaced(text, True)), "\n")  # as many lines as the text
+    pairs = F.zip_with(F.split(text, "\n"), tidy, lambda x, low: F.struct(x.alias("x"), F.xxhash64(F.trim(low)).alias("h")))
+    left = F.filter(pairs, lambda p: ~F.array_contains(hashes, p["h"]))
+    return F.array_join(F.transform(left, lambda p: p["x"]), "\n")
+
+
+def measured(docs: DataFrame, host: str = "source", texts: bool = False) -> DataFrame:
     """Base measures of each row, the hash of its text, and its different normalised lines with their words.
 
     A line is normalised by lower case and single spaces; ``lines`` holds
-    (hash, words) of each different line of the text.
+    (hash, words) of each different line of the text. With ``texts`` the text
+    itself, as it is, comes last.
     """
     text = F.coalesce("text", F.lit(""))
-    start = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text.alias("text"))
+    start = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text.alias("text"), F.col("text").alias("given"))
     spaced = start.select("*", single_spaced(F.col("text"), True).alias("lined")).select("*", single_spaced(F.col("lined"), False).alias("flat"))
     words = F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " "))
     # an inner array binds what is used more than once
@@ -46,16 +55,20 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
         "doc_id", "host", F.xxhash64("text").alias("text_hash"), counts.alias("c"), F.length("flat").cast("long").alias("flat_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.transform(F.array(raw), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-        F.array_distinct(lines).alias("lines"),
+        F.array_distinct(lines).alias("lines"), "given",
     )
     return facts.select(
         "doc_id", "host", "text_hash", F.col("c.n").alias("n_words"), (F.col("flat_chars") - F.greatest(F.col("c.n") - 1, F.lit(0))).alias("word_chars"),
-        "n_symbols", "n_dup_lines", F.col("c.repeated").alias("n_repeat_words"), "lines",
+        "n_symbols", "n_dup_lines", F.col("c.repeated").alias("n_repeat_words"), "lines", *([F.col("given").alias("text")] if texts else []),
     )
 
 
-def judge_quality(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, left: float = 0.5) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, words_left, kept).
+def judge_quality(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, left: float = 0.5, texts: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, words_left, kept), with ``texts`` and text.
+
+    ``text`` is what the operator is for: the text without its lines above the
+    limits, of rejected documents too; a null stays null. Without ``texts`` only
+    the measures are made and texts are not stored.
 
     A line is above its limit on a host where it stands in more different texts
     of that host than ``min_docs`` and than ``share`` of them; copies of a text
@@ -70,12 +83,13 @@ def judge_quality(docs: DataFrame, host: str = "source", min_docs: int = 20, sha
     an empty one, a null host a host of its own, repeated rows get a row each,
     an empty table gives no rows, other columns are ignored.
     """
-    rows = stored(measured(docs, host), "quality")
+    rows = stored(measured(docs, host, texts), "quality")
     own = rows.select("host", "text_hash", F.explode("lines").alias("l")).groupBy("host", "text_hash", F.col("l.h").alias("line")).agg(F.max("l.n").alias("n"))
-    texts = rows.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
+    sizes = rows.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
     shared = own.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
-    above = stored(shared.join(texts, "host").filter(F.col("docs") > share * F.col("texts")).select("host", "line"), "common-lines")
-    gone = own.join(above, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("gone"))
+    above = stored(shared.join(sizes, "host").filter(F.col("docs") > share * F.col("texts")).select("host", "line"), "common-lines")
+    gone = own.join(above, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("gone"), *([F.collect_list("line").alias("cut")] if texts else []))
+    cleaned = [F.when(F.col("cut").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("cut"))).alias("text")] if texts else []
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     return (
@@ -83,6 +97,6 @@ def judge_quality(docs: DataFrame, host: str = "source", min_docs: int = 20, sha
         .withColumn("base_failed", failed).withColumn("words_left", F.col("line_words") - F.coalesce("gone", F.lit(0)))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_words", "words_left",
-            (~F.col("base_failed") & (F.col("words_left") >= left * F.col("line_words"))).alias("kept"),
+            (~F.col("base_failed") & (F.col("words_left") >= left * F.col("line_words"))).alias("kept"), *cleaned,
         )
     )
