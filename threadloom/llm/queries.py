@@ -11,10 +11,12 @@ from .common import on_workers
 from .decontaminate import mark_contaminated
 from .language import identify, training_texts
 from .packing import pack
+from .periodic import periodic_runs, planted, run_digests
 from .pii import replace_pii
 from .quality import judge_quality
 from .sharding import shards
 from .simhash import near_duplicates
+from .spelling import misspelt, spelling_variants
 from .token_counts import token_counts
 from .urls import filter_urls, labelled_urls
 
@@ -115,3 +117,13 @@ def op9(pages: DataFrame, folder: str) -> DataFrame:
 @query("op10_sharding")
 def op10(docs: DataFrame, folder: str) -> DataFrame:
     return shards(docs)
+
+
+@query("op11_periodic_runs")
+def op11(docs: DataFrame, folder: str) -> DataFrame:
+    return run_digests(periodic_runs(docs, prepare=planted))
+
+
+@query("op12_spelling_variants")
+def op12(docs: DataFrame, folder: str) -> DataFrame:
+    return spelling_variants(docs, prepare=misspelt)
