@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat import chat_digests, format_chats
 from .common import on_workers
 from .decontaminate import mark_contaminated
+from .jaccard import jaccard_components
 from .language import identify, training_texts
 from .packing import pack
 from .periodic import periodic_runs, planted, run_digests
@@ -60,6 +61,18 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM m
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS o FROM e UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(min(r.o), d.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
 
 @query("op1_language_id")
 def op1(docs: DataFrame, folder: str) -> DataFrame:
@@ -127,3 +140,8 @@ def op11(docs: DataFrame, folder: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12(docs: DataFrame, folder: str) -> DataFrame:
     return spelling_variants(docs, prepare=misspelt)
+
+
+@query("op13_jaccard_join", sql=JACCARD_SQL)
+def op13(docs: DataFrame, folder: str) -> DataFrame:
+    return jaccard_components(docs)
