@@ -170,6 +170,22 @@ def distances(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return map_arrow(dealt.select("a", "key", "text"), meet, "a long, b long, shared long").distinct()
 
 
+def _perhaps_among(texts: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """``texts`` without most rows whose key is not in ``keys``, told by a bitmap of key remainders.
+
+    The bitmap has eight bits for each of the ``count`` keys, 16 MB at most
+    whatever the tables are, so it may go to every executor; where it is full
+    it lets all rows pass. It only spares the shuffle of texts: the join decides.
+    """
+    bits = min(max(1 << 20, 1 << (8 * count).bit_length()), 1 << 27)
+    slot = F.pmod("key", F.lit(bits))
+    drawn = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    at = F.bitmap_bit_position(slot).cast("int")
+    marked = texts.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("at", at).join(F.broadcast(drawn), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
+    return marked.filter(F.getbit(byte, F.col("at") % 8) == 1).select("key", "text")
+
+
 def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
     """(src, dst): links that connect all sets with a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -177,8 +193,8 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
     document of a region is measured against its pivot; those within reach
     are linked to it. What a pivot cannot tell, two of its documents in
     different components, is left to the next round: documents outside the
-    largest component of a region become pivots of the region themselves, four
-    times as many each round, and meet every document there that the window
+    largest component of a region become pivots of the region themselves,
+    sixteen times as many each round, and meet every document there that the window
     leaves: sizes within the similarity, and by the triangle inequality
     distances to the first pivot that differ by no more than the reach. The
     rounds end when each region's unmeasured rest is one component, so no link
@@ -192,6 +208,8 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
         .join(keyed.withColumnRenamed("name", "pivot"), "pivot").drop("pivot").withColumnRenamed("key", "a"),
         "jaccard-regions",
     )
+    involved = stored(found.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-keys")
+    texts = stored(_perhaps_among(texts, involved, involved.count()).join(involved.hint("shuffle_hash"), "key").dropDuplicates(["key"]), "jaccard-texts")
     sized = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     measured = stored(distances(texts, found.filter("a <> b").filter(sized(F.col("n"), F.col("m"))).select("a", "b"), width), "jaccard-distances")
     known = measured.join(found, ["a", "b"])
@@ -199,7 +217,7 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
     links = known.filter(F.col("shared") * 100 >= union * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # the distance of a document that was not measured stays null: it is beyond the reach
     regions = stored(found.join(measured, ["a", "b"], "left").select("a", "b", "n", "i", (1 - F.col("shared") / union).alias("d")).filter("a <> b"), "jaccard-members")
-    links, chosen_now = stored(links, "jaccard-links"), 4
+    links, chosen_now = stored(links, "jaccard-links"), 32
     while True:
         of = connected_components(links).select(F.col("node").alias("b"), "component")
         placed = regions.join(of, "b", "left").withColumn("component", F.coalesce("component", "b"))
@@ -221,7 +239,7 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
         linked = more.filter(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent)
         links = stored(links.unionByName(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "jaccard-links")
         regions = stored(open_.select("a", "b", "n", "i", "d").join(q.select("a", F.col("q").alias("b")), ["a", "b"], "left_anti"), "jaccard-members")
-        chosen_now *= 4
+        chosen_now *= 16
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, share: int = 5) -> DataFrame:
