@@ -17,6 +17,7 @@ from .encode import texts_of
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_LONGS = 16  # of a signature
 _PART = 2_000  # documents that meet one pivot in one task
 
 
@@ -51,22 +52,29 @@ def _name(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _signature(shingles: np.ndarray) -> list[int]:
+    """Parity of the shingles in each of 1,024 slots: as many slots of two sets differ as shingles do, at most."""
+    slots = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * _LONGS - 1), minlength=64 * _LONGS) & 1
+    return np.packbits(slots.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _first(n: np.ndarray | int, percent: int):
     """Length of the beginning of a set, in any common order, that a linked set's beginning meets."""
     return n + (-n * percent // 100) + 1
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, n, name) of each row: the number of its shingles and a name that equal sets share."""
+    """(doc_id, key, n, name, signature) of each row: the number of its shingles, a name that equal sets share, parities of its shingles."""
 
     def measure(batches):
         for batch in batches:
-            sets = ((len(s), _name(s)) for s in shingle_sets(texts_of(batch.column("text")), width))
-            n, name = zip(*sets) if batch.num_rows else ((), ())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(name, pa.int64())], names=["doc_id", "key", "n", "name"])
+            sets = ((len(s), _name(s), _signature(s)) for s in shingle_sets(texts_of(batch.column("text")), width))
+            n, name, signature = zip(*sets) if batch.num_rows else ((), (), ())
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(signature, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "key", "n", "name", "signature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "key", "text"), measure, f"doc_id {kind}, key long, n long, name long")
+    return map_arrow(docs.select("doc_id", "key", "text"), measure, f"doc_id {kind}, key long, n long, name long, signature array<long>")
 
 
 def counted_shingles(docs: DataFrame, width: int, percent: int, share: int) -> DataFrame:
@@ -126,6 +134,14 @@ def _fits(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     return F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)
 
 
+def _differ(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether the parities tell more differing shingles than two linked sets of n and m may have."""
+    apart = F.bit_count(x[0].bitwiseXOR(y[0]))
+    for k in range(1, _LONGS):
+        apart = apart + F.bit_count(x[k].bitwiseXOR(y[k]))
+    return apart * (100 + percent) > (100 - percent) * (n + m)
+
+
 def regions_of_pivots(begun: DataFrame, percent: int) -> DataFrame:
     """(pivot, m, j, name, n, i): the documents that meet each pivot in a rare shingle.
 
@@ -193,12 +209,14 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
     document of a region is measured against its pivot; those within reach
     are linked to it. What a pivot cannot tell, two of its documents in
     different components, is left to the next round: documents outside the
-    largest component of a region become pivots of the region themselves,
-    sixteen times as many each round, and meet every document there that the window
-    leaves: sizes within the similarity, and by the triangle inequality
-    distances to the first pivot that differ by no more than the reach. The
-    rounds end when each region's unmeasured rest is one component, so no link
-    between components is lost.
+    largest component of a region become pivots of the region themselves, the
+    nearest of each component first and sixteen times as many each round, and
+    meet every document there of another component that the windows leave:
+    sizes and places within the similarity, by the triangle inequality
+    distances to the first pivot that differ by no more than the reach, and
+    parities of shingles that do not differ in more places than shingles may.
+    The rounds end when each region's unmeasured rest is one component, so no
+    link between components is lost.
     """
     reach = 1 - percent / 100
     keyed = names.select("name", "key")
@@ -217,29 +235,43 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
     links = known.filter(F.col("shared") * 100 >= union * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # the distance of a document that was not measured stays null: it is beyond the reach
     regions = stored(found.join(measured, ["a", "b"], "left").select("a", "b", "n", "i", (1 - F.col("shared") / union).alias("d")).filter("a <> b"), "jaccard-members")
-    links, chosen_now = stored(links, "jaccard-links"), 32
+    links, chosen_now, per_component = stored(links, "jaccard-links"), 32, 1
+    signatures = names.select(F.col("key").alias("b"), "signature")
     while True:
-        of = connected_components(links).select(F.col("node").alias("b"), "component")
-        placed = regions.join(of, "b", "left").withColumn("component", F.coalesce("component", "b"))
+        # from here on a component is a star around its name
+        stars = stored(connected_components(links), "jaccard-stars")
+        placed = regions.join(stars.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
         per = Window.partitionBy("a")
         crowd = placed.groupBy("a", "component").agg(F.count("*").alias("members")).withColumn("groups", F.count("*").over(per))
         crowd = crowd.filter("groups > 1").withColumn("largest", F.row_number().over(per.orderBy(F.desc("members"), "component")) == 1)
-        open_ = stored(placed.join(crowd.select("a", "component", "members", "largest"), ["a", "component"]), "jaccard-open")
-        order = Window.partitionBy("a").orderBy("members", F.coalesce("d", F.lit(1.0)), "b")
-        pivots = open_.filter(~F.col("largest")).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= chosen_now)
-        q = stored(pivots.select("a", F.col("b").alias("q"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("d").alias("e"), F.col("component").alias("other")), "jaccard-pivots")
+        open_ = stored(placed.join(crowd.select("a", "component", "members", "largest"), ["a", "component"]).join(signatures, "b"), "jaccard-open")
+        order = [F.coalesce("d", F.lit(1.0)), F.col("b")]
+        own = F.row_number().over(Window.partitionBy("a", "component").orderBy(*order))
+        turn = F.row_number().over(per.orderBy("members", *order))
+        pivots = open_.filter(~F.col("largest")).withColumn("own", own).filter(F.col("own") <= per_component).withColumn("turn", turn).filter(F.col("turn") <= chosen_now)
+        q = stored(
+            pivots.select("a", F.col("b").alias("q"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("d").alias("e"), F.col("component").alias("other"), F.col("signature").alias("qs")),
+            "jaccard-pivots",
+        )
         if q.isEmpty():
             return links
         window = sized(F.col("n"), F.col("m")) & _fits(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)
         triangle = F.coalesce(F.abs(F.col("d") - F.col("e")) <= reach + 1e-9, F.lit(True))
-        meeting = open_.join(q, "a").filter("component <> other").filter(window).filter(triangle)
+        near = ~_differ(F.col("signature"), F.col("qs"), F.col("n"), F.col("m"), percent)
+        meeting = open_.join(q, "a").filter(F.col("component") != F.col("other")).filter(window & triangle & near)
         least, greatest = F.least("q", "b"), F.greatest("q", "b")
         pairs = stored(meeting.groupBy(least.alias("a"), greatest.alias("b")).agg(F.max(F.col("n") + F.col("m")).alias("both")), "jaccard-pairs")
         more = distances(texts, pairs.select("a", "b"), width).join(pairs, ["a", "b"])
-        linked = more.filter(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent)
-        links = stored(links.unionByName(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "jaccard-links")
+        linked = more.filter(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        # between two components one link is as good as many
+        ends = stars.select("node", "component")
+        roots = linked
+        for end in ("src", "dst"):
+            roots = roots.join(ends.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+        joined = roots.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).filter("src <> dst").distinct()
+        links = stored(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(joined), "jaccard-links")
         regions = stored(open_.select("a", "b", "n", "i", "d").join(q.select("a", F.col("q").alias("b")), ["a", "b"], "left_anti"), "jaccard-members")
-        chosen_now *= 16
+        chosen_now, per_component = chosen_now * 16, per_component * 16
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, share: int = 5) -> DataFrame:
@@ -256,13 +288,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, share
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
     rows = stored(document_sets(texts, width), "jaccard-sets")
-    names = stored(rows.filter("n > 0").groupBy("name").agg(F.min("key").alias("key"), F.min("doc_id").alias("least")), "jaccard-names")
+    names = stored(rows.filter("n > 0").groupBy("name").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "jaccard-names")
     shingles = counted_shingles(texts, width, percent, share)
     links = jaccard_links(texts.select("key", "text"), names, shingles, width, percent)
     of = connected_components(links).withColumnRenamed("node", "key")
-    rooted = names.join(of, "key", "left").withColumn("root", F.coalesce("component", "key"))
+    rooted = names.drop("signature").join(of, "key", "left").withColumn("root", F.coalesce("component", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(rooted.select("name", "root").join(least, "root").select("name", "component_id"), "jaccard-components")
-    return rows.join(classes.withColumn("words", F.lit(True)), ["name"], "left").select(
+    return rows.select("doc_id", "n", "name").join(classes, "name", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
