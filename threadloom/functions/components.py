@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
+from .numbering import number_rows
 
 
 def _signature(df: DataFrame):
     return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", one_task: int = 0) -> DataFrame:
     """(node, component) where the component is its smallest node.
 
     Alternating large-star and small-star rounds: edges shrink to stars in a
     logarithmic number of rounds even for long chains. Nodes without edges are
-    not listed.
+    not listed. A table of up to ``one_task`` edges stays in one partition,
+    where the rounds need no shuffle.
     """
     a, b = F.col(src), F.col(dst)
     e = durable(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    last = None
+    few = one_task > 0 and e.count() <= one_task
+    together = lambda df: df.coalesce(1) if few else df
+    e, last = together(e), None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        e = durable(together(small.unionByName(low.withColumnRenamed("m", "v"))).distinct())
         now = _signature(e)
         if now == last:
             break
@@ -66,17 +70,13 @@ def eigenvector_centrality(edges: DataFrame, tol: float = 1e-6, max_rounds: int
     return x.select("node", F.col("x").alias("eigenvector"), F.lit(converged).alias("converged"))
 
 
-def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
-    """(node, betweenness, k, n), normalised: exact from all ``n`` nodes unless ``k`` hash-chosen sources are asked for.
+def _dependencies(arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, d): the summed dependencies of a batch of sources on each node.
 
-    All sources advance one level per round; the frames hold (source, node,
-    path count) and are written durably, then dependencies flow back.
+    All sources of the batch advance one level per round; the frames hold
+    (source, node, path count), at most sources times nodes rows together, and
+    are written durably. Then dependencies flow back.
     """
-    arcs = durable(both_ways(edges).select("src", "dst").filter("src <> dst").distinct())
-    nodes = durable(arcs.select(F.col("src").alias("node")).distinct())
-    n = nodes.count()
-    k = n if k is None else min(k, n)
-    sources = nodes if k >= n else nodes.orderBy(F.xxhash64("node"), "node").limit(k)
     level = durable(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "node")
     while True:
@@ -89,7 +89,7 @@ def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
         if level.isEmpty():
             break
         levels.append(level)
-        seen = durable(seen.unionByName(level.select("s", "node")))
+        seen = seen.unionByName(level.select("s", "node"))
     total = None
     flow = levels[-1].withColumn("d", F.lit(0.0))
     for upper in reversed(levels[:-1]):
@@ -103,12 +103,32 @@ def betweenness(edges: DataFrame, k: int | None = None) -> DataFrame:
         flow = durable(upper.join(gained, ["s", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))))
         part = flow.filter("s <> node").select("node", "d")
         total = part if total is None else total.unionByName(part)
-    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / k if 0 < k < n else 1.0)
-    said = [F.lit(k).cast("long").alias("k"), F.lit(n).cast("long").alias("n")]
     if total is None:
+        return level.select("node", F.lit(0.0).alias("d"))
+    return total.groupBy("node").agg(F.sum("d").alias("d"))
+
+
+def betweenness(edges: DataFrame, k: int | None = None, batch: int = 1000) -> DataFrame:
+    """(node, betweenness, k, n), normalised: exact from all ``n`` nodes unless ``k`` hash-chosen sources are asked for.
+
+    Sources are processed ``batch`` at a time and only sums by node are kept
+    between batches, so the live frames hold at most ``batch`` times ``n`` rows.
+    """
+    arcs = durable(both_ways(edges).select("src", "dst").filter("src <> dst").distinct())
+    nodes = durable(arcs.select(F.col("src").alias("node")).distinct())
+    n = nodes.count()
+    k = n if k is None else min(k, n)
+    sources = nodes if k >= n else nodes.orderBy(F.xxhash64("node"), "node").limit(k)
+    said = [F.lit(k).cast("long").alias("k"), F.lit(n).cast("long").alias("n")]
+    sums = None
+    numbered = sources if k <= batch else number_rows(sources, "node", name="turn", start=0)
+    for first in range(0, k, batch):
+        part = _dependencies(arcs, numbered if k <= batch else numbered.filter(F.col("turn").between(first, first + batch - 1)))
+        sums = durable(part if sums is None else sums.unionByName(part).groupBy("node").agg(F.sum("d").alias("d")))
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / k if 0 < k < n else 1.0)
+    if sums is None:
         return nodes.select("node", F.lit(0.0).alias("betweenness"), *said)
-    summed = total.groupBy("node").agg((F.sum("d") * scale).alias("betweenness"))
-    return nodes.join(summed, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), *said)
+    return nodes.join(sums, "node", "left").select("node", F.coalesce(F.col("d") * scale, F.lit(0.0)).alias("betweenness"), *said)
 
 
 def label_propagation(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import durable
+
 _BLOCK = 2000
+# counting all groups at once may form this many times the pairs of the kept groups
+_DIRECT = 8
 
 
 def _ordered(left: str, right: str) -> Column:
@@ -30,8 +34,10 @@ def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: i
     Exact prefix filter: every item orders its groups from the smallest to the
     largest and sets aside its ``min_weight - 1`` largest ones. A qualifying
     pair still meets in a group both have kept, so only those groups give
-    candidates, and sets of groups are compared for candidates only. With a
-    threshold of 1 every pair that meets is part of the result; ``max_group``
+    candidates, and sets of groups are compared for candidates only. Where the
+    groups set aside add few meetings to those of the kept ones, as the counted
+    sizes tell, all groups are counted at once, which needs no comparison; both
+    ways give the same pairs. With a threshold of 1 every pair that meets is part of the result; ``max_group``
     leaves out larger groups where a caller means that.
     """
     m = members.select(group, item)
@@ -41,10 +47,12 @@ def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: i
     if min_weight == 1:
         return group_pairs(m, group, item).groupBy("a", "b").agg(F.count("*").alias("weight"))
     often = m.groupBy(item).count().filter(F.col("count") >= min_weight).select(item)
-    m = m.join(often, item, "left_semi")
+    m = durable(m.join(often, item, "left_semi"))
     sized = m.join(m.groupBy(group).agg(F.count("*").alias("__n")), group)
     largest_first = Window.partitionBy(item).orderBy(F.desc("__n"), group)
-    probe = sized.withColumn("__r", F.row_number().over(largest_first)).filter(F.col("__r") >= min_weight).select(group, item)
+    probe = durable(sized.withColumn("__r", F.row_number().over(largest_first)).filter(F.col("__r") >= min_weight).select(group, item))
+    if _meetings(m, group) <= _DIRECT * _meetings(probe, group):
+        return group_pairs(m, group, item).groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
     candidates = group_pairs(probe, group, item).select("a", "b").distinct()
     left = m.select(F.col(item).alias("a"), group)
     right = m.select(F.col(item).alias("b"), group)
@@ -55,6 +63,12 @@ def shared_group_counts(members: DataFrame, group: str, item: str, min_weight: i
     )
 
 
+def _meetings(members: DataFrame, group: str) -> int:
+    """How many pairs meet in the groups, from their sizes."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"))
+    return int(sizes.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)"))).first()[0] or 0)
+
+
 def short_list_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, weight) for groups that are short by nature, such as the tags of one caption.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from .automaton import groups_found, many, named
 from .columns import col, nfkc
 
 # fixed values: patterns of captions and comments
@@ -71,7 +72,9 @@ def caption_tokens(normalized: Column | str, min_length: int = 3, stopwords: Seq
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    """True when the lower-cased text contains one of the terms as a substring."""
+    """True when the lower-cased text contains one of the terms as a substring; long term lists go through an automaton."""
+    if many(terms):
+        return F.size(groups_found(F.lower(text), [[t.lower() for t in terms]])) > 0
     return F.coalesce(F.lower(text).rlike("|".join(quoted(t.lower()) for t in terms)), F.lit(False)) if terms else F.lit(False)
 
 
@@ -84,7 +87,14 @@ def contains_all(text: Column, terms: Sequence[str]) -> Column:
 
 
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
-    """Sorted distinct terms that occur in the lower-cased text."""
-    low = F.lower(text)
-    found = [F.when(low.contains(t.lower()), F.lit(t)) for t in sorted(set(terms))]
+    """Sorted distinct terms that occur in the lower-cased text; long term lists go through an automaton."""
+    low, every = F.lower(text), sorted(set(terms))
+    if many(every):
+        return found_terms(low, every)
+    found = [F.when(low.contains(t.lower()), F.lit(t)) for t in every]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def found_terms(low: Column, terms: Sequence[str]) -> Column:
+    """The terms, in their order, that occur in a lower-cased text."""
+    return named(groups_found(low, [[t.lower()] for t in terms]), terms)

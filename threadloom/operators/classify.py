@@ -10,6 +10,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.automaton import groups_found, many, named
 from ..functions.columns import ranked_top, ratio, scalar, top_n, top_per_group, with_facts
 from ..functions.numbering import number_rows
 from ..functions.quantiles import exact_percentiles, with_percentiles
@@ -29,6 +30,10 @@ def _unknown_only(rules: dict, dim: str) -> Column:
 def keyword_categories(text: Column, rules: dict, dim: str) -> Column:
     """Categories with a keyword inside the lower-cased text, in rule order, else the unknown id."""
     spec = rules[dim]["categories"]
+    terms = [[str(k).lower() for k in s["keywords"]] for s in spec.values()]
+    if many([t for own in terms for t in own]):
+        hits = named(groups_found(F.lower(text), terms), list(spec))
+        return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(rules[dim]["unknown_id"])))
     hits = F.array_compact(F.array(*[F.when(contains_any(text, [str(k) for k in s["keywords"]]), F.lit(c)) for c, s in spec.items()]))
     return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(rules[dim]["unknown_id"])))
 

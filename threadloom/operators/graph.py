@@ -10,10 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.automaton import groups_found, many, named
 from ..functions.columns import asset_label, clean_tag, filled, nfc, ranked_top, scalar, song_label, top_n, top_per_group
+from ..functions.communities import modularity_communities
 from ..functions.components import betweenness, connected_components, eigenvector_centrality, label_propagation, modularity
 from ..functions.numbering import number_rows
-from ..functions.pairs import shared_group_counts, short_list_pairs
+from ..functions.pairs import group_pairs, shared_group_counts, short_list_pairs
 from ..functions.quantiles import exact_percentiles
 from ..session import durable
 from .scope import right_closed_histogram
@@ -151,20 +153,29 @@ def similarity_settings(matrix: DataFrame) -> DataFrame:
     )
 
 
-def channel_similarity(matrix: DataFrame, how: str = "cosine", transform: str = "none", max_channels: int | None = None, clip: float | None = 0.99, min_shared: int = 1) -> DataFrame:
+def channel_similarity(
+    matrix: DataFrame, how: str = "cosine", transform: str = "none", max_channels: int | None = None, clip: float | None = 0.99, min_shared: int = 1, dense: bool = False
+) -> DataFrame:
     """Similarity of channel pairs that share a video, with the clip level of the positive values.
 
     ``max_channels`` keeps the most active channels only, ``min_shared`` the
     pairs with so many shared videos. Pairs without a shared video have dot and
     cosine 0; their Pearson value follows from the row totals and is never
-    positive.
+    positive. ``dense`` adds these pairs, so that the result is the whole
+    matrix; it needs ``max_channels``, since that matrix is the square of it.
     """
+    if dense and max_channels is None:
+        raise ValueError("the dense form needs max_channels")
     size = scalar(matrix, F.countDistinct("video_id").alias("v"))
     totals = matrix.groupBy("channel_id").agg(F.count("*").alias("n"))
     if max_channels is not None:
         totals = totals.orderBy(F.desc("n"), "channel_id").limit(max_channels)
         matrix = matrix.join(totals.select("channel_id"), "channel_id", "left_semi")
     pairs = shared_group_counts(matrix, "video_id", "channel_id", min_shared)
+    if dense:
+        # max_channels rows on each side, which the caller bounds
+        one = totals.select(F.lit(1).alias("g"), "channel_id")
+        pairs = group_pairs(one, "g", "channel_id").select("a", "b").join(pairs, ["a", "b"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
     pairs = pairs.join(totals.select(F.col("channel_id").alias("a"), F.col("n").alias("na")), "a").join(
         totals.select(F.col("channel_id").alias("b"), F.col("n").alias("nb")), "b"
     )
@@ -234,11 +245,14 @@ def frequent_pairs_all(edges: DataFrame, threshold: int = 3, roles: Sequence[str
     return top_n(out, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
 
 
-def pair_communities(pairs: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Communities of the pairs, of the ``n`` strongest if asked for, and their modularity."""
+def pair_communities(pairs: DataFrame, n: int | None = None, method: str = "modularity") -> tuple[DataFrame, DataFrame]:
+    """Communities of the pairs, of the ``n`` strongest if asked for, and their modularity.
+
+    ``method`` is "modularity" (local moves and contraction) or "labels" (label propagation).
+    """
     use = pairs if n is None else top_n(pairs, n, F.desc("co_occurrence"), F.asc("channel_1"), F.asc("channel_2"))
     graph = durable(use.select(F.col("channel_1").alias("src"), F.col("channel_2").alias("dst"), F.col("co_occurrence").alias("weight")))
-    communities = label_propagation(graph)
+    communities = {"modularity": modularity_communities, "labels": label_propagation}[method](graph)
     return communities, modularity(graph, communities)
 
 
@@ -379,6 +393,18 @@ def tag_network(clean: DataFrame, min_tag_count: int = 5, min_edge_count: int =
 def tag_clusters(nodes: DataFrame, edges: DataFrame, min_jaccard: float = 0.0, labels: int = 5) -> DataFrame:
     """Components of the edges of at least ``min_jaccard``; tags without such an edge stay alone."""
     comp = connected_components(edges.filter(F.col("jaccard") >= min_jaccard), "source", "target").withColumnRenamed("node", "hashtag")
+    return _labelled_clusters(nodes, comp, labels)
+
+
+def tag_communities(nodes: DataFrame, edges: DataFrame, top_edges: int | None = 400, labels: int = 5) -> DataFrame:
+    """Communities of high modularity over the ``top_edges`` strongest edges, all with None; other tags stay alone."""
+    use = edges if top_edges is None else edges.orderBy(F.desc("weight"), F.desc("jaccard"), "source", "target").limit(top_edges)
+    found = modularity_communities(use.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight"))
+    return _labelled_clusters(nodes, found.select(F.col("node").alias("hashtag"), F.col("community").alias("component")), labels)
+
+
+def _labelled_clusters(nodes: DataFrame, comp: DataFrame, labels: int) -> DataFrame:
+    """Numbered clusters, the largest total count first, named by their ``labels`` most used tags."""
     rows = durable(nodes.select("hashtag", "count").join(comp, "hashtag", "left").withColumn("component", F.coalesce("component", "hashtag")))
     lead = top_per_group(rows, ["component"], labels, F.desc("count"), F.asc("hashtag"), name="r")
     words = lead.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("r", "hashtag"))).alias("l"))
@@ -392,15 +418,26 @@ def semantic_clusters(tags: DataFrame, rules: DataFrame, other: str = "Other") -
     """Label of each distinct tag from ordered rules (ord, kind, term, label).
 
     Priority and contains rules match substrings, exact rules whole tags; the
-    lowest ord wins. Rules are a hand-written list, so they become one column
-    expression and need no join.
+    lowest ord wins. A short rule list becomes one column expression. In a long
+    one exact rules are joined by their term and the substrings of all others
+    are looked for by one automaton.
     """
-    tag = F.col("hashtag")
-    steps = [
-        F.when(tag == r.term if r.kind == "exact" else tag.contains(r.term), F.lit(r.label))
-        for r in rules.orderBy("ord").collect()
-    ]
-    return tags.select("hashtag").distinct().withColumn("semantic_cluster", F.coalesce(*steps, F.lit(other)))
+    tag, distinct = F.col("hashtag"), tags.select("hashtag").distinct()
+    ordered = rules.orderBy("ord").collect()
+    if not many(ordered):
+        steps = [F.when(tag == r.term if r.kind == "exact" else tag.contains(r.term), F.lit(r.label)) for r in ordered]
+        return distinct.withColumn("semantic_cluster", F.coalesce(*steps, F.lit(other)))
+    inside = [(k, r.term) for k, r in enumerate(ordered) if r.kind != "exact"]
+    first = F.array_min(named(groups_found(tag, [[t] for _, t in inside]), [k for k, _ in inside])) if inside else F.lit(None).cast("int")
+    spark = tags.sparkSession
+    whole: dict[str, int] = {}
+    for k, r in enumerate(ordered):
+        if r.kind == "exact":
+            whole.setdefault(r.term, k)
+    exact = spark.createDataFrame(list(whole.items()), "hashtag string, whole int")
+    labels = spark.createDataFrame([(k, r.label) for k, r in enumerate(ordered)], "rule int, label string")
+    placed = distinct.withColumn("inside", first).join(exact, "hashtag", "left").withColumn("rule", F.least("inside", "whole"))
+    return placed.join(labels, "rule", "left").select("hashtag", F.coalesce("label", F.lit(other)).alias("semantic_cluster"))
 
 
 def semantic_summary(nodes: DataFrame, rules: DataFrame, top: int = 12) -> DataFrame:

@@ -75,17 +75,35 @@ def _tempo_neighbours(rows: DataFrame, tolerance: float, columns: Sequence[str])
     return a.join(b, ["song_id", "cell"]).filter((F.col("a_asset_id") < F.col("b_asset_id")) & (tempo_distance("a_tempo", "b_tempo") <= 1 + tolerance))
 
 
-def variant_pairs(features: DataFrame, tempo_tol: float) -> DataFrame:
-    """A4: acoustic distances of a song's asset pairs whose tempo ratio is within 1 + ``tempo_tol``.
-
-    The caller states the tolerance; all pairs of a song would grow with the
-    square of its assets.
+def _song_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All pairs (a_*, b_*) of a song's assets, the smaller id first; a song of many assets is dealt out in blocks."""
+    wide = rows.select("song_id", F.col("asset_id").alias("__item"), *columns)
+    sizes = wide.groupBy("song_id").agg(F.ceil(F.count("*") / 2000).cast("int").alias("blocks"))
+    sized = wide.join(sizes, "song_id")
+    a = sized.select("song_id", F.pmod(F.xxhash64("__item"), "blocks").cast("int").alias("block"), *[F.col(x).alias(f"a_{x}") for x in columns])
+    b = sized.select("song_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(x).alias(f"b_{x}") for x in columns])
+    return a.join(b, ["song_id", "block"]).filter(F.col("a_asset_id") < F.col("b_asset_id"))
+
+
+def variant_pairs(features: DataFrame, tempo_tol: float | None = None, collapse_identity: bool = False) -> DataFrame:
+    """A4: acoustic distances of all pairs of a song's assets.
+
+    A song's pairs grow with the square of its assets; ``tempo_tol`` asks for
+    those only whose tempo ratio is within 1 + ``tempo_tol``, which are found
+    without forming the others. ``collapse_identity`` reduces near-identical
+    re-uploads to one representative first (A8). Labels are given where the
+    features have ``variant_label``.
     """
+    if collapse_identity:
+        features = collapse_variants(features, variant_identity(features))
     present = {k: c for k, c in DELTAS.items() if c in features.columns}
-    cols = ["asset_id", "tempo", "est_key", *present.values()]
-    j = _tempo_neighbours(features.select("song_id", *cols).dropDuplicates(["song_id", "asset_id"]), tempo_tol, cols)
+    label = ["variant_label"] if "variant_label" in features.columns else []
+    cols = ["asset_id", "tempo", "est_key", *label, *present.values()]
+    rows = features.filter(F.col("song_id").isNotNull()).select("song_id", *cols).dropDuplicates(["song_id", "asset_id"])
+    j = _song_pairs(rows, cols) if tempo_tol is None else _tempo_neighbours(rows, tempo_tol, cols)
     return j.select(
-        "song_id", F.col("a_asset_id").alias("asset_a"), F.col("b_asset_id").alias("asset_b"), F.col("a_tempo").alias("tempo_a"), F.col("b_tempo").alias("tempo_b"),
+        "song_id", F.col("a_asset_id").alias("asset_a"), F.col("b_asset_id").alias("asset_b"), *[F.col(f"{x}_{label[0]}").alias(f"label_{x}") for x in "ab" if label],
+        F.col("a_tempo").alias("tempo_a"), F.col("b_tempo").alias("tempo_b"),
         tempo_distance("a_tempo", "b_tempo").alias("tempo_ratio"),
         F.abs(semitone_shift(key_class("a_est_key"), key_class("b_est_key"))).alias("key_shift_semitones"),
         *[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"abs_delta_{k}") for k, c in present.items()],
@@ -321,13 +339,45 @@ def chamfer(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.0).when((F.size(a) == 0) | (F.size(b) == 0), 999.0).otherwise((one_way(a, b) + one_way(b, a)) / 2)
 
 
+def _cells(cuts: Column, width: float) -> Column:
+    """The cell of each time and the next one: times up to ``width`` apart share a cell."""
+    return F.array_distinct(F.flatten(F.transform(cuts, lambda c: F.array(F.floor(c / width), F.floor(c / width) + 1))))
+
+
+def pattern_candidates(points: DataFrame, eps: float, reach: float = 4.0) -> DataFrame:
+    """Pairs (a, b) of patterns of one asset that hold every pair within a Chamfer distance of ``eps``.
+
+    ``points`` is (asset_id, p, cuts). The means of the nearest distances both
+    ways add up to 2 eps at most, so fewer than 2 / ``reach`` of a pattern's
+    cuts lie over reach * eps from the other one, and each such cut can spoil
+    one cell of that width. A pattern with cuts in D cells and at most f such
+    cuts therefore shares s = ceil((D - f) / 2) cells with any near pattern.
+    It leaves out its s - 1 most crowded cells: the least crowded shared cell
+    stays on both sides. A pattern too short for that (s = 1) meets the others
+    in all cells of width eps, since some two cuts lie that close.
+    """
+    width = reach * eps
+    homes = F.array_size(F.array_distinct(F.transform("cuts", lambda c: F.floor(c / width))))
+    spoilt = F.ceil(2 * F.size("cuts") / reach) - 1
+    sized = durable(points.withColumn("s", F.greatest(F.lit(1), F.ceil((homes - spoilt) / 2)).cast("int")))
+    group = F.struct("asset_id", "cell").alias("g")
+    wide = sized.filter("s > 1").select("asset_id", "p", "s", F.explode(_cells(F.col("cuts"), width)).alias("cell"))
+    crowd = wide.groupBy("asset_id", "cell").agg(F.count("*").alias("crowd"))
+    order = Window.partitionBy("asset_id", "p").orderBy(F.desc("crowd"), "cell")
+    rare = wide.join(crowd, ["asset_id", "cell"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") >= F.col("s"))
+    long = group_pairs(rare.select(group, "p"), "g", "p").select("a", "b")
+    fine = sized.select("asset_id", "p", "s", F.explode(_cells(F.col("cuts"), eps)).alias("cell"))
+    short = fine.filter("s = 1").select("asset_id", "cell", F.col("p").alias("q"))
+    met = short.join(fine.select("asset_id", "cell", "p"), ["asset_id", "cell"]).filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return long.unionByName(met).distinct()
+
+
 def cluster_edits(edits: DataFrame, aligned: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:
     """(reel_pk, asset_id, edit_cluster) by density clustering of aligned cut patterns per asset.
 
     -1 is noise; reels without cuts, without alignment or with overlay get null.
-    Equal patterns collapse to one weighted point first. Two patterns within
-    eps always have some cut pair within eps, so only patterns that share a
-    time cell are compared.
+    Equal patterns collapse to one weighted point first; of the others only
+    ``pattern_candidates`` are compared.
     """
     rows = edits.filter(F.col("asset_id").isNotNull()).join(aligned.select("reel_pk", "used_segment_start", "has_overlay"), "reel_pk", "left")
     ok = (F.size("cut_times_aligned") > 0) & F.col("used_segment_start").isNotNull() & (F.coalesce("has_overlay", F.lit(0)) == 0)
@@ -335,9 +385,7 @@ def cluster_edits(edits: DataFrame, aligned: DataFrame, eps: float = 0.5, min_sa
     points = durable(
         use.filter("ok").groupBy("asset_id", F.col("cut_times_aligned").alias("cuts")).agg(F.count("*").alias("w"), F.min("reel_pk").alias("p"))
     )
-    cell = F.explode(F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.array(F.floor(c / eps), F.floor(c / eps) + 1))))).alias("cell")
-    members = points.select("asset_id", "p", cell).select(F.struct("asset_id", "cell").alias("g"), "p")
-    candidates = group_pairs(members, "g", "p").select("a", "b").distinct()
+    candidates = pattern_candidates(points.select("asset_id", "p", "cuts"), eps)
     near = durable(
         candidates.join(points.select(F.col("p").alias("a"), F.col("cuts").alias("ca"), F.col("w").alias("wa")), "a")
         .join(points.select(F.col("p").alias("b"), F.col("cuts").alias("cb"), F.col("w").alias("wb")), "b")
@@ -499,92 +547,165 @@ def lyric_lines(assets: DataFrame, column: str = "lyrics") -> DataFrame:
     return rows.select("asset_id", "i", text.alias("text"), F.col("p.start_time_in_ms").alias("start_ms"), counted.alias("words"))
 
 
-def refrain_starts(lines: DataFrame, similarity: float = 0.85, min_words: int = 6, min_occurrences: int = 2, min_lines: int = 2, single_line_words: int = 8) -> DataFrame:
-    """Start times of the repeated line block that covers most of a lyric.
+def line_labels(lines: DataFrame, similarity: float = 0.85) -> DataFrame:
+    """(asset_id, i, label): the first line of the lyric that is alike, by edit distance over the longer length.
 
-    Lines are labelled by the first line that is alike (edit distance over the
-    longer length); blocks are runs along a diagonal of equal labels. One lyric
-    is a short list, so its labels travel as one array.
+    Equal lines are compared once.
     """
-    a = lines.select("asset_id", F.col("i").alias("j"), F.col("text").alias("u"))
+    firsts = lines.groupBy("asset_id", "text").agg(F.min("i").alias("first"))
+    earlier = firsts.select("asset_id", F.col("text").alias("u"), F.col("first").alias("label"))
     longer, shorter = F.greatest(F.length("text"), F.length("u")), F.least(F.length("text"), F.length("u"))
     # a bounded edit distance stops early and only runs on lines of like length
     close = F.expr(f"levenshtein(text, u, CAST(floor((1 - {similarity}) * greatest(length(text), length(u)) + 1e-9) AS INT)) >= 0")
-    alike = F.when(F.col("text") == F.col("u"), True).when(shorter < similarity * longer, False).otherwise(close)
-    reps = lines.select("asset_id", "i", "text").join(a, "asset_id").filter(F.col("j") < F.col("i")).filter(alike).groupBy("asset_id", "i").agg(F.min("j").alias("label"))
-    reps = lines.select("asset_id", "i").join(reps, ["asset_id", "i"], "left").withColumn("label", F.coalesce("label", "i"))
-    song = durable(
-        lines.join(reps, ["asset_id", "i"]).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("i", "label", "start_ms", "words"))).alias("l"))
-    )
-    labels = F.transform("l", lambda e: e["label"])
-    rows = song.select("asset_id", labels.alias("y")).select("asset_id", "y", F.posexplode("y").alias("i", "label"))
-    pairs = rows.alias("p").join(rows.select("asset_id", F.col("i").alias("j"), "label").alias("q"), ["asset_id", "label"]).filter("j > i").select("asset_id", "i", "j", "y")
-    diagonal = Window.partitionBy("asset_id", F.col("j") - F.col("i")).orderBy("i")
-    run = pairs.withColumn("island", F.col("i") - F.row_number().over(diagonal)).withColumn(
-        "end", F.max("i").over(Window.partitionBy("asset_id", F.col("j") - F.col("i"), "island"))
+    met = firsts.join(earlier, "asset_id").filter(F.col("label") < F.col("first")).filter(shorter >= similarity * longer).filter(close)
+    labels = met.groupBy("asset_id", "text").agg(F.min("label").alias("label"))
+    known = firsts.join(labels, ["asset_id", "text"], "left").select("asset_id", "text", F.coalesce("label", "first").alias("label"))
+    return lines.join(known, ["asset_id", "text"]).select("asset_id", "i", "label")
+
+
+def run_names(labels: DataFrame, levels: int) -> DataFrame:
+    """(asset_id, i, k, name, often): runs of 2^k labels from line i, equal runs of a lyric by one number.
+
+    Prefix doubling: a run is named by the rank of the pair of names of its
+    halves. ``often`` counts the runs of the name.
+    """
+    song = Window.partitionBy("asset_id")
+    wide = labels.withColumn("n0", F.col("label").cast("int"))
+    for k in range(1, levels + 1):
+        half = F.lead(f"n{k - 1}", 1 << (k - 1)).over(song.orderBy("i"))
+        wide = wide.withColumn("__half", half).withColumn("__rank", F.dense_rank().over(song.orderBy(f"n{k - 1}", "__half")))
+        wide = wide.withColumn(f"n{k}", F.when(F.col("__half").isNotNull(), F.col("__rank"))).drop("__half", "__rank")
+    runs = wide.select("asset_id", "i", F.posexplode(F.array(*[F.col(f"n{k}") for k in range(levels + 1)])).alias("k", "name")).filter(F.col("name").isNotNull())
+    return runs.withColumn("often", F.count("*").over(Window.partitionBy("asset_id", "k", "name")))
+
+
+def refrain_starts(lines: DataFrame, similarity: float = 0.85, min_words: int = 6, min_occurrences: int = 2, min_lines: int = 2, single_line_words: int = 8) -> DataFrame:
+    """(asset_id, lines, occurrence, start_s): start times of the repeated line block that covers most of a lyric.
+
+    Lines are labelled by the first line that is alike. A block of m lines is
+    its length and the names of its first and last run of 2^k <= m labels, so
+    equal blocks meet by three numbers and no block is ever an array of lines;
+    only lengths up to twice the longest repeated run at a line are tried. Of
+    a block the occurrences from the front that do not overlap count.
+    """
+    song = Window.partitionBy("asset_id").orderBy("i")
+    upto = F.sum("words").over(song)
+    rows = lines.select("asset_id", (F.row_number().over(song) - 1).alias("i"), "text", "start_ms", (upto - F.col("words")).alias("before"), F.col("words").cast("long").alias("words"))
+    rows = durable(rows)
+    most = rows.agg(F.max("i")).first()[0]
+    levels = max((most or 0) + 1, 2).bit_length() - 2
+    names = durable(run_names(line_labels(rows, similarity), levels))
+    longest = names.filter("often > 1").groupBy("asset_id", "i").agg(F.max("k").alias("k"))
+    size = rows.groupBy("asset_id").agg(F.count("*").alias("n"))
+    room = F.least(F.expr("shiftleft(2, k) - 1"), (F.col("n") / 2).cast("int"), (F.col("n") - F.col("i")).cast("int"))
+    tried = longest.join(size, "asset_id").select("asset_id", "i", room.alias("room")).filter("room > 0").select("asset_id", "i", F.explode(F.sequence(F.lit(1), F.col("room"))).alias("m"))
+    tried = tried.withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int"))
+    begun = tried.join(names.filter("often > 1").select("asset_id", "i", "k", F.col("name").alias("x")), ["asset_id", "i", "k"])
+    last = names.filter("often > 1").select("asset_id", F.col("i").alias("l"), "k", F.col("name").alias("y"))
+    blocks = begun.withColumn("l", F.col("i") + F.col("m") - F.expr("shiftleft(1, k)")).join(last, ["asset_id", "l", "k"])
+    met = blocks.groupBy("asset_id", "m", "x", "y").agg(F.array_sort(F.collect_list("i")).alias("at")).filter(F.size("at") > 1)
+    walk = F.aggregate(
+        "at", F.struct(F.lit(0).alias("times"), F.lit(None).cast("int").alias("last")),
+        lambda acc, i: F.when(acc["last"].isNull() | (i >= acc["last"] + F.col("m")), F.struct((acc["times"] + 1).alias("times"), i.alias("last"))).otherwise(acc),
     )
-    reach = F.least(F.col("end") - F.col("i") + 1, F.col("j") - F.col("i"))
-    blocks = run.select("asset_id", F.explode(F.transform(F.sequence(F.lit(1), reach), lambda k: F.slice("y", F.col("i") + 1, k))).alias("block")).distinct()
-    j = blocks.join(song, "asset_id").withColumn("m", F.size("block")).withColumn("y", F.transform("l", lambda e: e["label"]))
-    last = F.size("y") - F.col("m") + 1
-    found = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda s: (s <= last) & (F.slice("y", s, F.col("m")) == F.col("block")))
+    counted = met.withColumn("times", walk["times"]).filter(F.col("times") >= max(min_occurrences, 2)).withColumn("i", F.col("at")[0])
+    first, end = rows.select("asset_id", "i", F.col("before").alias("from")), rows.select("asset_id", F.col("i").alias("l"), (F.col("before") + F.col("words")).alias("to"))
+    worded = counted.withColumn("l", F.col("i") + F.col("m") - 1).join(first, ["asset_id", "i"]).join(end, ["asset_id", "l"]).withColumn("used", F.col("to") - F.col("from"))
+    good = worded.filter((F.col("used") >= min_words) & ((F.col("m") >= min_lines) | (F.col("used") >= single_line_words)))
+    rank = F.struct(F.col("times") * F.col("m"), "m", "used", -F.col("i"))
+    best = good.groupBy("asset_id").agg(F.max_by(F.struct("m", "at"), rank).alias("b")).select("asset_id", F.col("b.m").alias("m"), F.col("b.at").alias("at"))
     spaced = F.aggregate(
-        found, F.array().cast("array<int>"),
-        lambda acc, s: F.when((F.size(acc) == 0) | (s >= F.element_at(acc, -1) + F.col("m")), F.array_append(acc, s)).otherwise(acc),
+        "at", F.array().cast("array<int>"),
+        lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.element_at(acc, -1) + F.col("m")), F.array_append(acc, i)).otherwise(acc),
     )
-    j = j.withColumn("occ", spaced).filter(F.size("occ") >= min_occurrences)
-    used = F.aggregate(F.slice("l", F.col("occ")[0], F.col("m")), F.lit(0), lambda s, e: s + e["words"])
-    j = j.withColumn("used", used).filter((F.col("used") >= min_words) & ((F.col("m") >= min_lines) | (F.col("used") >= single_line_words)))
-    starts = F.transform("occ", lambda s: F.element_at("l", s)["start_ms"] / 1000)
-    rank = F.struct(F.size("occ") * F.col("m"), F.col("m"), F.col("used"), F.transform("occ", lambda s: -s))
-    best = j.groupBy("asset_id").agg(F.max_by(starts, rank).alias("starts"), F.max_by("m", rank).alias("lines"))
-    return best.select("asset_id", "lines", F.posexplode("starts").alias("occurrence", "start_s"))
+    starts = best.select("asset_id", F.col("m").alias("lines"), F.posexplode(spaced).alias("occurrence", "i"))
+    return starts.join(rows.select("asset_id", "i", "start_ms"), ["asset_id", "i"]).select("asset_id", "lines", "occurrence", (F.col("start_ms") / 1000).alias("start_s"))
 
 
 # peaks -----------------------------------------------------------------------
 
 
+def spaced_tops(tops: DataFrame) -> DataFrame:
+    """(song_id, i, n) of ``tops`` (song_id, i, n, apart) left when, from the highest down, none stays closer than ``apart`` to a kept one.
+
+    Rounds: a top that is the highest (of equals the last) within reach stays
+    and clears its neighbourhood. Only tops in the same or the next stretch of
+    ``apart`` places are compared.
+    """
+    kept, open_ = None, durable(tops.select("song_id", "i", "n", "apart"))
+    while not open_.isEmpty():
+        cell = F.floor(F.col("i") / F.col("apart"))
+        here = open_.withColumn("cell", cell)
+        rivals = open_.select("song_id", F.col("i").alias("j"), F.col("n").alias("h"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+        met = here.join(rivals, ["song_id", "cell"]).filter((F.abs(F.col("i") - F.col("j")) < F.col("apart")) & (F.col("i") != F.col("j")))
+        beaten = met.filter((F.col("h") > F.col("n")) | ((F.col("h") == F.col("n")) & (F.col("j") > F.col("i")))).select("song_id", "i").distinct()
+        won = durable(open_.join(beaten, ["song_id", "i"], "left_anti"))
+        cleared = met.join(won.select("song_id", F.col("i").alias("j")), ["song_id", "j"]).select("song_id", "i").distinct()
+        kept = won if kept is None else kept.unionByName(won)
+        open_ = durable(open_.join(won.select("song_id", "i"), ["song_id", "i"], "left_anti").join(cleared, ["song_id", "i"], "left_anti"))
+    return (open_ if kept is None else kept).select("song_id", "i", "n")
+
+
+def lowest_to_higher(series: DataFrame, peaks: DataFrame) -> DataFrame:
+    """(song_id, i, low): the higher of the two lowest counts between a peak and the next higher count, or the end, on each side.
+
+    Highest and lowest counts of stretches of 2^k places come from those of
+    half the length by ``lag``; from the longest stretch down each side takes
+    those without a higher count. Both sides are one table, the right one
+    mirrored.
+    """
+    most = series.agg(F.max("i")).first()[0] or 0
+    size = series.groupBy("song_id").agg((F.max("i")).alias("end"))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("right"), F.col("i").alias("p")), F.struct(F.lit(True).alias("right"), (F.col("end") - F.col("i")).alias("p")))).alias("s")
+    both = series.join(size, "song_id").select("song_id", "n", sides).select("song_id", "s.right", "s.p", F.col("n").alias("top"), F.col("n").alias("low"))
+    order = Window.partitionBy("song_id", "right").orderBy("p")
+    levels = max(most.bit_length(), 1)
+    wide = both.withColumn("top0", F.col("top")).withColumn("low0", F.col("low"))
+    for k in range(1, levels):
+        for name, joined in (("top", F.greatest), ("low", F.least)):
+            half = F.lag(f"{name}{k - 1}", 1 << (k - 1)).over(order)
+            wide = wide.withColumn(f"{name}{k}", F.when(half.isNotNull(), joined(f"{name}{k - 1}", half)))
+    stretch = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"top{k}").alias("top"), F.col(f"low{k}").alias("low")) for k in range(levels)])
+    spots = durable(wide.select("song_id", "right", "p", F.explode(stretch).alias("s")).select("song_id", "right", "p", "s.*").filter("top IS NOT NULL"))
+    at = peaks.join(size, "song_id").select("song_id", "i", "n", "end", sides).select("song_id", "i", "n", "s.right", (F.col("s.p") - 1).alias("p"), F.col("n").alias("found"))
+    for k in reversed(range(levels)):
+        go = F.col("top") <= F.col("n")
+        at = at.join(spots.filter(F.col("k") == k).drop("k"), ["song_id", "right", "p"], "left").select(
+            "song_id", "right", "i", "n", F.when(go, F.col("p") - (1 << k)).otherwise(F.col("p")).alias("p"), F.when(go, F.least("found", "low")).otherwise(F.col("found")).alias("found")
+        )
+    return at.groupBy("song_id", "i").agg(F.max("found").alias("low"))
+
+
 def detect_peaks(trend: DataFrame, factor: float = 1.0) -> DataFrame:
     """Flags on each song's gap-filled counts (song_id, period, n).
 
     A peak is the middle of a run of equal counts higher than both neighbours.
     Of peaks closer than a twentieth of the series the higher (then the later)
     stays, and it needs a prominence of ``factor`` standard deviations, 1 at
-    least. A series has one number per calendar period, however many reels
-    there are, so it travels as one short array.
+    least. Rows stay rows: no series is gathered into one value.
     """
     song = Window.partitionBy("song_id")
     ahead = song.orderBy("period")
-    rows = trend.select("song_id", "period", F.col("n").cast("long").alias("n")).withColumn("i", F.row_number().over(ahead) - 1)
+    rows = durable(trend.select("song_id", "period", F.col("n").cast("long").alias("n")).withColumn("i", F.row_number().over(ahead) - 1))
     marked = rows.withColumn("run", F.sum(F.coalesce((F.col("n") != F.lag("n").over(ahead)).cast("int"), F.lit(1))).over(ahead))
     runs = marked.groupBy("song_id", "run").agg(F.min("i").alias("a"), F.max("i").alias("z"), F.first("n").alias("n"))
     across = song.orderBy("run")
     tops = runs.withColumn("before", F.lag("n").over(across)).withColumn("after", F.lead("n").over(across)).filter("n > before AND n > after")
-    ranked = tops.groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("n", F.floor((F.col("a") + F.col("z")) / 2).cast("int").alias("i"))), asc=False).alias("tops"))
-    series = rows.groupBy("song_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("v"), F.stddev_pop("n").alias("spread"), F.max("n").alias("top"), F.count("*").alias("periods"),
+    highest = F.max(F.struct("n", (-F.col("i")).alias("back"))).alias("m")
+    series = rows.groupBy("song_id").agg(F.stddev_pop("n").alias("spread"), F.count("*").alias("periods"), highest).select(
+        "song_id", "spread", "periods", F.col("m.n").alias("top"), (-F.col("m.back")).alias("main")
     )
-    both = series.join(ranked, "song_id", "left")
-    apart = F.greatest(F.lit(1), F.floor(F.col("periods") / 20))
-    kept = F.aggregate(
-        F.coalesce("tops", F.array().cast("array<struct<n:bigint,i:int>>")), F.array().cast("array<struct<n:bigint,i:int>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda q: F.abs(q["i"] - x["i"]) < apart), acc).otherwise(F.concat(acc, F.array(x))),
+    placed = tops.join(series, "song_id").select(
+        "song_id", F.floor((F.col("a") + F.col("z")) / 2).cast("int").alias("i"), "n", F.greatest(F.lit(1), F.floor(F.col("periods") / 20)).alias("apart")
     )
-
-    def lowest(side: Column, height: Column) -> Column:
-        """Lowest count on a side up to the first higher one."""
-        start = F.struct(height.alias("low"), F.lit(True).alias("on"))
-        walk = F.aggregate(side, start, lambda acc, x: F.struct(F.when(acc["on"] & (x <= height), F.least(acc["low"], x)).otherwise(acc["low"]).alias("low"), (acc["on"] & (x <= height)).alias("on")))
-        return walk["low"]
-
-    peaks = both.select("song_id", "v", "spread", "periods", F.explode(kept).alias("p")).select("song_id", "v", "spread", "periods", "p.n", "p.i")
-    left, right = F.reverse(F.slice("v", F.lit(1), F.col("i") + 1)), F.slice("v", F.col("i") + 1, F.col("periods").cast("int"))
-    prominent = peaks.filter(F.col("n") - F.greatest(lowest(left, F.col("n")), lowest(right, F.col("n"))) >= F.greatest(F.lit(1.0), factor * F.col("spread")))
-    usable = (F.col("periods") >= 3) & (F.col("top") > 0)
-    facts = series.filter(usable).select("song_id", F.array_position("v", F.col("top")).alias("main"), (F.array_position(F.transform("v", lambda x: x >= 0.1 * F.col("top")), F.lit(True))).alias("onset"))
-    flagged = rows.join(prominent.select("song_id", "i", F.lit(True).alias("peak")), ["song_id", "i"], "left").join(facts, "song_id", "left")
-    at = F.col("i") + 1
+    kept = spaced_tops(placed)
+    falls = kept.join(lowest_to_higher(rows.select("song_id", "i", "n"), kept), ["song_id", "i"]).join(series.select("song_id", "spread"), "song_id")
+    prominent = falls.filter(F.col("n") - F.col("low") >= F.greatest(F.lit(1.0), factor * F.col("spread"))).select("song_id", "i", F.lit(True).alias("peak"))
+    usable = series.filter((F.col("periods") >= 3) & (F.col("top") > 0))
+    onset = rows.join(usable, "song_id").filter(F.col("n") >= 0.1 * F.col("top")).groupBy("song_id").agg(F.min("i").alias("onset"))
+    facts = usable.select("song_id", "main").join(onset, "song_id", "left")
+    flagged = rows.join(prominent, ["song_id", "i"], "left").join(facts, "song_id", "left")
     return flagged.select(
         "song_id", "period", "n", F.coalesce("peak", F.lit(False)).alias("is_peak"),
-        F.coalesce(at == F.col("onset"), F.lit(False)).alias("is_onset"), F.coalesce(at == F.col("main"), F.lit(False)).alias("is_main_peak"),
+        F.coalesce(F.col("i") == F.col("onset"), F.lit(False)).alias("is_onset"), F.coalesce(F.col("i") == F.col("main"), F.lit(False)).alias("is_main_peak"),
     )

@@ -106,12 +106,13 @@ def word_frequencies(
     return terms if max_features is None else top_n(terms, max_features, F.desc("count"), F.asc("term"))
 
 
-def topic_model(messages: DataFrame, topics: int = 8, min_docs: int = 5, max_share: float = 0.5, ngram: tuple[int, int] = (1, 2), stopwords: Sequence[str] = (), seed: int = 42, vocabulary: int = 1 << 18, rounds: int = 10):
+def topic_model(messages: DataFrame, topics: int = 8, min_docs: int = 5, max_share: float = 0.5, ngram: tuple[int, int] = (1, 2), stopwords: Sequence[str] = (), seed: int = 42, vocabulary: int = (1 << 31) - 1, rounds: int = 10):
     """Fitted (model, vocabulary, vectors) of an LDA over the messages.
 
-    ``vocabulary`` bounds the model: the most frequent terms within the document
-    limits take part, the default is what the fit itself allows. ``rounds`` are
-    the iterations of the fit.
+    ``vocabulary`` asks for the most frequent terms only; by default all terms
+    within the document limits take part. ``rounds`` are the iterations of the
+    fit. The vocabulary reaches the driver; ``topics.fit_topics`` keeps it in
+    tables and is exact.
     """
     tokens = messages.withColumn("grams", tx.ngrams(tx.words("text", stopwords), *ngram))
     counter = CountVectorizer(inputCol="grams", outputCol="features", minDF=min_docs, maxDF=max_share, vocabSize=vocabulary).fit(tokens)

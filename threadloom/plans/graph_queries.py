@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.components import betweenness, connected_components, eigenvector_centrality
 from ..operators import graph
+from ..session import durable
 from ..sources import adapters as a
 from .registry import query
 from .scope_queries import histogram_sql, reels_with_songs, threads
@@ -136,6 +137,14 @@ def _(t):
     return graph.channel_similarity(graph.participation_matrix(ev(t)), "dot")
 
 
+@query("channel_similarity_pearson_dense", f"""WITH {EDGES}, {PART}, v AS (SELECT count(DISTINCT video_id) AS v FROM part_), best AS (SELECT channel_id, count(*) AS n FROM part_ GROUP BY 1 ORDER BY n DESC, channel_id LIMIT 60),
+w AS (SELECT x.channel_id AS c1, y.channel_id AS c2, count(*) AS w FROM part_ x JOIN part_ y USING (video_id) WHERE x.channel_id<y.channel_id GROUP BY 1,2),
+s AS (SELECT p.channel_id AS channel_1, q.channel_id AS channel_2, coalesce(w,0) AS shared_videos, (v*coalesce(w,0)-p.n*q.n)/sqrt((v*p.n-p.n*p.n)*(v*q.n-q.n*q.n)*1.0) AS similarity FROM best p JOIN best q ON p.channel_id<q.channel_id LEFT JOIN w ON c1=p.channel_id AND c2=q.channel_id, v)
+SELECT channel_1, channel_2, shared_videos, round(similarity,6) AS similarity, round(least(similarity,(SELECT quantile_cont(similarity,0.99) FROM s WHERE similarity>0)),6) AS clipped FROM s""")
+def _(t):
+    return graph.channel_similarity(graph.participation_matrix(ev(t)), "corr", max_channels=60, dense=True)
+
+
 DEG = "deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1)"
 
 
@@ -212,13 +221,35 @@ ins AS (SELECT ca AS community, sum(weight) AS weight_inside FROM tc2 WHERE ca=c
 
 @query("channel_pair_communities", f"{COMMUNITIES} SELECT node, community, true AS converged FROM lp")
 def _(t):
-    return graph.pair_communities(graph.frequent_pairs(ev(t)))[0]
+    return graph.pair_communities(graph.frequent_pairs(ev(t)), method="labels")[0]
 
 
 @query("channel_pair_modularity", f"""{COMMUNITIES}, {MODULARITY} SELECT community, nodes, weight_touching, coalesce(weight_inside,0.0) AS weight_inside, round(coalesce(weight_inside,0)/m-(weight_touching/(2*m))*(weight_touching/(2*m)),6) AS modularity
  FROM sz JOIN tch USING (community) LEFT JOIN ins USING (community), m""")
 def _(t):
-    return graph.pair_communities(graph.frequent_pairs(ev(t)))[1]
+    return graph.pair_communities(graph.frequent_pairs(ev(t)), method="labels")[1]
+
+
+# partitions whose modularity SQL can tell; no local move may leave the found one below them
+FOUND = """sh AS (SELECT src, dst, weight FROM pr), mm AS (SELECT sum(weight) AS m FROM sh), nd2 AS (SELECT src AS node, sum(weight) AS k FROM (SELECT src, weight FROM sh UNION ALL SELECT dst, weight FROM sh) GROUP BY 1),
+lq AS (SELECT sum(coalesce(weight_inside,0)/m-(weight_touching/(2*m))*(weight_touching/(2*m))) AS q FROM sz JOIN tch USING (community) LEFT JOIN ins USING (community), m),
+sq AS (SELECT -sum((k/(2*m))*(k/(2*m))) AS q FROM nd2, mm)"""
+
+
+@query("channel_modularity_levels", f"""{COMMUNITIES}, {MODULARITY}, {FOUND} SELECT 'labels' AS partition, round(q,6) AS modularity, true AS reached, (SELECT count(*) FROM nd2) AS nodes FROM lq UNION ALL SELECT 'single', round(q,6), true, (SELECT count(*) FROM nd2) FROM sq""")
+def _(t):
+    """The found communities hold every node once and reach the modularity of label propagation and of single nodes."""
+    pairs = durable(graph.frequent_pairs(ev(t)))
+    whole, labels = graph.pair_communities(pairs), graph.pair_communities(pairs, method="labels")
+    alone = graph.modularity(pairs.select(F.col("channel_1").alias("src"), F.col("channel_2").alias("dst"), F.col("co_occurrence").alias("weight")), whole[0].select("node", F.col("node").alias("community")))
+    best, nodes = whole[1].agg(F.sum("modularity")).scalar(), whole[1].agg(F.sum("nodes")).scalar()
+    rows = [m.agg(F.sum("modularity").alias("modularity")).select(F.lit(n).alias("partition"), "modularity", (best >= F.col("modularity") - 1e-9).alias("reached"), nodes.alias("nodes")) for n, m in (("labels", labels[1]), ("single", alone))]
+    return rows[0].unionByName(rows[1])
+
+
+@query("hashtag_communities")
+def _(t):
+    return graph.tag_communities(*graph.tag_network(graph.clean_tags(tags(t))))
 
 
 @query("interaction_subgraph_top_nodes", f"""{INTERACTION}, {DEG}, best AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 40)

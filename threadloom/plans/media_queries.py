@@ -30,6 +30,13 @@ def _(t):
     return media.variant_pairs(a.acoustics(t.embeddings), 0.1)
 
 
+@query("variant_pairs_all", f"""WITH {ACOUSTICS}, p AS (SELECT x.song_id, x.asset_id AS asset_a, y.asset_id AS asset_b, x.q AS label_a, y.q AS label_b, x.tempo AS tempo_a, y.tempo AS tempo_b, {dist('x.tempo', 'y.tempo')} AS r, (y.pc-x.pc+12)%12 AS d,
+ abs(x.spectral_centroid-y.spectral_centroid) AS dc, abs(x.spectral_flatness-y.spectral_flatness) AS df, abs(x.loudness_lufs-y.loudness_lufs) AS dl FROM acoustics x JOIN acoustics y ON x.song_id=y.song_id AND x.asset_id<y.asset_id)
+SELECT song_id, asset_a, asset_b, label_a, label_b, tempo_a, tempo_b, round(r,6) AS tempo_ratio, abs(CASE WHEN d>6 THEN d-12 ELSE d END)::BIGINT AS key_shift_semitones, round(dc,6) AS abs_delta_centroid, round(df,6) AS abs_delta_flatness, round(dl,6) AS abs_delta_loudness FROM p""")
+def _(t):
+    return media.variant_pairs(a.acoustics(t.embeddings).withColumn("variant_label", F.substring_index("est_key", " ", -1)))
+
+
 @query("variant_dispersion", f"""WITH {ACOUSTICS}, g AS (SELECT song_id, count(DISTINCT asset_id) AS n_variants, min(tempo) AS tempo_min, max(tempo) AS tempo_max, count(DISTINCT est_key) AS n_distinct_keys, min(spectral_centroid) AS centroid_min, max(spectral_centroid) AS centroid_max,
  min(loudness_lufs) AS loudness_min, max(loudness_lufs) AS loudness_max FROM acoustics GROUP BY 1 HAVING count(DISTINCT asset_id)>=2)
 SELECT *, round({dist('tempo_max', 'tempo_min')},6) AS tempo_spread_ratio, round(centroid_max-centroid_min,6) AS centroid_range, round(loudness_max-loudness_min,6) AS loudness_range FROM g""")
@@ -267,7 +274,25 @@ def _(t):
     return p.join(hooks, "asset_id").select("asset_id", media.catalog_track_id("meta").alias("track_id"), media.catalog_track_url("meta").alias("url"), media.first_highlight("hooks").alias("hook_s"))
 
 
-@query("refrain_starts")
+# labels by pairs of distinct lines, blocks by diagonals of equal labels, occurrences from the front that do not overlap
+REFRAINS = r"""WITH ln AS (SELECT asset_id, i-1 AS i, lower(trim(regexp_replace(p, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS text FROM (SELECT doc_id AS asset_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+wd AS (SELECT *, greatest(1, len(string_split(text, ' '))) AS words, sum(greatest(1, len(string_split(text, ' ')))) OVER (PARTITION BY asset_id ORDER BY i) AS upto, count(*) OVER (PARTITION BY asset_id) AS n FROM ln),
+fs AS (SELECT asset_id, text, min(i) AS first FROM ln GROUP BY 1,2),
+lb AS (SELECT x.asset_id, x.text, coalesce(min(y.first), x.first) AS label FROM fs x LEFT JOIN fs y ON x.asset_id=y.asset_id AND y.first<x.first AND least(length(x.text),length(y.text))>=0.85*greatest(length(x.text),length(y.text))
+ AND levenshtein(x.text,y.text)<=floor((1-0.85)*greatest(length(x.text),length(y.text))+1e-9) GROUP BY x.asset_id, x.text, x.first),
+y AS MATERIALIZED (SELECT wd.*, label FROM wd JOIN lb USING (asset_id, text)), ys AS (SELECT asset_id, list(label ORDER BY i) AS y FROM y GROUP BY 1),
+dg AS (SELECT a.asset_id, a.i, b.i AS j, a.i-row_number() OVER (PARTITION BY a.asset_id, b.i-a.i ORDER BY a.i) AS island FROM y a JOIN y b ON a.asset_id=b.asset_id AND a.label=b.label AND a.i<b.i),
+rc AS (SELECT asset_id, max(reach) AS longest FROM (SELECT asset_id, least(max(i) OVER (PARTITION BY asset_id, j-i, island)-i+1, j-i) AS reach FROM dg) GROUP BY 1),
+bl AS (SELECT asset_id, i, m, array_to_string(y[i+1:i+m], ',') AS block FROM (SELECT asset_id, i, n, unnest(range(1, least(longest, n-i)+1)) AS m FROM y JOIN rc USING (asset_id)) JOIN ys USING (asset_id)),
+oc AS (SELECT asset_id, m, list(i ORDER BY i) AS pos FROM bl GROUP BY asset_id, m, block HAVING count(*)>1),
+gr AS (SELECT *, list_reduce(list_prepend(0::BIGINT, pos), lambda acc, x: CASE WHEN acc=0 OR x>=acc%1000000-1+m THEN (acc//1000000+1)*1000000+x+1 ELSE acc END)//1000000 AS times FROM oc),
+us AS (SELECT gr.*, z.upto-a.upto+a.words AS used FROM gr JOIN y a ON a.asset_id=gr.asset_id AND a.i=pos[1] JOIN y z ON z.asset_id=gr.asset_id AND z.i=pos[1]+m-1 WHERE times>=2),
+bs AS (SELECT DISTINCT ON (asset_id) asset_id, m, list_reduce(list_transform(pos, lambda x: [x]), lambda acc, x: CASE WHEN x[1]>=acc[len(acc)]+m THEN list_concat(acc, x) ELSE acc END) AS picks
+ FROM us WHERE used>=6 AND (m>=2 OR used>=8) ORDER BY asset_id, times*m DESC, m DESC, used DESC, pos[1])
+SELECT asset_id, m AS lines, generate_subscripts(picks, 1)-1 AS occurrence, unnest(picks)::DOUBLE AS start_s FROM bs"""
+
+
+@query("refrain_starts", REFRAINS)
 def _(t):
     phrases = "to_json(named_struct('phrases', transform(split(text, '\\n'), (x, i) -> named_struct('phrase', x, 'start_time_in_ms', i * 1000))))"
     lyrics = t.documents.select(F.col("doc_id").alias("asset_id"), F.expr(phrases).alias("lyrics"))

@@ -10,7 +10,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-# text tables with much work per row, and their unique keys; the driver writes each as one row group, which is one task
+# text tables with much work per row, and their unique keys
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
@@ -22,7 +22,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return df.repartition(TEXT_KEYS[name]) if name in TEXT_KEYS else df
+        # a table in fewer splits than there are cores, such as one small file, is dealt out; a large one is read as it lies
+        small = name in TEXT_KEYS and df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
+        return df.repartition(TEXT_KEYS[name]) if small else df
 
 
 def presentable(df: DataFrame) -> DataFrame:

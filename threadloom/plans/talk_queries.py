@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import talk
+from ..operators import talk, topics
 from ..sources import adapters as a
 from .registry import query
 from .scope_queries import reels_with_songs
@@ -75,28 +75,67 @@ def _topics(t):
     return talk.topic_model(dated, ngram=(1, 1), stopwords=STOP, vocabulary=20000, rounds=5)
 
 
-@query("topic_terms")
+TOPICS, ROUNDS = 4, 2
+
+
+def fit_sql() -> str:
+    """Term counts, then each round's shares and sums, written out."""
+    ks = range(TOPICS)
+    first = ", ".join(f"1000000+(('0x'||substr(md5(term||'/{k}'),1,6))::BIGINT%1000000) AS w{k}" for k in ks)
+    begin = ", ".join(f"round(sum(n)/{float(TOPICS)}*1000000)::BIGINT AS m{k}" for k in ks)
+    parts = [f"""{terms_sql('w')}, dated AS (SELECT doc_id, text, TIMESTAMP '2024-01-01'+to_days(CAST(n_chars%180 AS INTEGER)) AS date FROM documents),
+tn AS MATERIALIZED (SELECT comment_id AS doc_id, term, count(*) AS n FROM g WHERE term IN (SELECT term FROM terms WHERE docs>=5 AND docs<=0.5*(SELECT count(*) FROM documents)) GROUP BY 1,2),
+t0 AS MATERIALIZED (SELECT term, {first} FROM (SELECT DISTINCT term FROM tn)), d0 AS MATERIALIZED (SELECT doc_id, {begin} FROM tn GROUP BY 1)"""]
+    for i in range(ROUNDS):
+        totals = ", ".join(f"sum(w{k})/1000000.0::DOUBLE+count(*)*0.01::DOUBLE AS s{k}" for k in ks)
+        share = ", ".join(f"(m{k}/1000000.0::DOUBLE+0.1::DOUBLE)*(w{k}/1000000.0::DOUBLE+0.01::DOUBLE)/s{k} AS p{k}" for k in ks)
+        rounded = ", ".join(f"round(p{k}/({'+'.join(f'p{j}' for j in ks)})*1000000)::BIGINT AS r{k}" for k in ks)
+        parts.append(f"""q{i} AS (SELECT {totals} FROM t{i}),
+r{i} AS MATERIALIZED (SELECT doc_id, term, n, {rounded} FROM (SELECT doc_id, term, n, {share} FROM tn JOIN t{i} USING (term) JOIN d{i} USING (doc_id), q{i})),
+t{i + 1} AS MATERIALIZED (SELECT term, {', '.join(f'sum(n*r{k})::BIGINT AS w{k}' for k in ks)} FROM r{i} GROUP BY 1), d{i + 1} AS MATERIALIZED (SELECT doc_id, {', '.join(f'sum(n*r{k})::BIGINT AS m{k}' for k in ks)} FROM r{i} GROUP BY 1)""")
+    top = f"greatest({', '.join(f'm{k}' for k in ks)})"
+    at = "coalesce(" + ", ".join(f"CASE WHEN m{k}=top THEN {k + 1} END" for k in ks) + ")"
+    whole = "+".join(f"m{k}" for k in ks)
+    parts.append(f"""mix AS (SELECT doc_id, date, coalesce('Topic '||place, 'Topic 1') AS topic, coalesce(weight, {1 / TOPICS}) AS weight FROM dated LEFT JOIN
+ (SELECT doc_id, {at} AS place, (top/1000000.0::DOUBLE+0.1::DOUBLE)/(({whole})/1000000.0::DOUBLE+{TOPICS * 0.1!r}::DOUBLE) AS weight FROM (SELECT *, {top} AS top FROM d{ROUNDS})) USING (doc_id))""")
+    return f"{D}, {', '.join(parts)}"
+
+
+FITTED = fit_sql()
+LONG_TERMS = " UNION ALL ".join(f"SELECT {k} AS k, term, w{k} AS w FROM t{ROUNDS}" for k in range(TOPICS))
+
+
+def _fit(t):
+    dated = t.documents.select("doc_id", "text", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("n_chars") % 180)).alias("date"))
+    counts = topics.term_counts(dated, "doc_id", (1, 1), STOP)
+    return dated.drop("text"), *topics.fit_topics(counts, "doc_id", TOPICS, ROUNDS)
+
+
+def _mix(t):
+    dated, _terms, documents = _fit(t)
+    return topics.dominant_topics(dated, "doc_id", documents, TOPICS)
+
+
+@query("topic_terms", f"""{FITTED}, lt AS ({LONG_TERMS}) SELECT 'Topic '||(k+1) AS topic, rank, term, round(w/total,6) AS weight
+ FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w DESC, term) AS rank, sum(w) OVER (PARTITION BY k) AS total FROM lt) WHERE rank<=10""")
 def _(t):
-    model, vocabulary, _v = _topics(t)
-    return talk.topic_terms(model, vocabulary, t.spark)
+    return topics.top_terms(_fit(t)[1], TOPICS)
 
 
-@query("document_topics")
+@query("document_topics", f"{FITTED} SELECT doc_id, strftime(date,'%Y-%m-%d %H:%M:%S') AS date, topic, round(weight,6) AS weight FROM mix")
 def _(t):
-    model, _voc, vectors = _topics(t)
-    return talk.document_topics(model, vectors)
+    return _mix(t)
 
 
-@query("topic_shares")
+@query("topic_shares", f"{FITTED} SELECT topic, round(sum(weight),6) AS total_weight, round(100*sum(weight)/(SELECT sum(weight) FROM mix),6) AS percent FROM mix GROUP BY 1")
 def _(t):
-    model, _voc, vectors = _topics(t)
-    return talk.topic_shares(talk.document_topics(model, vectors))
+    return talk.topic_shares(_mix(t))
 
 
-@query("monthly_topic_shares")
+@query("monthly_topic_shares", f"""{FITTED}, ms AS (SELECT strftime(date_trunc('month',date),'%Y-%m-%d') AS month, topic, sum(weight) AS w FROM mix GROUP BY 1,2)
+SELECT month, topic, round(w,6) AS weight, round(100*w/sum(w) OVER (PARTITION BY month),6) AS percent FROM ms""")
 def _(t):
-    model, _voc, vectors = _topics(t)
-    return talk.monthly_topic_shares(talk.document_topics(model, vectors))
+    return talk.monthly_topic_shares(_mix(t))
 
 
 @query("topic_invariants", """SELECT count(*) AS documents, true AS weights_between_0_and_1, 100.0::DOUBLE AS share_total, count(DISTINCT (n_chars%180)//31) > 0 AS has_months, 0::BIGINT AS months_off_100 FROM documents""")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import filled, parse_timestamp
+from ..session import durable
 
 # fixed values: field names of the corpus file format
 REPLY = T.StructType([
@@ -44,9 +45,52 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("video_id", "e")).select("video_id", "e.video_info", "e.comments")
 
 
-def import_corpus(spark: SparkSession, path: str, lines: str) -> DataFrame:
-    """Rewrite object files as the scalable layout and read that back."""
-    read_corpus(spark, path).repartition("video_id").write.mode("overwrite").json(lines)
+# the last characters of a piece in which the next key stands; keys are ids
+_KEY_ROOM = 4096
+_NEXT_KEY = r'\}\s*,\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")\s*:\s*\{\s*$'
+_FIRST_KEY = r'^[\s\x{FEFF}]*\{\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")\s*:\s*\{\s*$'
+_END = r"\}\s*\}\s*$"
+
+
+def read_corpus_slices(spark: SparkSession, path: str) -> DataFrame:
+    """One large file holding an object keyed by video id, read in slices; rows as of ``read_corpus``.
+
+    The text reader splits the file by bytes, wherever ``"video_info"`` stands
+    with plain quotes: inside a JSON string the closing quote would be escaped,
+    so it only stands where an entry begins. A piece then holds one entry and,
+    at its end, the key of the next; pieces are numbered by file, slice and
+    place, and keys move on by one. Each entry must begin with its
+    ``video_info``, as the writer of such files has it; a piece of another form
+    raises an error rather than being skipped (``read_corpus`` takes such
+    files). No task holds more than a slice and an entry.
+    """
+    place = ("file", "block")
+    raw = spark.read.option("lineSep", '"video_info"').text(path).select(
+        "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("seq")
+    )
+    pieces = durable(raw)
+    blocks = pieces.groupBy(*place).agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select(*place, "first", before.alias("before"), F.sum("n").over(Window.partitionBy("file")).alias("all"))
+    room = F.expr(f"right(value, {_KEY_ROOM})")
+    numbered = pieces.join(F.broadcast(starts), list(place)).withColumn("k", F.col("before") + F.col("seq") - F.col("first")).withColumn("room", room)
+    key = F.when(F.col("k") == 0, F.regexp_extract("value", _FIRST_KEY, 1)).otherwise(F.regexp_extract("room", _NEXT_KEY, 1))
+    told = numbered.filter(F.col("k") < F.col("all") - 1).select("file", (F.col("k") + 1).alias("k"), key.alias("key"))
+    last = F.col("k") == F.col("all") - 1
+    tail = F.when(last, F.length(F.regexp_extract("room", _END, 0))).otherwise(F.length(F.regexp_extract("room", _NEXT_KEY, 0)))
+    entry = F.concat(F.lit('{"video_info"'), F.expr("left(value, length(value) - tail)"), F.lit("}"))
+    bodies = numbered.filter("k > 0").withColumn("tail", tail).select("file", "k", F.from_json(entry, ENTRY).alias("e"), F.col("tail"))
+    joined = bodies.join(told, ["file", "k"])
+    name = F.get(F.from_json(F.concat(F.lit("["), "key", F.lit("]")), "array<string>"), 0)
+    sound = (F.col("key") != "") & (F.col("tail") > 0) & F.col("e").isNotNull() & name.isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("not an entry that begins with its video_info: piece "), F.col("k").cast("string"), F.lit(" of "), F.col("file")))
+    checked = joined.select(F.when(sound, name).otherwise(wrong.cast("string")).alias("video_id"), "e.video_info", "e.comments")
+    return checked
+
+
+def import_corpus(spark: SparkSession, path: str, lines: str, slices: bool = False) -> DataFrame:
+    """Rewrite object files as the scalable layout and read that back; ``slices`` for large files."""
+    (read_corpus_slices if slices else read_corpus)(spark, path).repartition("video_id").write.mode("overwrite").json(lines)
     return read_lines(spark, lines)
 
 

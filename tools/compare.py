@@ -5,6 +5,7 @@ import math
 import sys
 import threading
 import time
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -26,6 +27,13 @@ def norm(v):
     return v
 
 
+def sorted_rows(columns, rows):
+    """Rows by column name and value, floats to five places."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    plain = [tuple(norm(float(v) if isinstance(v, Decimal) else v) for v in (r[i] for i in order)) for r in rows]
+    return sorted(plain, key=lambda r: tuple(f"{v:.4f}" if isinstance(v, (int, float)) else str(v) for v in r))
+
+
 def main():
     p = argparse.ArgumentParser()
     p.add_argument("names", nargs="*")
