@@ -18,6 +18,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LONGS = 16  # of a signature
+_FEW = 100_000  # rows that one task takes rather than all
 _PART = 2_000  # documents that meet one pivot in one task
 
 
@@ -202,6 +203,11 @@ def _perhaps_among(texts: DataFrame, keys: DataFrame, count: int) -> DataFrame:
     return marked.filter(F.getbit(byte, F.col("at") % 8) == 1).select("key", "text")
 
 
+def _snug(table: DataFrame) -> DataFrame:
+    """A stored table of few rows in one partition, where joins, windows and groups need no shuffle; a larger one as it is."""
+    return table.coalesce(1) if table.count() <= _FEW else table
+
+
 def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
     """(src, dst): links that connect all sets with a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -234,17 +240,20 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
     union = F.col("n") + F.col("m") - F.col("shared")
     links = known.filter(F.col("shared") * 100 >= union * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     # the distance of a document that was not measured stays null: it is beyond the reach
-    regions = stored(found.join(measured, ["a", "b"], "left").select("a", "b", "n", "i", (1 - F.col("shared") / union).alias("d")).filter("a <> b"), "jaccard-members")
-    links, chosen_now, per_component = stored(links, "jaccard-links"), 32, 1
+    regions = _snug(stored(found.join(measured, ["a", "b"], "left").select("a", "b", "n", "i", (1 - F.col("shared") / union).alias("d")).filter("a <> b"), "jaccard-members"))
+    links, chosen_now, per_component = _snug(stored(links, "jaccard-links")), 32, 1
     signatures = names.select(F.col("key").alias("b"), "signature")
     while True:
         # from here on a component is a star around its name
-        stars = stored(connected_components(links), "jaccard-stars")
+        stars = _snug(stored(connected_components(links, one_task=_FEW), "jaccard-stars"))
         placed = regions.join(stars.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
         per = Window.partitionBy("a")
         crowd = placed.groupBy("a", "component").agg(F.count("*").alias("members")).withColumn("groups", F.count("*").over(per))
         crowd = crowd.filter("groups > 1").withColumn("largest", F.row_number().over(per.orderBy(F.desc("members"), "component")) == 1)
-        open_ = stored(placed.join(crowd.select("a", "component", "members", "largest"), ["a", "component"]).join(signatures, "b"), "jaccard-open")
+        open_ = _snug(stored(placed.join(crowd.select("a", "component", "members", "largest"), ["a", "component"]), "jaccard-open"))
+        if open_.isEmpty():
+            return links
+        open_ = _snug(stored(open_.join(signatures, "b"), "jaccard-open"))
         order = [F.coalesce("d", F.lit(1.0)), F.col("b")]
         own = F.row_number().over(Window.partitionBy("a", "component").orderBy(*order))
         turn = F.row_number().over(per.orderBy("members", *order))
@@ -253,8 +262,6 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
             pivots.select("a", F.col("b").alias("q"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("d").alias("e"), F.col("component").alias("other"), F.col("signature").alias("qs")),
             "jaccard-pivots",
         )
-        if q.isEmpty():
-            return links
         window = sized(F.col("n"), F.col("m")) & _fits(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)
         triangle = F.coalesce(F.abs(F.col("d") - F.col("e")) <= reach + 1e-9, F.lit(True))
         near = ~_differ(F.col("signature"), F.col("qs"), F.col("n"), F.col("m"), percent)
@@ -269,8 +276,8 @@ def jaccard_links(texts: DataFrame, names: DataFrame, shingles: DataFrame, width
         for end in ("src", "dst"):
             roots = roots.join(ends.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
         joined = roots.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).filter("src <> dst").distinct()
-        links = stored(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(joined), "jaccard-links")
-        regions = stored(open_.select("a", "b", "n", "i", "d").join(q.select("a", F.col("q").alias("b")), ["a", "b"], "left_anti"), "jaccard-members")
+        links = _snug(stored(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(joined), "jaccard-links"))
+        regions = _snug(stored(open_.select("a", "b", "n", "i", "d").join(q.select("a", F.col("q").alias("b")), ["a", "b"], "left_anti"), "jaccard-members"))
         chosen_now, per_component = chosen_now * 16, per_component * 16
 
 
@@ -291,7 +298,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, share
     names = stored(rows.filter("n > 0").groupBy("name").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "jaccard-names")
     shingles = counted_shingles(texts, width, percent, share)
     links = jaccard_links(texts.select("key", "text"), names, shingles, width, percent)
-    of = connected_components(links).withColumnRenamed("node", "key")
+    of = connected_components(links, one_task=_FEW).withColumnRenamed("node", "key")
     rooted = names.drop("signature").join(of, "key", "left").withColumn("root", F.coalesce("component", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(rooted.select("name", "root").join(least, "root").select("name", "component_id"), "jaccard-components")
