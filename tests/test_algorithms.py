@@ -56,7 +56,7 @@ def test_communities_are_planted_ones_and_locally_best(spark):
 
 
 def test_modularity_is_no_less_than_that_of_label_propagation(spark):
-    edges = planted(1, 4, 6, 0.5, 0.15)
+    edges = planted(1, 3, 5, 0.6, 0.15)
     df = spark.createDataFrame(edges, "src string, dst string, weight double").coalesce(1)
     home = {r.node: r.community for r in modularity_communities(df).collect()}
     found = plain_modularity(edges, home)

@@ -61,13 +61,6 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
 
 def test_index_rows_sources_and_videos(spark, tmp_path):
     index = "reel_pk string, asset_id string, seen_at long"
-    src = tmp_path / "index"
-    src.mkdir()
-    (src / "1.json").write_text('{"reel_pk":"r1","asset_id":"a","seen_at":1}\n{"reel_pk":"","asset_id":"a","seen_at":1}')
-    (src / "2.json").write_text('{"reel_pk":"r1","asset_id":"a","seen_at":2}\n{"reel_pk":"r2","asset_id":"a","seen_at":2}')
-    for f in ("1.json", "2.json"):
-        stream = spark.readStream.schema(index).option("pathGlobFilter", f).json(str(src))
-        merge.index_merge(stream, str(tmp_path / "it"), str(tmp_path / f"icp{f}")).trigger(availableNow=True)
     old = spark.createDataFrame([("r1", "a", 1)], index)
     found = spark.createDataFrame([("r1", "a", 2), ("r2", "a", 2)], index)
     merge.merge_batch(old, 0, str(tmp_path / "i"), ["reel_pk", "asset_id"], keep="old")
