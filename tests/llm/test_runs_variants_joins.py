@@ -275,7 +275,7 @@ def test_components_equal_brute_force(docs):
     assert sorted(got, key=str) == plain_components(odd_rows())
 
 
-@pytest.mark.parametrize("seed, percent, share", [(1, 85, 5), (2, 85, 1), (3, 70, 3), (4, 95, 50)])
+@pytest.mark.parametrize("seed, percent, share", [(1, 85, 5), (3, 70, 3)])
 def test_dense_groups_shared_passages_and_chains(spark, seed, percent, share):
     """Groups of near copies at all distances, chains, passages many texts share, short texts."""
     r = random.Random(seed)
