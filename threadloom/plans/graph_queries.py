@@ -247,11 +247,6 @@ def _(t):
     return rows[0].unionByName(rows[1])
 
 
-@query("hashtag_communities")
-def _(t):
-    return graph.tag_communities(*graph.tag_network(graph.clean_tags(tags(t))))
-
-
 @query("interaction_subgraph_top_nodes", f"""{INTERACTION}, {DEG}, best AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 40)
 SELECT * FROM g WHERE src IN (SELECT node FROM best) AND dst IN (SELECT node FROM best)""")
 def _(t):
