@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.components import betweenness, connected_components, eigenvector_centrality
 from ..operators import graph
-from ..session import durable
 from ..sources import adapters as a
 from .registry import query
 from .scope_queries import histogram_sql, reels_with_songs, threads
@@ -230,23 +229,6 @@ def _(t):
     return graph.pair_communities(graph.frequent_pairs(ev(t)), method="labels")[1]
 
 
-# partitions whose modularity SQL can tell; no local move may leave the found one below them
-FOUND = """sh AS (SELECT src, dst, weight FROM pr), mm AS (SELECT sum(weight) AS m FROM sh), nd2 AS (SELECT src AS node, sum(weight) AS k FROM (SELECT src, weight FROM sh UNION ALL SELECT dst, weight FROM sh) GROUP BY 1),
-lq AS (SELECT sum(coalesce(weight_inside,0)/m-(weight_touching/(2*m))*(weight_touching/(2*m))) AS q FROM sz JOIN tch USING (community) LEFT JOIN ins USING (community), m),
-sq AS (SELECT -sum((k/(2*m))*(k/(2*m))) AS q FROM nd2, mm)"""
-
-
-@query("channel_modularity_levels", f"""{COMMUNITIES}, {MODULARITY}, {FOUND} SELECT 'labels' AS partition, round(q,6) AS modularity, true AS reached, (SELECT count(*) FROM nd2) AS nodes FROM lq UNION ALL SELECT 'single', round(q,6), true, (SELECT count(*) FROM nd2) FROM sq""")
-def _(t):
-    """The found communities hold every node once and reach the modularity of label propagation and of single nodes."""
-    pairs = durable(graph.frequent_pairs(ev(t)))
-    whole, labels = graph.pair_communities(pairs), graph.pair_communities(pairs, method="labels")
-    alone = graph.modularity(pairs.select(F.col("channel_1").alias("src"), F.col("channel_2").alias("dst"), F.col("co_occurrence").alias("weight")), whole[0].select("node", F.col("node").alias("community")))
-    best, nodes = whole[1].agg(F.sum("modularity")).scalar(), whole[1].agg(F.sum("nodes")).scalar()
-    rows = [m.agg(F.sum("modularity").alias("modularity")).select(F.lit(n).alias("partition"), "modularity", (best >= F.col("modularity") - 1e-9).alias("reached"), nodes.alias("nodes")) for n, m in (("labels", labels[1]), ("single", alone))]
-    return rows[0].unionByName(rows[1])
-
-
 @query("interaction_subgraph_top_nodes", f"""{INTERACTION}, {DEG}, best AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 40)
 SELECT * FROM g WHERE src IN (SELECT node FROM best) AND dst IN (SELECT node FROM best)""")
 def _(t):
