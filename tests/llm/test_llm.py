@@ -359,14 +359,44 @@ def test_quality(spark, docs, none):
     assert got == sorted((as_key(i), *brute_quality(t)) for i, t in rows_of(table)) and quality.judge_quality(none).count() == 0
 
 
+def brute_kept(rows, min_docs, share, max_docs, left=0.5):
+    """(words of different lines, words left, kept) of each row; rows are (id, text, host)."""
+    lines = {text: {" ".join(x.lower().split()) for x in (text or "").split("\n")} - {""} for _, text, _ in rows}
+    of_host = Counter(host for _, _, host in set(rows))
+    seen = Counter((host, x) for _, text, host in set(rows) for x in lines[text])
+    out = []
+    for i, text, host in rows:
+        limit = min(max_docs, max(min_docs, share * of_host[host]))
+        all_words = sum(len(x.split()) for x in lines[text])
+        words_left = sum(len(x.split()) for x in lines[text] if seen[host, x] <= limit)
+        out.append((as_key(i), all_words, words_left, not brute_quality(text)[-1] and words_left >= left * all_words))
+    return sorted(out)
+
+
+BANNER = prose(64, 999)
+
+
+def common_line_rows():
+    rows = [(i, f"{BANNER}\n{prose(20, 100 + i)}", "a") for i in range(30)]  # mostly banner
+    rows += [(100 + i, f"{BANNER.upper()}\n" + "\n".join(prose(70, 200 + i + k) for k in range(3)), "a") for i in range(30)]  # mostly own text
+    rows += [(200 + i, f"{BANNER}\n{prose(20, 300 + i)}", "b") for i in range(5)]  # rare on this host
+    return rows + [(300 + i, prose(60, 400), "c") for i in range(50)]  # copies are documents
+
+
 def test_common_lines_deplete(spark):
-    banner = prose(64, 999)
-    rows = [(i, f"{banner}\n{prose(20, 100 + i)}", "a") for i in range(30)]  # mostly banner
-    rows += [(100 + i, f"{banner.upper()}\n" + "\n".join(prose(70, 200 + i + k) for k in range(3)), "a") for i in range(30)]  # mostly own text
-    rows += [(200 + i, f"{banner}\n{prose(20, 300 + i)}", "b") for i in range(5)]  # rare on this host
-    rows += [(300 + i, "\n".join([prose(60, 400)] * 1), "c") for i in range(50)]  # copies count once
+    rows = common_line_rows()
     kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(30)) and all(kept[200 + i] for i in range(5)) and all(kept[300 + i] for i in range(50))
+    assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(30)) and all(kept[200 + i] for i in range(5)) and not any(kept[300 + i] for i in range(50))
+
+
+@pytest.mark.parametrize("limits", [(20, 0.005, 1000), (2, 0.5, 1000), (2, 0.9, 25), (60, 0.1, 10)])
+def test_line_limits_match_brute_force(spark, limits):
+    rows = common_line_rows() + [(400, None, "a"), (401, "", "c"), (None, f"{BANNER}\n{prose(50, 5)}", "b"), (402, LONG, "a")]
+    rows += [rows[0]] * 30 + [rows[200 - 140]] * 25  # repeated rows are one document
+    rows += [(500 + i, f"{prose(50, 600 + i)}\nshared footer of few", "d") for i in range(24)] + [(500, f"other text of an id\n{prose(60, 3)}", "d")]
+    min_docs, share, max_docs = limits
+    got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=min_docs, share=share, max_docs=max_docs).collect()
+    assert sorted((as_key(r["doc_id"]), r["line_words"], r["words_left"], r["kept"]) for r in got) == brute_kept(rows, *limits)
 
 
 def test_common_lines_are_taken_out(spark):

@@ -63,32 +63,40 @@ def measured(docs: DataFrame, host: str = "source", texts: bool = False) -> Data
     )
 
 
-def judge_quality(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, left: float = 0.5, texts: bool = False) -> DataFrame:
+def judge_quality(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, max_docs: int = 1000, left: float = 0.5, texts: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, words_left, kept), with ``texts`` and text.
 
     ``text`` is what the operator is for: the text without its lines above the
     limits, of rejected documents too; a null stays null. Without ``texts`` only
     the measures are made and texts are not stored.
 
-    A line is above its limit on a host where it stands in more different texts
-    of that host than ``min_docs`` and than ``share`` of them; copies of a text
-    count as one document. ``line_words`` are the words of a document's
-    different lines and ``words_left`` those of its lines within the limits; a
-    document with less than ``left`` of its line words left is depleted and
-    rejected. ``base_failed``: under 50 words, or over half of the words in
-    repeated three-word windows.
-
-    Texts are read once; hashes of lines are counted after a map-side combine,
-    and the lines above limits are joined back to line hashes. A null text is
-    an empty one, a null host a host of its own, repeated rows get a row each,
-    an empty table gives no rows, other columns are ignored.
+    A line is above its limit on a host where it stands in more different
+    documents of that host than ``share`` of them, or in more than ``max_docs``;
+    either is enough, but up to ``min_docs`` a line is never common. Copies of a
+    text are documents of their own; rows that repeat id and text are one
+    document. ``line_words`` are the words of a document's different lines and
+    ``words_left`` those of its lines within the limits; a document with less
+    than ``left`` of its line words left is depleted and rejected.
+    ``base_failed``: under 50 words, or over half of the words in repeated
+    three-word windows.
+
+    Texts are read once. Copies on a host are reduced to one list of line
+    hashes, weighed by the number of their documents, before lines are counted
+    with a map-side combine; lines above limits are joined back to line hashes.
+    A null text is an empty one, a null host a host of its own, a null id an id,
+    repeated rows get a row each, a very long text is measured whole, an empty
+    table gives no rows, other columns are ignored.
     """
     rows = stored(measured(docs, host, texts), "quality")
-    own = rows.select("host", "text_hash", F.explode("lines").alias("l")).groupBy("host", "text_hash", F.col("l.h").alias("line")).agg(F.max("l.n").alias("n"))
-    sizes = rows.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
-    shared = own.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
-    above = stored(shared.join(sizes, "host").filter(F.col("docs") > share * F.col("texts")).select("host", "line"), "common-lines")
-    gone = own.join(above, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("gone"), *([F.collect_list("line").alias("cut")] if texts else []))
+    weights = rows.select("host", "text_hash", "doc_id").distinct().groupBy("host", "text_hash").agg(F.count("*").alias("docs"))
+    copies = rows.groupBy("host", "text_hash").agg(F.any_value("lines").alias("lines"))
+    own = stored(copies.join(weights, ["host", "text_hash"]), "quality-texts")
+    lines = own.select("host", "text_hash", "docs", F.explode("lines").alias("l")).select("host", "text_hash", "docs", F.col("l.h").alias("line"), F.col("l.n").alias("n"))
+    sizes = own.groupBy("host").agg(F.sum("docs").alias("all_docs"))
+    shared = lines.groupBy("host", "line").agg(F.sum("docs").alias("docs")).filter(F.col("docs") > min(min_docs, max_docs))
+    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), share * F.col("all_docs")))
+    above = stored(shared.join(sizes, "host").filter(F.col("docs") > limit).select("host", "line"), "common-lines")
+    gone = lines.join(above, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("gone"), *([F.collect_list("line").alias("cut")] if texts else []))
     cleaned = [F.when(F.col("cut").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("cut"))).alias("text")] if texts else []
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])

@@ -46,8 +46,8 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM t, (VALUES (0), (1), (2)) AS o
 raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 norm AS (SELECT DISTINCT r, array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' ') AS line FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-size AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-above AS (SELECT host, line FROM norm JOIN d USING (r) JOIN size USING (host) GROUP BY host, line, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.005 * texts),
+size AS (SELECT host, count(DISTINCT row(doc_id, text)) AS docs FROM d GROUP BY host),
+above AS (SELECT host, line FROM norm JOIN d USING (r) JOIN size USING (host) GROUP BY host, line, docs HAVING count(DISTINCT row(doc_id, text)) > least(1000, greatest(20, 0.005 * docs))),
 kept AS (
   SELECT r, sum(len(string_split(line, ' '))) AS line_words, sum(CASE WHEN above.line IS NULL THEN len(string_split(line, ' ')) ELSE 0 END) AS words_left
   FROM norm JOIN d USING (r) LEFT JOIN above USING (host, line) GROUP BY r),
