@@ -300,7 +300,7 @@ def test_surrogates_are_distinct_and_never_real(spark):
 
 
 def test_every_detector_is_hinted(spark):
-    texts = ["bob@x.org", "+1 (771) 555-1655", "8.196.197.208", "4111111111111111", "123-45-6789", "password: abcdefgh", "Frau Meier", "Г-н Попов", "DE89370400440532013000", "sk_abcdefghijklmnop1234", "call ٠١٢ 555 1655"]
+    texts = ["bob@x.org", "+1 (771) 555-1655", "8.196.197.208", "4111111111111111", "123-45-6789", "password: abcdefgh", "Frau Meier", "Г-н Попов", "DE89370400440532013000", "sk_abcdefghijklmnop1234", "call ٠١٢ 555 1655", *NAMED, *VALUED]
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     hinted = {r["text"] for r in table.filter(pii.may_hold(F.col("text"))).collect()}
     assert {t for t in texts if pii.detect(t)} <= hinted
@@ -324,6 +324,74 @@ def test_values_are_taken_whole():
     assert len(pii.detect("Mrs Anna-Lena D'Angelo spoke")) == 2
 
 
+# text and what must be taken from it, in order
+NAMED = {
+    "Frau Dr. Müller kam.": ["Müller"], "Mrs Anna Maria Schmidt": ["Anna", "Maria", "Schmidt"], "Mr John F. Kennedy said": ["John", "F", "Kennedy"],
+    "Mrs Alice Brown came. Alice Brown left.": ["Alice", "Brown", "Alice", "Brown"], "BROWN's house. Then Mr Brown left": ["BROWN", "Brown"],
+    "Herr von Neumann": ["Neumann"], "MR SMITH": ["SMITH"], "Mr.  Smith": ["Smith"], "Mr Smith met Mrs Jones today": ["Smith", "Jones"], "Mr Smith Mr Jones": ["Smith", "Jones"],
+    "Dr. rer. nat. Anna-Lena von der Leyen": ["Anna-Lena", "Leyen"], "Prof. Dr. h.c. Meier": ["Meier"], "Mr J. R. R. Tolkien wrote": ["J", "R", "R", "Tolkien"], "Mr 王明 Smith": ["王明", "Smith"],
+}
+VALUED = {
+    "see 2001:db8::1 and fe80::1, 12:30:45 std::vec a::b": ["2001:db8::1", "fe80::1"], "Authorization: Bearer abc123def456ghi789": ["abc123def456ghi789"], "a eyJhbGciOiJI.eyJzdWIiOiIx.abc b": ["eyJhbGciOiJI.eyJzdWIiOiIx.abc"],
+    "Passwort: geheim12": ["geheim12"], "contraseña: secreta1": ["secreta1"], "ПАРОЛЬ: abcdefgh": ["abcdefgh"], "db_password=hunter22": ["hunter22"],
+    "030 1234567": ["030 1234567"], "0171/1234567": ["0171/1234567"], "am 07/2024 und 0,5": [], "de89370400440532013000": ["de89370400440532013000"],
+    "on 2024-01-15 100-200-3000": ["100-200-3000"], "4111-1111-1111-1111 x 4111111111111112 3782 822463 10005": ["4111-1111-1111-1111", "3782 822463 10005"], "bearer of good news": [], "0000000000000000": [],
+}
+
+
+def test_measured_cases(spark):
+    cases = NAMED | VALUED
+    for text, values in cases.items():
+        assert [text[a:b] for a, b, *_ in pii.detect(text)] == values, text
+    got = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), "key").collect()}
+    for i, (text, values) in enumerate(cases.items()):
+        assert got[i]["n_entities"] == len(values) and (bool(values) or got[i]["text"] == text)
+        assert all(v not in got[i]["text"] for v in values if len(v) > 1), (text, got[i]["text"])
+    again = got[list(cases).index("Mrs Alice Brown came. Alice Brown left.")]["text"].split()
+    assert again[1:3] == again[4:6] and got[list(cases).index("Herr von Neumann")]["text"].startswith("Herr von ")
+
+
+def brute_replace(texts, key):
+    """All documents in one loop: rounds of proposals over a dictionary, then spliced texts."""
+    spans = {i: pii.detect(t or "") for i, t in texts.items()}
+    real = {(k, v) for found in spans.values() for _, _, k, v in found}
+    folded, given, taken = {(k, v.lower()) for k, v in real}, {}, set()
+    open_, attempt = sorted(x for x in real if not x[0].startswith("initial")), 0
+    while open_:
+        offers = {}
+        for k, v in open_:
+            offers.setdefault((k, pii.candidate(key, k, v, attempt).lower()), []).append(v)
+        free = {o: min(vs) for o, vs in offers.items() if o not in folded and o not in taken}
+        given |= {(k, v): pii.candidate(key, k, v, attempt) for (k, _), v in free.items()}
+        taken |= set(free)
+        open_, attempt = [x for x in open_ if x not in given], attempt + 1
+    out = {}
+    for i, t in texts.items():
+        for a, b, k, v in reversed(spans[i]):
+            t = t[:a] + pii.render(k, t[a:b], given.get((k, v)) or pii.candidate(key, k, v, 0)) + t[b:]
+        out[i] = t
+    return out
+
+
+def test_replacement_matches_brute_force(spark):
+    r = random.Random(3)
+    syllables = "ba ke lo mi nu ra te so vi du".split()
+    texts = dict(enumerate([None, "", LONG, *NAMED, *VALUED]))
+    for i in range(100, 300):
+        parts = [r.choice([*NAMED, *VALUED]), prose(5, i), f"{r.choice(['Mr', 'Frau', 'Dr.'])} {''.join(r.choices(syllables, k=3)).title()} {''.join(r.choices(syllables, k=3)).title()} went", f"10.1.{r.randrange(9)}.{r.randrange(9)}", f"u{r.randrange(40)}@a.org"]
+        r.shuffle(parts)
+        texts[i] = ". ".join(parts)
+    got = {x["doc_id"]: x["text"] for x in pii.replace_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), "key").collect()}
+    assert got == brute_replace(texts, b"key")
+
+
+def test_built_names_have_room_and_form():
+    for kind in ("given-f-latin", "given-m-cyrillic", "family-latin", "family-cyrillic"):
+        names = [pii.candidate(b"k", kind, f"x{i}", 4) for i in range(2000)]
+        assert len(set(names)) > 1900 and all(n.isalpha() and n.istitle() for n in names)
+    assert pii.candidate(b"k", "family-cyrillic", "иванова", 0).endswith("а") and sorted(pii.candidate(b"k", "initial-latin", c, 0) for c in "abcdefghijklmnopqrstuvwxyz") == list("abcdefghijklmnopqrstuvwxyz")
+
+
 def test_small_rooms_are_widened(spark):
     masks = ["password: ********", "token=......", "pwd: ------"]
     mails = ["___@___.org", "אב@דוא.co", "प@ह.in"]
