@@ -256,6 +256,16 @@ def test_decontamination_matches_brute_force(spark, docs, none):
     assert decontaminate.mark_contaminated(docs, items).count() == docs.count() and decontaminate.mark_contaminated(none, items).count() == 0
 
 
+def test_short_items_match_on_word_borders(spark):
+    items = [(1, "What is 7 times 8?"), (2, "三加四等于多少"), (3, "Is it so?"), (4, "!?"), (5, "What is 7 times 8"), (6, prose(20, 77)), (None, "a"), (8, "")]
+    texts = ["foo what is 7 TIMES 8, bar", "foo what is 7 times 80", "请问三加四等于多少呢", "this it so", "so: is it so", f"x {prose(20, 77)[:-2]} y", None, "", "A", LONG + " Is it so"]
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontaminate.mark_contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i: sorted(map(as_key, h)) for i, h in got.items()} == {0: [1, 5], 1: [], 2: [2], 3: [], 4: [3], 5: [6], 6: [], 7: [], 8: [-1], 9: [3]}
+    only_short = decontaminate.Matcher([(1, "ab"), (2, "abc")], 0.1, 25)
+    for text in ("ab abc", "xab", "abc", "ab", "abcd ab", ""):
+        assert [h["item_id"] for h in only_short.hits(text)] == [k for k, x in ((1, "ab"), (2, "abc")) if x in text.split()]
+
+
 # personal data
 
 

@@ -27,6 +27,16 @@ def cut_pieces(text: str, budget: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def unspaced(c: str) -> bool:
+    """Whether the letter is of a script written without spaces (Thai to Burmese, Khmer, Han and kana)."""
+    return "\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000"
+
+
+def stands_alone(text: str, start: int, stop: int) -> bool:
+    """Whether a stretch begins and ends on word borders; scripts without spaces have one at each letter."""
+    return all(" " in (a, b) or unspaced(a) or unspaced(b) for a, b in ((text[start - 1 : start] or " ", text[start]), (text[stop - 1], text[stop : stop + 1] or " ")))
+
+
 def bit_masks(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -65,16 +75,25 @@ class Matcher:
 
     The pigeonhole holds twice: of an item's blocks one has at most its share
     of the errors, and of that block's pieces one is intact. A piece hit is
-    verified on its short block first, and only then on the whole item.
+    verified on its short block first, and only then on the whole item. Items
+    under ``min_chars`` have no errors to spare: they are found as they are, on
+    word borders.
     """
 
-    def __init__(self, items: list[tuple], rate: float):
+    def __init__(self, items: list[tuple], rate: float, min_chars: int = 0):
         import ahocorasick
 
+        self.short = ahocorasick.Automaton()
+        for n, (_, text) in enumerate(items):
+            if len(text) < min_chars:
+                self.short.add_word(text, (len(text), (*self.short.get(text, (0, ()))[1], n)))
+        self.short.make_automaton()
         self.items = [(key, text, int(rate * len(text)), bit_masks(text)) for key, text in items]
         self.blocks: list[tuple] = []  # (item, start, stop, errors, masks)
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget, _) in enumerate(self.items):
+            if len(text) < min_chars:
+                continue
             count = block_count(budget)
             for start, part in cut_pieces(text, count - 1):
                 errors = budget // count
@@ -108,7 +127,11 @@ class Matcher:
     def hits(self, text: str) -> list[dict]:
         """The nearest occurrence of each item within its budget, by item order."""
         text = normalised(text)
-        windows, found = self._windows(text), []
+        found: dict[int, dict] = {}
+        for end, (size, own) in self.short.iter(text) if len(self.short) else ():
+            if own[0] not in found and stands_alone(text, end + 1 - size, end + 1):
+                found |= {n: {"item_id": self.items[n][0], "distance": 0, "start": end + 1 - size, "stop": end + 1} for n in own}
+        windows = self._windows(text) if len(self.finder) else {}
         for n in sorted(windows):
             key, item, budget, masks = self.items[n]
             step, best = 2 * budget + 1, None
@@ -122,29 +145,30 @@ class Matcher:
                     if not distance:
                         break
             if best:
-                found.append({"item_id": key, "distance": best[0], "start": max(0, best[1] - len(item)), "stop": best[1]})
-        return found
+                found[n] = {"item_id": key, "distance": best[0], "start": max(0, best[1] - len(item)), "stop": best[1]}
+        return [found[n] for n in sorted(found)]
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(items: tuple, rate: float) -> Matcher:
-    if (items, rate) not in _MATCHERS:
+def _matcher(items: tuple, rate: float, min_chars: int) -> Matcher:
+    key = (items, rate, min_chars)
+    if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[items, rate] = Matcher(list(items), rate)
-    return _MATCHERS[items, rate]
+        _MATCHERS[key] = Matcher(list(items), rate, min_chars)
+    return _MATCHERS[key]
 
 
-def item_blocks(items: DataFrame, min_chars: int, block_chars: int):
+def item_blocks(items: DataFrame, block_chars: int):
     """The items as (item_id, normalised text), in blocks of about ``block_chars`` characters."""
-    rows = items.filter(F.length("text") >= min_chars).select("item_id", "text").distinct()
+    rows = items.filter(F.length("text") > 0).select("item_id", "text").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         own = {(r["item_id"], normalised(r["text"])) for r in part}
-        yield tuple(sorted((x for x in own if len(x[1]) >= min_chars), key=lambda x: (x[1], str(x[0]))))
+        yield tuple(sorted((x for x in own if x[1]), key=lambda x: (x[1], str(x[0]))))
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), hits: str = "hits", rate: float = 0.1, min_chars: int = 25, block_chars: int = 2_000_000, drop: bool = False) -> DataFrame:
@@ -153,14 +177,16 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] =
     An item is found where a stretch of the text lies within an edit distance
     of ``rate`` times the item's length, both normalised (lower case, single
     spaces for all else); the nearest stretch is told, start is stop less the
-    item's length. Items under ``min_chars`` normalised characters are too
-    short to tell and match nothing. With ``drop`` rows with a hit go.
+    item's length. Items under ``min_chars`` normalised characters are
+    matched without errors and on word borders; one without a letter or digit
+    matches nothing. With ``drop`` rows with a hit go.
 
     The items are read in blocks of bounded size, one pass of the texts each,
     without a shuffle; every fourth block the rows are written, which bounds
     the workers alive at once. A null text has no hits, repeated rows get a
     row each, an empty table of items leaves every row without a hit, a null
-    ``item_id`` is an item like any other.
+    ``item_id`` is an item like any other. Very long texts are searched whole;
+    columns outside ``keep`` may have any names, inside it none may be ``hits``.
     """
     kind = items.schema["item_id"].dataType.simpleString()
     passed = list(dict.fromkeys(keep))
@@ -170,12 +196,12 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] =
     rows = docs.select(*own, F.array().cast(HIT.format(kind)).alias(state))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
-    for n, block in enumerate(item_blocks(items, min_chars, block_chars)):
+    for n, block in enumerate(item_blocks(items, block_chars)):
         if n and n % 4 == 0:
             rows = stored(rows, "decontaminated")
 
         def scan(batches, block=block):
-            matcher = _matcher(block, rate)
+            matcher = _matcher(block, rate, min_chars)
             for batch in batches:
                 new = [matcher.hits(t) if t else [] for t in texts_of(batch.column(at))]
                 column = batch.column(last)
